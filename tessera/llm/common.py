@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
+#: Bytes of an Arrow batch to or from a Python worker.
+ARROW_BYTES = 8 << 20
+
 #: The white space that the operators' contracts name: space, tab, line feed, VT, FF, CR.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -45,6 +48,8 @@ def drop_stored(spark: SparkSession, path: str) -> None:
 
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers, once for each application."""
+    # texts may be long: batches for the workers are cut by bytes as well as by rows
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

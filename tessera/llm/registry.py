@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
+from tessera.llm.bpe import op10_transducer_bpe
+from tessera.llm.decontamination import op9_simhash_windows
 from tessera.llm.exact_dedup import OP6_SQL, op6_digest_index
+from tessera.llm.ngram_join import op3_size_aware_join
 from tessera.llm.sharding import op8_virtual_slots
 from tessera.llm.token_binary import op7_vbyte_ids
 from tessera.llm.token_cache import op4_digest_cache
+from tessera.llm.warc import op5_content_addressed
 
-QUERIES = {f.__name__: f for f in (op4_digest_cache, op6_digest_index, op7_vbyte_ids, op8_virtual_slots)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_size_aware_join,
+        op4_digest_cache,
+        op5_content_addressed,
+        op6_digest_index,
+        op7_vbyte_ids,
+        op8_virtual_slots,
+        op9_simhash_windows,
+        op10_transducer_bpe,
+    )
+}
 SQL = {"op6_digest_index": OP6_SQL}

@@ -39,16 +39,13 @@ def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def words(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the texts that begin at ``starts`` (ascending, one more for the end) in ``data``:
-    the words' hashes, first bytes and ends, and each text's first word (one more for the end)."""
-    raw = np.frombuffer(data, dtype=np.uint8)[starts[0] : starts[-1]]
-    at = starts - starts[0]
+#: Bytes hashed at once, which bounds the arrays; a longer word is still hashed whole.
+SEGMENT = 2 << 20
+
+
+def _segment_words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(raw)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    inside = np.empty(n + 2, dtype=bool)
-    inside[0] = inside[-1] = False
+    inside = np.zeros(n + 2, dtype=bool)
     np.logical_not(_IS_SPACE[raw], out=inside[1:-1])
     first = inside[1:-1] & ~inside[:-2]
     last = inside[1:-1] & ~inside[2:]
@@ -60,8 +57,27 @@ def words(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
     hashed = (sums[end] - sums[begin]) * _powers("i", _P_INV, n)[begin]
-    hashed = mix(hashed + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return hashed, begin + starts[0], end + starts[0], np.searchsorted(begin, at)
+    return mix(hashed + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), begin, end
+
+
+def words(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts that begin at ``starts`` (ascending, one more for the end) in ``data``:
+    the words' hashes, first bytes and ends, and each text's first word (one more for the end)."""
+    raw = np.frombuffer(data, dtype=np.uint8)[: starts[-1]]
+    parts, lo = [], int(starts[0])
+    while lo < len(raw):
+        hi = min(lo + SEGMENT, len(raw))
+        while hi < len(raw):  # ends at white space, so that no word is cut
+            space = np.flatnonzero(_IS_SPACE[raw[hi : hi + 4096]])
+            if len(space):
+                hi += int(space[0])
+                break
+            hi = min(hi + 4096, len(raw))
+        hashed, begin, end = _segment_words(raw[lo:hi], starts[(starts > lo) & (starts < hi)] - lo)
+        parts.append((hashed, begin + lo, end + lo))
+        lo = hi
+    hashed, begin, end = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
+    return hashed.astype(np.uint64), begin, end, np.searchsorted(begin, starts)
 
 
 def ngrams(word: np.ndarray, n: int) -> np.ndarray:
