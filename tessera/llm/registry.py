@@ -6,6 +6,8 @@ from tessera.llm.bpe import op10_transducer_bpe
 from tessera.llm.decontamination import op9_simhash_windows
 from tessera.llm.exact_dedup import OP6_SQL, op6_digest_index
 from tessera.llm.ngram_join import op3_size_aware_join
+from tessera.llm.quality import op1_importance_resampling
+from tessera.llm.secrets import op2_randomness_battery
 from tessera.llm.sharding import op8_virtual_slots
 from tessera.llm.token_binary import op7_vbyte_ids
 from tessera.llm.token_cache import op4_digest_cache
@@ -14,6 +16,8 @@ from tessera.llm.warc import op5_content_addressed
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_importance_resampling,
+        op2_randomness_battery,
         op3_size_aware_join,
         op4_digest_cache,
         op5_content_addressed,
