@@ -21,7 +21,7 @@ BUCKETS = 1 << 18
 #: Labelled rows used at most, those with the smallest hashes.
 LABELLED = 1 << 17
 #: Occurrences added to each bucket's expected and seen counts.
-SHRINK = 30.0
+SHRINK = 100.0
 #: Scale of the Gumbel noise on the log ratios.
 TEMPERATURE = 1.0
 SEED = 17
