@@ -69,3 +69,16 @@ def whole_text(column: str = "text") -> Column:
 def one_space(text: Column) -> Column:
     """Each run of white space as one space."""
     return F.regexp_replace(text, f"{SPACE}+", " ")
+
+
+def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
+    """The rows of the highest counts, ``most`` at most: all with as many occurrences as the last of
+    them or more, by counts of counts in steps of an eighth of a power of two."""
+    step = F.floor(F.log2(n) * 8)
+    left, least = most, None
+    for row in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        left -= row["count"]
+        if left < 0:
+            break
+        least = row["step"]
+    return counts.limit(0) if least is None else counts.filter(step >= least)

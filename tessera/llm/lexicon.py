@@ -77,8 +77,9 @@ class Lexicon:
         at = 8 + 8 * len(_FIELDS)
         for (name, kind), n in zip(_FIELDS, lengths.tolist(), strict=True):
             size = n * np.dtype(kind).itemsize
-            setattr(self, name, raw[at : at + size].view(kind))
+            setattr(self, name, np.asarray(raw[at : at + size]).view(kind))
             at += size
+        self.raw_ids = memoryview(self.ids.view(np.uint8))
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """Each word's place in sorted order, -1 for words that are not in the lexicon."""
@@ -100,5 +101,12 @@ class Lexicon:
             state[length > 0] = -1
         return np.where((state >= 0) & (self.finals[np.maximum(state, 0)] > 0), place, -1)
 
-    def ids_at(self, place: int) -> np.ndarray:
-        return self.ids[self.offsets[place] : self.offsets[place + 1]]
+    def ids_of(self, words: list[bytes]) -> list[bytes | None]:
+        """Each word's ids as little-endian unsigned 32-bit integers, None for unknown words."""
+        place = self.places(words)
+        found = np.flatnonzero(place >= 0)
+        begin, end = self.offsets[place[found]] * 4, self.offsets[place[found] + 1] * 4
+        out: list[bytes | None] = [None] * len(words)
+        for k, a, b in zip(found.tolist(), begin.tolist(), end.tolist(), strict=True):
+            out[k] = self.raw_ids[a:b].tobytes()
+        return out
