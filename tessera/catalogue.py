@@ -1,10 +1,5 @@
 """Every query by name, with the SQL it must agree with."""
 
-from __future__ import annotations
+from tessera.plans.queries import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
