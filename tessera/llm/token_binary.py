@@ -2,14 +2,15 @@
 
 Ids are first replaced by their rank in the corpus by frequency (frequent ids become
 small numbers), then four ranks share a control byte of four 2-bit lengths, and their
-1 to 4 little-endian bytes follow in the data stream.
+1 to 4 little-endian bytes follow in the data stream. Each document starts a control
+byte; its last group is filled with zeros.
 
 A file is a table of blocks in ascending order of documents. Each block is one binary
 value: the magic ``TSVB0001``; as unsigned 64-bit integers the numbers of documents,
 ids, control bytes and data bytes; the documents' ids (signed 64-bit), id counts
 (unsigned 32-bit); the control bytes; the data bytes. ``part`` (a writing task) and
-``skip`` (its ids before the block) order blocks.
-The ranks lie beside the blocks as (rank, id), at most one row per vocabulary entry.
+``skip`` (its ids before the block) order blocks. The ranks lie beside the blocks as
+(rank, id), at most one row per vocabulary entry.
 """
 
 from __future__ import annotations
@@ -21,42 +22,51 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh_path, ship, stored, whole_text
+from tessera.llm.common import drop_stored, fresh_path, ship, whole_text
 
 MAGIC = b"TSVB0001"
 #: A block ends with the document that brings it to so many ids.
 BLOCK_IDS = 1 << 18
 END_ID = 1
 
-_LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.int64)
-_MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
+_LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
+_MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes; the last group is filled with zeros."""
-    padded = np.zeros(-(-len(ranks) // 4) * 4, dtype="<u4")
-    padded[: len(ranks)] = ranks
+def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents with ``counts`` ranks each: control bytes, data bytes, and where each
+    document's begin in them (one more for the end)."""
+    filled = (counts + 3) // 4 * 4
+    ends = np.cumsum(filled)
+    padded = np.zeros(int(filled.sum()), dtype="<u4")
+    padded[np.arange(len(ranks)) + np.repeat(ends - filled - (np.cumsum(counts) - counts), counts)] = ranks
     extra = (padded > 0xFF).astype(np.uint8) + (padded > 0xFFFF) + (padded > 0xFFFFFF)
-    control = (extra.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    kept = np.arange(4)[None, :] <= extra[:, None]
-    return control.tobytes(), padded.view(np.uint8).reshape(-1, 4)[kept].tobytes()
-
-
-def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The ranks, by table lookup of the control bytes' lengths."""
-    lengths = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()
-    ends = np.cumsum(lengths)
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
+    groups = extra.reshape(-1, 4)
+    control = groups[:, 0] | groups[:, 1] << 2 | groups[:, 2] << 4 | groups[:, 3] << 6
+    data = padded.view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8)[None, :] <= extra[:, None]]
+    control_at = np.concatenate([[0], ends // 4])
+    group_bytes = np.concatenate([[0], np.cumsum(groups.sum(axis=1, dtype=np.int64) + 4)])
+    return control, data, control_at, group_bytes[control_at]
+
+
+def unpack(control: np.ndarray, data: bytes, counts: np.ndarray) -> np.ndarray:
+    """All documents' ranks, by table lookup of the control bytes' lengths."""
+    lengths = _LENGTHS[control].ravel()
+    ends = np.cumsum(lengths, dtype=np.int64)
     at = ends - lengths
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
     value = raw[at].astype(np.uint32)
-    for k in (1, 2, 3):
-        value |= raw[np.minimum(at + k, len(raw) - 1)].astype(np.uint32) << np.uint32(8 * k)
-    return (value & _MASKS[lengths - 1])[:n]
+    for k in range(1, 4):
+        wide = np.flatnonzero(lengths > k)
+        if len(wide):
+            value[wide] |= raw[at[wide] + k].astype(np.uint32) << np.uint32(8 * k)
+    filled = (counts + 3) // 4 * 4
+    keep = np.arange(int(counts.sum())) + np.repeat(np.cumsum(filled) - filled - (np.cumsum(counts) - counts), counts)
+    return value[keep]
 
 
-def block(doc_ids: list[int], counts: list[int], ranks: np.ndarray) -> bytes:
-    control, data = pack(ranks)
-    head = np.array([len(doc_ids), len(ranks), len(control), len(data)], dtype="<u8").tobytes()
+def block(doc_ids: list[int], counts: list[int], control: bytes, data: bytes) -> bytes:
+    head = np.array([len(doc_ids), sum(counts), len(control), len(data)], dtype="<u8").tobytes()
     return b"".join((MAGIC, head, np.array(doc_ids, "<i8").tobytes(), np.array(counts, "<u4").tobytes(), control, data))
 
 
@@ -65,72 +75,91 @@ def read_block(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if raw[:8] != MAGIC:
         raise ValueError("not a block of token ids")
     docs, ids, n_control, n_data = (int(x) for x in np.frombuffer(raw, "<u8", 4, 8))
-    at = 40
-    doc_ids = np.frombuffer(raw, "<i8", docs, at)
-    counts = np.frombuffer(raw, "<u4", docs, at := at + 8 * docs)
-    control = raw[(at := at + 4 * docs) : at + n_control]
-    data = raw[at + n_control :]
-    if len(data) != n_data or int(counts.sum()) != ids:
+    at = 40 + 8 * docs
+    doc_ids = np.frombuffer(raw, "<i8", docs, 40)
+    counts = np.frombuffer(raw, "<u4", docs, at).astype(np.int64)
+    at += 4 * docs
+    if len(raw) != at + n_control + n_data or int(counts.sum()) != ids:
         raise ValueError("a block of token ids is damaged")
-    return doc_ids, counts, unpack(control, data, ids)
+    return doc_ids, counts, unpack(np.frombuffer(raw, np.uint8, n_control, at), raw[at + n_control :], counts)
 
 
 def _encode(path: str, end_id: int):
+    """(id, ids) of each text, and at the end (token, n) of what the task has seen."""
+
     def encode(batches):
         import pyarrow as pa
 
         from tessera.llm.chunks import encoder, small_batches
+        from tessera.llm.pieces import binary_rows, with_last
 
-        coder, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        coder = encoder(path)
+        total = np.zeros(0, np.int64)
         for batch in small_batches(batches):
-            ids = [x + end for x in coder.encode(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.binary())], names=["id", "ids"])
+            ids, ends = with_last(*coder.encode(batch.column("text")), end_id)
+            got = np.bincount(ids, minlength=len(total))
+            got[: len(total)] += total
+            total = got
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("id"), binary_rows(ids, ends), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["id", "ids", "token", "n"])
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.binary()), pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["id", "ids", "token", "n"])
 
     return encode
 
 
-def _frequencies(batches):
-    import pyarrow as pa
+def _pack(rank_of, kind: str):
+    def packed(batches):
+        import pyarrow as pa
 
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for raw in batch.column("ids").to_pylist():
-            got = np.bincount(np.frombuffer(raw, "<u4"))
-            if len(got) > len(total):
-                total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-            total[: len(got)] += got
-    found = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["token", "n"])
+        from tessera.llm.chunks import small_batches
 
+        rank = rank_of.value
+        for batch in small_batches(batches, "ids", 2 << 20):
+            ids = batch.column("ids")
+            _, offsets, raw = ids.buffers()
+            at = np.frombuffer(offsets, np.int32)[ids.offset : ids.offset + len(ids) + 1]
+            counts = np.diff(at).astype(np.int64) // np.dtype(kind).itemsize
+            values = np.frombuffer(raw, np.uint8)[at[0] : at[-1]].view(kind) if raw else np.zeros(0, kind)
+            control, data, control_at, data_at = pack(rank[values], counts)
+            binary = lambda values, at: pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("part"), pa.array(counts), binary(control, control_at), binary(data, data_at)], names=["id", "part", "n", "control", "data"])
 
-def _write_blocks(rank_of, block_ids: int):
+    return packed
+
+
+def _write_blocks(block_ids: int):
     def write(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        part, skip, rank = TaskContext.get().partitionId(), 0, rank_of.value
         docs: list[int] = []
         counts: list[int] = []
-        held: list[bytes] = []
+        controls: list[bytes] = []
+        datas: list[bytes] = []
+        skip = size = 0
+        part = None
 
         def out():
-            ids = np.frombuffer(b"".join(held), "<u4")
-            value = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([skip], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([block(docs, counts, rank[ids])], pa.binary())], names=["part", "skip", "n_ids", "block"])
-            docs.clear()
-            counts.clear()
-            held.clear()
+            value = pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([skip], pa.int64()), pa.array([size], pa.int64()), pa.array([block(docs, counts, b"".join(controls), b"".join(datas))], pa.binary())],
+                names=["part", "skip", "n_ids", "block"],
+            )
+            for held in (docs, counts, controls, datas):
+                held.clear()
             return value
 
-        size = 0
         for batch in batches:
-            for doc, raw in zip(batch.column("id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                docs.append(doc)
-                counts.append(len(raw) // 4)
-                held.append(raw)
-                size += len(raw) // 4
-                if size >= block_ids:
+            for doc, its_part, n, control, data in zip(*(batch.column(c).to_pylist() for c in ("id", "part", "n", "control", "data")), strict=True):
+                if docs and (its_part != part or size >= block_ids):
                     yield out()
                     skip, size = skip + size, 0
+                if its_part != part:
+                    part, skip = its_part, 0
+                docs.append(doc)
+                counts.append(n)
+                controls.append(control)
+                datas.append(data)
+                size += n
         if docs:
             yield out()
 
@@ -140,22 +169,36 @@ def _write_blocks(rank_of, block_ids: int):
 def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes whole texts (null: empty), each followed by ``end_id``, into ``path``.
 
-    Rows go in ascending order of their integer id; rows without an id are not
-    documents and raise, rows that repeat an id follow each other. An empty table
-    makes an empty file.
+    Rows go in ascending order of their integer id; a row without an id is no document
+    and raises, rows that repeat an id follow each other. An empty table makes an empty
+    file.
     """
+    from tessera.llm.chunks import encoder
+
     spark = docs.sparkSession
     ship(spark)
     named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.raise_error(F.lit("a document without an id")).cast("long")).alias("id"), whole_text(text_col).alias("text"))
-    encoded = stored(named.mapInArrow(_encode(tokenizer_path, end_id), "id BIGINT, ids BINARY"), "encoded")
-    counted = encoded.select("ids").mapInArrow(_frequencies, "token BIGINT, n BIGINT").groupBy("token").agg(F.sum("n").alias("n"))
+    scratch = fresh_path(spark, "encoded")
+    kind = "id BIGINT, ids BINARY, token BIGINT, n BIGINT"
+    named.mapInArrow(_encode(tokenizer_path, end_id), kind).write.option("compression", "zstd").parquet(scratch)
+    encoded = spark.read.schema(kind).parquet(scratch)
     # one row per vocabulary entry that occurs: bounded by the tokenizer
+    counted = encoded.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n"))
     tokens = [r[0] for r in counted.orderBy(F.desc("n"), "token").collect()]
     rank = np.zeros(max(tokens, default=0) + 1, dtype=np.uint32)
     rank[tokens] = np.arange(len(tokens), dtype=np.uint32)
     spark.createDataFrame(list(enumerate(tokens)), "rank INT, token INT").coalesce(1).write.parquet(f"{path}/ranks")
-    blocks = encoded.orderBy("id").mapInArrow(_write_blocks(spark.sparkContext.broadcast(rank), block_ids), "part INT, skip BIGINT, n_ids BIGINT, block BINARY")
+    # ranges of ids of about equal counts; each is a part, sorted by one task
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = encoded.filter("id IS NOT NULL")
+    cuts = rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 100 * n)).first()[0] if n > 1 else []
+    above = F.array(*(F.lit(c).cast("long") for c in sorted(set(cuts or []))))
+    part = F.size(F.filter(above, lambda c: c < F.col("id"))).alias("part")
+    packed = rows.select("id", "ids", part).mapInArrow(_pack(spark.sparkContext.broadcast(rank), encoder(tokenizer_path).kind.str), "id BIGINT, part INT, n BIGINT, control BINARY, data BINARY")
+    dealt = packed.repartitionById(n, F.col("part")).sortWithinPartitions("part", "id")
+    blocks = dealt.mapInArrow(_write_blocks(block_ids), "part INT, skip BIGINT, n_ids BIGINT, block BINARY")
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    drop_stored(spark, scratch)
 
 
 def _read_blocks(token_of):
@@ -167,10 +210,10 @@ def _read_blocks(token_of):
             for start, raw in zip(batch.column("start").to_pylist(), batch.column("block").to_pylist(), strict=True):
                 docs, counts, ranks = read_block(raw)
                 ids = table[ranks]
-                ends = np.cumsum(counts.astype(np.int64))
+                ends = np.cumsum(counts)
                 sums = [zlib.crc32(ids[e - c : e]) for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs), pa.array(start + ends - counts), pa.array(counts.astype(np.int64)), pa.array(sums, pa.int64())],
+                    [pa.array(docs), pa.array(start + ends - counts), pa.array(counts), pa.array(sums, pa.int64())],
                     names=["id", "start", "n_tokens", "ids_crc32"],
                 )
 
@@ -184,7 +227,7 @@ def _ids_of_blocks(token_of):
         for batch in batches:
             for raw in batch.column("block").to_pylist():
                 docs, counts, ranks = read_block(raw)
-                ids, ends = token_of.value[ranks], np.cumsum(counts.astype(np.int64))
+                ids, ends = token_of.value[ranks], np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array([ids[e - c : e].tolist() for c, e in zip(counts.tolist(), ends.tolist(), strict=True)], pa.list_(pa.int64()))], names=["id", "ids"])
 
     return read

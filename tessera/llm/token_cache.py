@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,8 +49,8 @@ def _counter(path: str):
 
         coder = encoder(path)
         for batch in small_batches(batches):
-            ids = coder.encode(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["digest", "n_tokens"])
+            _, ends = coder.encode(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(np.diff(ends), pa.int64())], names=["digest", "n_tokens"])
 
     return count
 
