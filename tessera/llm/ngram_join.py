@@ -1,13 +1,15 @@
 """Self-join of texts by the Jaccard similarity of their word 5-gram sets, to components.
 
 Size-aware heavy-light join. All texts with one set are one class. A global order puts
-tokens (shingle hashes) that are frequent in the corpus last. Two sets that reach the
-threshold share a token among their first s - o + 1 (s: size, o: the overlap that any
-partner must have), and two tokens among their first s - o + 2. Light sets, up to a
-boundary size, enumerate all 2-subsets of the longer prefix and meet in equal subsets;
-heavy sets scan the inverted lists of the shorter prefix, where light sets large enough
-to be partners are listed too. The boundary is the size that minimises the estimated
-cost (subsets enumerated against list entries scanned).
+tokens (shingle hashes) that are frequent in the corpus last, and before those the ones
+of frequent words. Two sets that reach the
+threshold share k tokens among their first s - o + k (s: size, o: the overlap that any
+partner must have), for any k up to o. Light sets, up to a boundary size, enumerate all
+2-subsets of that prefix for k = 2 and meet in equal subsets; heavy sets scan the
+inverted lists of their prefix (k grows with o), where light sets large enough to be
+partners are listed too, and are candidates when they meet in k lists. The boundary is
+the size that minimises the estimated cost (subsets enumerated against list entries
+scanned).
 
 Inverted lists are streamed in sorted order, never gathered. Members are compared with
 their list's pivot first; components of the links found collapse groups of copies, and
@@ -20,21 +22,27 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ship, stored, whole_text
+from tessera.llm.common import most_frequent, ship, stored, whole_text
 from tessera.llm.components import components
+from tessera.llm.textnum import WORD_BUCKETS
 
 WORDS = 5
 #: Linked when NUM * union <= DEN * intersection.
 NUM, DEN = 75, 100
 #: The order ranks so many of the most frequent tokens last; it changes cost, never results.
-HOT_TOKENS = 1 << 16
+HOT_TOKENS = 1 << 21
 #: Members of a hot list for each of its sub-lists; comparisons of a pivot for each of its tasks.
 LIST_PART, PIVOT_PART = 2000, 256
 #: Sizes up to this may be light.
 LIGHTEST = 64
+#: Meetings for each list entry beyond which lists get another pivot before all are met.
+MEETINGS = 2
+#: From this length on, a list's strangers are also compared with about so many of its largest component.
+LONG_LIST, SOME = 256, 32
 #: Rows sent to all executors at most; beyond it, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -44,6 +52,16 @@ def least_overlap(size, num: int = NUM, den: int = DEN):
     return -(-size * num // den)
 
 
+def needed(overlap):
+    """How many tokens of their prefixes two sets must share whose smaller one has this least overlap."""
+    return 1 + overlap // 32
+
+
+def prefix(size, num: int = NUM, den: int = DEN):
+    overlap = least_overlap(size, num, den)
+    return size - overlap + needed(overlap)
+
+
 def _sid(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -55,27 +73,29 @@ def _batches(batches):
 
 
 def _describe(n_words: int):
-    """Kind 0: (id, size, sid, check); kind 1: (token, count) of tokens that a task saw in 4 sets or more."""
+    """Kind 0: (id, size, sid, check); kind 1: (token, count) of tokens that a task saw in 2 sets or
+    more; kind 2: the same of word buckets."""
 
     def describe(batches):
-        import pyarrow as pa
-
         from tessera.llm.textnum import shingle_sets
 
         held, size, seen = [], 0, set()
+        words = np.zeros(WORD_BUCKETS, np.int64)
         fields = ["kind", "id", "size", "sid", "check", "token", "count"]
 
         def hot():
             tokens, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
-            often = counts >= 4
-            tokens, counts = tokens[often].view(np.int64), counts[often]
+            often = counts >= 2
+            return counted(1, tokens[often].view(np.int64), counts[often])
+
+        def counted(kind, tokens, counts):
             n = len(tokens)
             none = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), none, none, none, none, pa.array(tokens), pa.array(counts.astype(np.int64))], names=fields)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), none, none, none, none, pa.array(tokens), pa.array(counts.astype(np.int64))], names=fields)
 
         for batch in _batches(batches):
             sizes, sids, checks = [], [], []
-            for tokens in shingle_sets(batch.column("text"), n_words):
+            for tokens in shingle_sets(batch.column("text"), n_words, counts=words):
                 digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
                 sid = _sid(tokens)
                 sizes.append(len(tokens))
@@ -92,6 +112,8 @@ def _describe(n_words: int):
                 yield hot()
                 held, size, seen = [], 0, set()
         yield hot()
+        used = np.flatnonzero(words)
+        yield counted(2, used, words[used])
 
     return describe
 
@@ -99,13 +121,14 @@ def _describe(n_words: int):
 def light_boundary(sizes: dict[int, int], list_cost: float, num: int = NUM, den: int = DEN) -> int:
     """The largest light size, by cost: an enumerated subset or a listed entry costs 1,
     scanning an entry's list costs ``list_cost`` more."""
-    short = {s: s - least_overlap(s, num, den) + 1 for s in sizes}
+    short = {s: prefix(s, num, den) for s in sizes}
 
     def cost(x: int) -> float:
         total = 0.0
         for s, n in sizes.items():
             if s <= x:
-                total += n * (short[s] + 1) * short[s] / 2
+                pair = s - least_overlap(s, num, den) + 2
+                total += n * pair * (pair - 1) / 2
                 total += n * short[s] * (s >= least_overlap(x + 1, num, den))
             else:
                 total += n * short[s] * (1 + list_cost)
@@ -114,18 +137,28 @@ def light_boundary(sizes: dict[int, int], list_cost: float, num: int = NUM, den:
     return min(range(1, LIGHTEST + 1), key=lambda x: (cost(x), x))
 
 
+#: Roles of list entries: of heavy sets, of light sets in heavy sets' lists, of subsets of light sets.
+SCANNED, LISTED_ONLY, SUBSET = 0, 1, 2
+#: ``own``: how much of the set is seldom elsewhere, in thousandths; what most others resemble has little.
+_LIST_FIELDS = {"key": "BIGINT", "part": "INT", "own": "INT", "sid": "BIGINT", "size": "INT", "rest": "INT", "role": "INT"}
+_PIVOT_FIELDS = {"pivot": "BIGINT", "pivot_size": "INT", "pivot_rest": "INT", "pivot_role": "INT"}
+_SHARED = 3  # the fields of a list and its order
+LISTED = ", ".join(f"{k} {v}" for k, v in (_LIST_FIELDS | _PIVOT_FIELDS).items())
+
+
+_ARROW = {"BIGINT": pa.int64, "INT": pa.int32}
+
+
 def _postings(n_words: int, hot, boundary: int, num: int, den: int):
     def postings(batches):
-        import pyarrow as pa
-
         from tessera.llm.textnum import mix, shingle_sets
 
-        tokens_hot, counts_hot = hot.value
-        fields = ["key", "part", "sid", "size", "light"]
+        tokens_hot, counts_hot, rarity = hot.value
+        fields = list(_LIST_FIELDS)
         seen: set[int] = set()
         for batch in _batches(batches):
-            out = [[], [], [], [], []]
-            for tokens in shingle_sets(batch.column("text"), n_words):
+            out = [[], [], [], [], [], [], []]
+            for tokens, rare in shingle_sets(batch.column("text"), n_words, rarity):
                 s = len(tokens)
                 sid = _sid(tokens)
                 if s == 0 or sid in seen:
@@ -136,52 +169,55 @@ def _postings(n_words: int, hot, boundary: int, num: int, den: int):
                 if len(tokens_hot):
                     at = np.minimum(np.searchsorted(tokens_hot, tokens), len(tokens_hot) - 1)
                     found = tokens_hot[at] == tokens
-                    if found.any():
-                        count[found] = counts_hot[at[found]]
-                        order = np.argsort(count, kind="stable")
-                        tokens, count = tokens[order], count[order]
-                short = s - least_overlap(s, num, den) + 1
+                    count[found] = counts_hot[at[found]]
+                order = np.lexsort((tokens, -rare, count))
+                tokens, count = tokens[order], count[order]
+                short = prefix(s, num, den)
                 light = s <= boundary
+                own = int((count == 0).sum()) * 1000 // s
                 if light and s > 1:
-                    first = tokens[: short + 1]
+                    first = tokens[: s - least_overlap(s, num, den) + 2]
                     i, j = np.triu_indices(len(first), 1)
                     keys = mix(mix(first[i]) + first[j])
                     part = np.zeros(len(keys), np.int64)
                     out[0].append(keys)
                     # copies of a subset are as many as those of its rarer token at most
-                    parts = count[: short + 1][i] // LIST_PART
+                    parts = count[i] // LIST_PART
                     out[1].append(np.where(parts > 0, 1 + sid % (parts + 1), part))
-                    out[2].append(np.full(len(keys), sid, np.int64))
-                    out[3].append(np.full(len(keys), s, np.int64))
-                    out[4].append(np.zeros(len(keys), bool))
+                    out[2].append(np.full(len(keys), own))
+                    out[3].append(np.full(len(keys), sid, np.int64))
+                    out[4].append(np.full(len(keys), s, np.int64))
+                    out[5].append(s - j + 1)
+                    out[6].append(np.full(len(keys), SUBSET))
                 if not light or s >= least_overlap(boundary + 1, num, den):
                     keys = mix(tokens[:short])
                     parts = count[:short] // LIST_PART
                     out[0].append(keys)
                     out[1].append(np.where(parts > 0, 1 + sid % (parts + 1), 0))
-                    out[2].append(np.full(short, sid, np.int64))
-                    out[3].append(np.full(short, s, np.int64))
-                    out[4].append(np.full(short, light))
+                    out[2].append(np.full(short, own))
+                    out[3].append(np.full(short, sid, np.int64))
+                    out[4].append(np.full(short, s, np.int64))
+                    out[5].append(s - np.arange(short))
+                    out[6].append(np.full(short, LISTED_ONLY if light else SCANNED))
             if out[0]:
-                key, part, sid_, size, light_ = (np.concatenate(x) for x in out)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(part.astype(np.int32)), pa.array(sid_), pa.array(size.astype(np.int32)), pa.array(light_)], names=fields)
+                columns = [np.concatenate(x) for x in out]
+                columns[0] = columns[0].view(np.int64)
+                types = [_ARROW[t]() for t in _LIST_FIELDS.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, types, strict=True)], names=fields)
 
     return postings
 
 
 def _lists(batches):
-    """Of rows sorted by key, part and sid: those of lists with two sets or more (and of
+    """Of rows sorted by key, part, own and sid: those of lists with two sets or more (and of
     all sub-lists), each with its list's first set as pivot. Holds one row from batch to batch."""
-    import pyarrow as pa
-
-    fields = ["key", "part", "sid", "size", "light"]
     last, first, shown = None, None, False
     for batch in batches:
-        columns = [batch.column(f).to_numpy(zero_copy_only=False) for f in fields]
+        columns = [batch.column(f).to_numpy(zero_copy_only=False) for f in _LIST_FIELDS]
         n = batch.num_rows
         if not n:
             continue
-        key, part, sid, size, light = columns
+        key, part, _, sid = columns[:4]
         new_list = np.ones(n, bool)
         new_list[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
         repeat = np.zeros(n, bool)
@@ -191,38 +227,30 @@ def _lists(batches):
             repeat[0] = sid[0] == last[2]
         begins = np.flatnonzero(new_list)
         group = np.cumsum(new_list) - 1  # -1: goes on from the batch before
-        head = np.where(group >= 0, begins[np.maximum(group, 0)] if len(begins) else 0, -1)
         many = np.zeros(len(begins) + 1, bool)
-        other = ~repeat & ~new_list
-        many[group[other] + 1] = True
-        many_rows = many[group + 1] | (part > 0)
-        keep = ~repeat & many_rows
-        pivot = np.where(head >= 0, sid[np.maximum(head, 0)], first[2] if first else 0)
-        pivot_size = np.where(head >= 0, size[np.maximum(head, 0)], first[3] if first else 0)
-        pivot_light = np.where(head >= 0, light[np.maximum(head, 0)], first[4] if first else False)
-        rows = [key[keep], part[keep], sid[keep], size[keep], light[keep], pivot[keep], pivot_size[keep], pivot_light[keep]]
+        many[group[~repeat & ~new_list] + 1] = True
+        keep = ~repeat & (many[group + 1] | (part > 0))
+        head = begins[np.maximum(group[keep], 0)] if len(begins) else np.zeros(int(keep.sum()), np.int64)
+        goes_on = group[keep] < 0
+        rows = [c[keep] for c in columns]
+        rows += [np.where(goes_on, first[k] if first else c[0], c[head]) for k, c in enumerate(columns) if k >= _SHARED]
         if first and not shown and not new_list[0] and many[0]:
-            rows = [np.concatenate([[v], r]) for v, r in zip((*first, first[2], first[3], first[4]), rows, strict=True)]
+            rows = [np.concatenate([[v], r]) for v, r in zip((*first, *first[_SHARED:]), rows, strict=True)]
             shown = True
         last = (key[-1], part[-1], sid[-1])
         if len(begins):
             k = begins[-1]
-            first = (key[k], part[k], sid[k], size[k], light[k])
+            first = [c[k] for c in columns]
             shown = bool(keep[k])
         if len(rows[0]):
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(r.astype(bool) if t == pa.bool_() else r, t) for r, t in zip(rows, kinds, strict=True)], names=[*fields, "pivot", "pivot_size", "pivot_light"])
-
-
-LISTED = "key BIGINT, part INT, sid BIGINT, size INT, light BOOLEAN, pivot BIGINT, pivot_size INT, pivot_light BOOLEAN"
+            types = [_ARROW[t]() for t in (_LIST_FIELDS | _PIVOT_FIELDS).values()]
+            yield pa.RecordBatch.from_arrays([pa.array(r.astype(t.to_pandas_dtype()), t) for r, t in zip(rows, types, strict=True)], names=[*_LIST_FIELDS, *_PIVOT_FIELDS])
 
 
 def _compare(n_words: int, num: int, den: int):
     """Of rows sorted by group, pivot first: the pairs (a, b) that reach the threshold."""
 
     def compare(batches):
-        import pyarrow as pa
-
         from tessera.llm.textnum import shingle_sets
 
         at, pivot = None, None
@@ -252,7 +280,8 @@ class _Join:
         self.docs = docs
         described = stored(docs.mapInArrow(_describe(n_words), "kind INT, id BIGINT, size BIGINT, sid BIGINT, check BIGINT, token BIGINT, count BIGINT"), "described")
         self.info = described.filter("kind = 0").select("id", "size", "sid", "check")
-        self.tokens = described.filter("kind = 1").groupBy("token").agg(F.sum("count").alias("n"))
+        self.tokens = stored(described.filter("kind = 1").groupBy("token").agg(F.sum("count").alias("n")), "shared-tokens")
+        self.words = described.filter("kind = 2").groupBy("token").agg(F.sum("count").alias("n"))
         # one row per distinct set
         self.classes = stored(
             self.info.filter("size > 0 AND id IS NOT NULL").groupBy("sid").agg(F.min("id").alias("id"), F.min("size").cast("int").alias("size"), F.min("check").alias("low"), F.max("check").alias("high")), "classes"
@@ -260,21 +289,39 @@ class _Join:
         if not self.classes.filter("low <> high").isEmpty():
             raise ValueError("two different sets have one 64-bit name")
 
-    def near_sizes(self, a: str, b: str):
-        return (F.least(a, b) * self.den) >= (F.greatest(a, b) * self.num)
+    def candidates(self, met: DataFrame, a: str, b: str, once: bool = False) -> DataFrame:
+        """Of meetings in lists, one row each, of sets ``a`` and ``b`` (prefixes of their columns): the
+        pairs (a, b, a smaller) that meet as often as they must. ``rest`` counts an entry's token
+        and those after it (for subsets their tokens and those after them): what of it lies behind
+        the pair's own prefix does not count. Linked sets share at least num / (num + den) of
+        their sizes' sum. ``once`` asks for one meeting alone."""
+        col = lambda side, name: F.col(f"{side}{name}").cast("long")
+        sizes = col(a, "size") + col(b, "size")
+        share = F.ceil(sizes * self.num / (self.num + self.den) - 1e-9).cast("long")
+        small = F.ceil(F.least(col(a, "size"), col(b, "size")) * self.num / self.den - 1e-9).cast("long")
+        times = F.lit(1).cast("long") if once else F.when(F.col(f"{a}role") == SUBSET, F.lit(1).cast("long")).otherwise(1 + F.floor(small / 32))
+        inside = F.least(col(a, "rest"), col(b, "rest")) > share - times
+        both = (F.col(f"{a}role") != LISTED_ONLY) | (F.col(f"{b}role") != LISTED_ONLY)
+        x, y = F.col(f"{a}sid"), F.col(f"{b}sid")
+        pairs = met.filter(both & inside).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), times.alias("times"))
+        return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("times").alias("times")).filter("n >= times").select("a", "b")
 
     def listed(self) -> DataFrame:
-        hot = self.tokens.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).collect()
-        token = np.array([r["token"] for r in hot], np.int64).view(np.uint64)
+        hot = most_frequent(self.tokens, HOT_TOKENS).select("token", "n").toArrow()
+        token = hot.column("token").to_numpy().view(np.uint64)
         order = np.argsort(token)
-        count = np.array([r["n"] for r in hot], np.int64)
-        shared = self.spark.sparkContext.broadcast((token[order], count[order]))
+        count = hot.column("n").to_numpy()
+        seen = np.zeros(WORD_BUCKETS)
+        for r in self.words.collect():  # at most one row per bucket
+            seen[r["token"]] = r["n"]
+        rarity = np.round(4 * np.log2((seen.sum() + 1) / (seen + 1))).astype(np.int32)
+        shared = self.spark.sparkContext.broadcast((token[order], count[order], rarity))
         sizes = {r[0]: r[1] for r in self.classes.groupBy(F.least("size", F.lit(4 * LIGHTEST)).alias("s")).count().collect()}
         entries = sum(n * s for s, n in sizes.items())
         self.boundary = light_boundary(sizes, float((count.astype(np.float64) ** 2).sum() / max(entries, 1)), self.num, self.den)
-        posted = self.docs.filter("id IS NOT NULL").mapInArrow(_postings(self.n_words, shared, self.boundary, self.num, self.den), "key BIGINT, part INT, sid BIGINT, size INT, light BOOLEAN")
+        posted = self.docs.filter("id IS NOT NULL").mapInArrow(_postings(self.n_words, shared, self.boundary, self.num, self.den), ", ".join(f"{k} {v}" for k, v in _LIST_FIELDS.items()))
         n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        dealt = posted.repartition(n, "key", "part").sortWithinPartitions("key", "part", "sid")
+        dealt = posted.repartition(n, "key", "part").sortWithinPartitions("key", "part", "own", "sid")
         return stored(dealt.mapInArrow(_lists, LISTED), "listed")
 
     def compared(self, pairs: DataFrame) -> DataFrame:
@@ -295,42 +342,47 @@ class _Join:
     def run(self) -> DataFrame:
         """(sid, component) for the classes that have links."""
         listed = self.listed()
-        possible = self.near_sizes("size", "pivot_size") & ~(F.col("light") & F.col("pivot_light")) & (F.col("sid") != F.col("pivot"))
-        pairs = listed.filter(possible).select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
+        with_pivot = listed.withColumnRenamed("pivot", "pivot_sid")
+        pairs = self.candidates(with_pivot.filter("sid <> pivot_sid"), "pivot_", "", once=True)
         # sub-lists of a hot list meet through their pivots
-        parts = listed.filter("part > 0").select("key", "pivot", "pivot_size").distinct()
-        least = parts.groupBy("key").agg(F.min(F.struct("pivot", "pivot_size")).alias("low"))
-        across = parts.join(least.hint("merge"), "key").filter("pivot <> low.pivot").filter(self.near_sizes("pivot_size", "low.pivot_size"))
-        pairs = pairs.union(across.select(F.col("low.pivot"), F.col("pivot")))
-        links = self.compared(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        lists = listed.select("key", "sid", "size", "light")
-        idle = round_ = 0
+        parts = listed.filter("part > 0").select("key", "pivot").distinct()
+        least = parts.groupBy("key").agg(F.min("pivot").alias("low"))
+        across = parts.join(least.hint("merge"), "key").filter("pivot <> low").select(F.col("low").alias("a"), F.col("pivot").alias("b"))
+        pairs = pairs.union(across.distinct())
+        links = self.compared(pairs)
+        lists = listed.select("key", "own", "sid", "size", "rest", "role")
+        entry = ("component", "sid", "size", "rest", "role")
+        round_, before = 0, None
         while True:
             labels = components(links)
             named = lists.join(labels.withColumnRenamed("node", "sid").hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-            per = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("sid", F.lit(round_))).alias("draw"))
-            per = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all"), F.min("draw").alias("draw"), F.count(F.lit(1)).alias("kinds"))
-            mixed = stored(per.filter("kinds > 1").select("key", F.col("most.component").alias("main"), "draw", "all", (F.col("all") - F.col("most.n")).alias("strangers")), "mixed")
+            per = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("own", "sid")).alias("draw"))
+            # of those outside a list's largest component, the one that most others resemble is its next pivot
+            sums = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+            others = per.join(sums.select("key", F.col("most.component").alias("main")).hint("merge"), "key").filter("component <> main").groupBy("key").agg(F.min("draw").alias("draw"))
+            mixed = sums.join(others.hint("merge"), "key")
+            mixed = stored(mixed.select("key", F.col("most.component").alias("main"), F.col("draw.sid").alias("draw"), "all", (F.col("all") - F.col("most.n")).alias("strangers")), "mixed")
             lists = stored(named.join(mixed.hint("merge"), "key"), "mixed-lists")
-            size = mixed.agg(F.sum(F.col("all") * F.col("strangers")).alias("pairs"), F.sum("all").alias("rows")).first()
+            size = mixed.agg(F.sum(F.col("all") * F.col("strangers")).alias("meetings"), F.sum("all").alias("rows"), F.sum("strangers").alias("strangers")).first()
             if not size["rows"]:
                 return labels
-            last = idle >= 3 or size["pairs"] <= 20 * size["rows"] + 1_000_000
-            one = lists.select("key", "component", "main", "sid", "size", "light", "draw")
-            if last:  # few are left: every pair of them with another component
-                left = one.filter("component <> main")
-            else:  # one more pivot for each list, drawn anew
-                left = one.filter(F.xxhash64("sid", F.lit(round_)) == F.col("draw"))
-            left = left.select("key", *(F.col(c).alias(f"l_{c}") for c in ("component", "sid", "size", "light")))
-            met = left.join(lists.select("key", "component", "sid", "size", "light").hint("merge"), "key")
-            met = met.filter("l_component <> component AND NOT (l_light AND light)").filter(self.near_sizes("l_size", "size"))
-            found = self.compared(met.select(F.least("l_sid", "sid").alias("a"), F.greatest("l_sid", "sid").alias("b")))
-            links = stored(links.union(found), "links")
-            if last:
-                return components(links)
-            lists = lists.select("key", "sid", "size", "light")
-            idle = idle + 1 if found.isEmpty() else 0
-            round_ += 1
+            one = lists.select("key", "main", "draw", "all", *entry)
+
+            def met(left: DataFrame, apart: str) -> DataFrame:
+                left = left.select("key", *(F.col(c).alias(f"l_{c}") for c in entry))
+                return left.join(lists.select("key", "main", *entry).hint("merge"), "key").filter(f"l_component <> component AND ({apart})")
+
+            # pivots are worth a round while they take many strangers into components
+            if (before is not None and size["strangers"] > 0.9 * before) or size["meetings"] <= MEETINGS * size["rows"]:
+                # every meeting of a stranger with another component, once
+                pairs = self.candidates(met(one.filter("component <> main"), "component = main OR l_sid < sid"), "l_", "")
+                return components(stored(links.union(self.compared(pairs)), "links"))
+            # one more pivot for each list, and in long ones some members of the largest component
+            some = (F.col("component") == F.col("main")) & (F.col("all") >= LONG_LIST) & (F.pmod(F.xxhash64("sid", F.lit(round_)), F.floor(F.col("all") / SOME)) == 0)
+            drawn = one.filter((F.col("sid") == F.col("draw")) | some)
+            links = stored(links.union(self.compared(self.candidates(met(drawn, "true"), "l_", "", once=True))), "links")
+            lists = lists.select("key", "own", "sid", "size", "rest", "role")
+            round_, before = round_ + 1, size["strangers"]
 
 
 def jaccard_components(docs: DataFrame, n_words: int = WORDS, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

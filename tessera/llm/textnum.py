@@ -40,7 +40,7 @@ def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
 
 
 #: Bytes hashed at once, which bounds the arrays; a longer word is still hashed whole.
-SEGMENT = 2 << 20
+SEGMENT = (1 << 20) - 8192
 
 
 def _segment_words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,17 +106,37 @@ def arrow_text(column) -> tuple[bytes, np.ndarray]:
     return (data.to_pybytes() if data is not None else b""), starts
 
 
-def shingle_sets(column, n: int = 5):
+#: Words share so many counters when their frequencies are estimated.
+WORD_BUCKETS = 1 << 16
+
+
+def word_buckets(hashed: np.ndarray) -> np.ndarray:
+    return (hashed >> np.uint64(48)).astype(np.int64)
+
+
+def shingle_sets(column, n: int = 5, rarity: np.ndarray | None = None, counts: np.ndarray | None = None):
     """Yields each text's sorted distinct ``n``-word shingle hashes; with fewer words the
-    whole sequence is one shingle, without words there is none."""
+    whole sequence is one shingle, without words there is none. With ``rarity`` (of word
+    buckets) it yields (hashes, sum of the words' rarities) instead; words are added to
+    ``counts`` by bucket."""
     data, starts = arrow_text(column)
     hashed, _, _, first = words(data, starts)
+    if counts is not None:
+        counts += np.bincount(word_buckets(hashed), minlength=WORD_BUCKETS)
     every = ngrams(hashed, n)
+    if rarity is not None:
+        sums = np.concatenate([[0], np.cumsum(rarity[word_buckets(hashed)], dtype=np.int64)])
+        rare = (sums[n:] - sums[:-n]) if len(hashed) >= n else sums[:0]
     for k in range(len(starts) - 1):
         a, b = first[k], first[k + 1]
+        if b - a >= n and rarity is not None:
+            tokens, at = np.unique(every[a : b - n + 1], return_index=True)
+            yield tokens, rare[a : b - n + 1][at]
+            continue
         if b - a >= n:
-            yield np.unique(every[a : b - n + 1])
+            tokens = np.unique(every[a : b - n + 1])
         elif b > a:
-            yield mix(ngrams(hashed[a:b], b - a) + np.uint64(b - a))
+            tokens = mix(ngrams(hashed[a:b], b - a) + np.uint64(b - a))
         else:
-            yield np.zeros(0, np.uint64)
+            tokens = np.zeros(0, np.uint64)
+        yield tokens if rarity is None else (tokens, np.zeros(len(tokens), np.int64))
