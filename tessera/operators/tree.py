@@ -49,7 +49,7 @@ def project(spark: SparkSession, nodes: DataFrame, edges: DataFrame, depth: int
           UNION ALL
           SELECT w.tree_id, e.child, array_append(w.path, e.ord) FROM walk w JOIN tessera_edges e ON e.tree_id = w.tree_id AND e.parent = w.id
         )
-        SELECT tree_id, id, path, slice(path, 1, size(path) - 1) AS parent_path,
+        SELECT tree_id, id, path, slice(path, 1, greatest(size(path) - 1, 0)) AS parent_path,
                row_number() OVER (PARTITION BY tree_id ORDER BY path) - 1 AS node
         FROM walk
         """

@@ -183,8 +183,8 @@ def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKEN_ROWS = """
 pairs AS (
   SELECT concat_ws(':', conv_id, turn) AS id, conv_id, turn, text AS prompt, next_text AS target,
-         list_transform(string_split(text, ' '), w -> length(w)) AS prompt_tokens,
-         list_transform(string_split(next_text, ' '), w -> length(w)) AS target_tokens
+         list_transform(string_split(text, ' '), lambda w: length(w)) AS prompt_tokens,
+         list_transform(string_split(next_text, ' '), lambda w: length(w)) AS target_tokens
   FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations
         WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
   WHERE role = 'user' AND next_role = 'assistant'

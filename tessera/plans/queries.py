@@ -434,7 +434,7 @@ def replay_window(spark, d):
 def replay_examples(spark, d):
     every = B.attempts(spark, d)
     per = scoring.solve_rates(every.withColumn("statement_id", F.struct("statement_id", "round"))).select(F.col("statement_id.statement_id").alias("statement_id"), F.col("statement_id.round").alias("round"), "score")
-    pools = B.statements(spark, d).select("id", "statement", "header", F.explode(F.sequence(F.lit(0), F.lit(2))).cast("int").alias("round"))
+    pools = B.statements(spark, d).select("id", "statement", "header", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("round"))
     return X.replay_examples(every, pools, per, 2, 2, 0.5).select("statement_id", "round", "target")
 
 
@@ -623,8 +623,8 @@ def collate(spark, d):
 
 
 _LOSSES = f"""{B.TOKEN_ROWS}, rows AS (
-  SELECT conv_id % 7 AS batch, len(target_tokens) AS n, list_sum(list_transform(target_tokens, t -> t * 0.1e0)) / len(target_tokens) AS loss,
-         len(list_filter(target_tokens, t -> t > 2)) AS hits, 1.0e0 + conv_id % 3 AS weight FROM pairs),
+  SELECT conv_id % 7 AS batch, len(target_tokens) AS n, list_sum(list_transform(target_tokens, lambda t: t * 0.1e0)) / len(target_tokens) AS loss,
+         len(list_filter(target_tokens, lambda t: t > 2)) AS hits, 1.0e0 + conv_id % 3 AS weight FROM pairs),
 batches AS (
   SELECT batch, sum(loss * weight) / sum(weight) AS loss, CAST(sum(n) AS BIGINT) AS target_tokens, CAST(sum(hits) AS BIGINT) AS correct_tokens,
          count(*) FILTER (hits = n) AS exact_proofs, count(*) AS examples FROM rows GROUP BY 1)"""
@@ -657,7 +657,7 @@ def epoch_rollup(spark, d):
     return tokens.epoch_rollup(steps).withColumn("loss", r6("loss"))
 
 
-@query(f"WITH {B.TOKEN_ROWS} SELECT id, CAST(len(list_filter(prompt_tokens, t -> t <> 3)) AS INT) AS n, list_aggregate(prompt_tokens[-10:], 'string_agg', ',') AS kept FROM pairs")
+@query(f"WITH {B.TOKEN_ROWS} SELECT id, CAST(len(list_filter(prompt_tokens, lambda t: t <> 3)) AS INT) AS n, list_aggregate(prompt_tokens[-10:], 'string_agg', ',') AS kept FROM pairs")
 def prompt_tail(spark, d):
     rows = B.token_rows(spark, d)
     return rows.select("id", numeric.token_count(F.col("prompt_tokens"), 3).alias("n"), F.array_join(F.transform(tokens.keep_right(F.col("prompt_tokens"), 10), lambda t: t.cast("string")), ",").alias("kept"))
