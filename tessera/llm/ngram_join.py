@@ -42,7 +42,7 @@ LIGHTEST = 64
 #: Meetings for each list entry beyond which lists get another pivot before all are met.
 MEETINGS = 2
 #: From this length on, a list's strangers are also compared with about so many of its largest component.
-LONG_LIST, SOME = 256, 32
+LONG_LIST, SOME = 512, 128
 #: Rows sent to all executors at most; beyond it, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -356,17 +356,14 @@ class _Join:
         while True:
             labels = components(links)
             named = lists.join(labels.withColumnRenamed("node", "sid").hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-            per = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("own", "sid")).alias("draw"))
-            # of those outside a list's largest component, the one that most others resemble is its next pivot
-            sums = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-            others = per.join(sums.select("key", F.col("most.component").alias("main")).hint("merge"), "key").filter("component <> main").groupBy("key").agg(F.min("draw").alias("draw"))
-            mixed = sums.join(others.hint("merge"), "key")
-            mixed = stored(mixed.select("key", F.col("most.component").alias("main"), F.col("draw.sid").alias("draw"), "all", (F.col("all") - F.col("most.n")).alias("strangers")), "mixed")
+            per = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+            per = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+            mixed = stored(per.select("key", F.col("most.component").alias("main"), "all", (F.col("all") - F.col("most.n")).alias("strangers")), "mixed")
             lists = stored(named.join(mixed.hint("merge"), "key"), "mixed-lists")
             size = mixed.agg(F.sum(F.col("all") * F.col("strangers")).alias("meetings"), F.sum("all").alias("rows"), F.sum("strangers").alias("strangers")).first()
             if not size["rows"]:
                 return labels
-            one = lists.select("key", "main", "draw", "all", *entry)
+            one = lists.select("key", "main", "all", "own", *entry)
 
             def met(left: DataFrame, apart: str) -> DataFrame:
                 left = left.select("key", *(F.col(c).alias(f"l_{c}") for c in entry))
@@ -377,9 +374,11 @@ class _Join:
                 # every meeting of a stranger with another component, once
                 pairs = self.candidates(met(one.filter("component <> main"), "component = main OR l_sid < sid"), "l_", "")
                 return components(stored(links.union(self.compared(pairs)), "links"))
-            # one more pivot for each list, and in long ones some members of the largest component
+            # of those outside a list's largest component, the least singular is its next pivot; in long
+            # lists some members of the largest component are too
+            best = one.filter("component <> main").groupBy("key").agg(F.min(F.struct("own", "sid", "component", "size", "rest", "role")).alias("p")).select("key", *(F.col(f"p.{c}").alias(c) for c in entry))
             some = (F.col("component") == F.col("main")) & (F.col("all") >= LONG_LIST) & (F.pmod(F.xxhash64("sid", F.lit(round_)), F.floor(F.col("all") / SOME)) == 0)
-            drawn = one.filter((F.col("sid") == F.col("draw")) | some)
+            drawn = best.unionByName(one.filter(some).select("key", *entry))
             links = stored(links.union(self.compared(self.candidates(met(drawn, "true"), "l_", "", once=True))), "links")
             lists = lists.select("key", "own", "sid", "size", "rest", "role")
             round_, before = round_ + 1, size["strangers"]
