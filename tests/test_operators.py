@@ -297,3 +297,18 @@ def test_recorded_providers(spark):
     answers = spark.createDataFrame([("a", "old", 0), ("a", "new", 1)], "k STRING, v STRING, ord INT")
     ask = providers.recorded(answers, "k")
     assert sorted((r.k, r.v) for r in ask(spark.createDataFrame([("a",), ("b",)], "k STRING")).collect()) == [("a", "new"), ("b", None)]
+
+
+def test_checker_source_takes_texts_of_any_length(spark):
+    rows = [(1, "x" * 5000, "en"), (2, "y" * 199, None), (3, None, None)]
+    got = spark.createDataFrame(rows, "k INT, text STRING, proof STRING").select(text.checker_source(F.lit("h\n"), F.col("text"), F.col("proof"))).collect()
+    assert [r[0] for r in got] == ["h\n" + "x" * 5000 + "\nen", "h\n" + "y" * 199 + "\n", "h\n\n"]
+
+
+def test_checker_source_query_covers_every_document(spark):
+    from tessera.catalogue import QUERIES
+
+    got = QUERIES["checker_source_whole"](spark, "/root/testdata/sf0.001").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert len(got) == docs.count() and max(r.n_chars for r in got) >= 200
+    assert all(r.code_sha256 is not None for r in got)
