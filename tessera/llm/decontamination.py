@@ -1,12 +1,13 @@
 """Finds benchmark items inside documents.
 
 Documents are cut into windows as long as an item; window and item are compared by
-64-bit SimHash of their five-word shingles, then exactly. Windows that cannot reach the
-similarity are never cut: one that does shares a shingle with any choice of more than a
-quarter of the item's shingles (the anchors), so windows start where an anchor would
-place the item. Fingerprints meet through multi-index Hamming blocks: four blocks of 16
-bits, an item's block listed under every value within a quarter of the radius, which
-misses no pair within the radius. All DataFrame code.
+64-bit SimHash of their five-word shingles, then exactly. Any place may start a window,
+whatever the order of what it shares with the item. Not cut are windows that cannot be
+an item's best: those that start outside the item's shingles (the next start shares as
+much), those whose left neighbour shares as much, and those with too few of the item's
+shingles for the similarity. Fingerprints meet through multi-index Hamming blocks:
+four blocks of 16 bits, an item's block listed under every value within a quarter of the
+radius, which misses no pair within the radius. All DataFrame code.
 """
 
 from __future__ import annotations
@@ -60,13 +61,15 @@ def _block(fingerprint: Column, k: Column) -> Column:
 
 
 def hamming_pairs(windows: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """All (print, item_print) of two tables of distinct fingerprints within ``radius``."""
+    """All (print, item_print) of two tables of distinct fingerprints within ``radius``;
+    where ``windows`` names an item_print, of these pairs alone."""
     near = [m for m in range(1 << BLOCK_BITS) if m.bit_count() <= radius // BLOCKS]
     each = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
     listed = items.select("item_print", each).select("item_print", "block", F.explode(F.lit(near)).alias("mask"))
     listed = listed.select("item_print", "block", _block(F.col("item_print"), F.col("block")).bitwiseXOR(F.col("mask")).alias("value"))
-    cut = windows.select("print", each).withColumn("value", _block(F.col("print"), F.col("block")))
-    met = cut.join(listed.hint("merge"), ["block", "value"])
+    named = [c for c in windows.columns if c == "item_print"]
+    cut = windows.select("print", *named, each).withColumn("value", _block(F.col("print"), F.col("block")))
+    met = cut.join(listed.hint("merge"), [*named, "block", "value"])
     return met.filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius).select("print", "item_print").distinct()
 
 
@@ -81,21 +84,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARI
     words = word_list(whole_text(item_text_col))
     items = benchmark.select(F.col(item_col).alias("item_id"), shingle_hashes(words).alias("item_hashes")).filter(F.size("item_hashes") > 0)
     items = stored(items.withColumn("item_print", simhash(F.col("item_hashes"))), "items")
-    # more than a quarter of the distinct shingles, spread over the item
-    every = F.array_distinct("item_hashes")
-    quota = F.floor(F.size("item_hashes") * (1 - least)).cast("int") + 1
-    anchors = items.select(F.explode(F.slice(F.sort_array(every), 1, quota)).alias("hash"), "item_hashes", F.size("item_hashes").alias("n"))
-    anchors = stored(anchors.select("hash", (F.posexplode("item_hashes")), "n").filter("col = hash").select("hash", F.col("pos").alias("at"), "n").distinct(), "anchors")
-    small = anchors.count() <= BROADCAST_ROWS
+    shapes = items.select("item_hashes", "item_print").distinct()
+    members = shapes.select(F.xxhash64("item_hashes").alias("item_key"), F.array_distinct("item_hashes").alias("members"), F.size("item_hashes").alias("n"), "item_print")
+    members = stored(members, "members")
+    shingles = stored(members.select(F.explode("members").alias("hash"), "item_key").distinct(), "item-shingles")
+    small = shingles.count() <= BROADCAST_ROWS
+    sent = F.broadcast if small else lambda df: df.hint("merge")
 
     texts = docs.select(F.col(id_col).alias("id"), shingle_hashes(word_list(whole_text(text_col))).alias("hashes"))
     placed = texts.select("id", "hashes", F.posexplode("hashes").alias("pos", "hash"))
-    hits = placed.join(F.broadcast(anchors) if small else anchors.hint("merge"), "hash")
-    start = F.greatest(F.col("pos") - F.col("at"), F.lit(0))
-    windows = hits.select("id", F.expr("slice(hashes, greatest(pos - at, 0) + 1, n)").alias("window"), start.alias("start"), "n")
-    windows = stored(windows.dropDuplicates(["id", "start", "n", "window"]).withColumn("print", simhash(F.col("window"))), "windows")
-
-    pairs = stored(hamming_pairs(windows.select("print").distinct(), items.select("item_print").distinct(), radius), "print-pairs")
+    hits = placed.join(sent(shingles), "hash").join(sent(members), "item_key")
+    belongs = lambda x: F.coalesce(F.array_contains(F.col("members"), x), F.lit(False))
+    window, before = F.expr("slice(hashes, pos + 1, n)"), F.get("hashes", F.col("pos") - 1)
+    # the window one place to the left shares as much and is no longer, or shares one more
+    full = F.col("pos") + F.col("n") <= F.size("hashes")
+    as_much = F.when(full, ~belongs(F.get("hashes", F.col("pos") + F.col("n") - 1))).otherwise(~F.array_contains(window, before))
+    firsts = hits.filter(~F.coalesce(belongs(before) & as_much, F.lit(False)))
+    windows = firsts.select("id", "item_print", "members", "n", window.alias("window"))
+    shared = F.size(F.filter("window", lambda x: F.array_contains(F.col("members"), x)))
+    enough = shared * (1 + least) >= least * (F.size("window") + F.col("n")) - 1e-9
+    windows = windows.filter(enough).select("id", "item_print", "window")
+    windows = stored(windows.dropDuplicates(["id", "item_print", "window"]).withColumn("print", simhash(F.col("window"))), "windows")
+
+    pairs = stored(hamming_pairs(windows.select("print", "item_print").distinct(), items.select("item_print").distinct(), radius), "print-pairs")
     # distinct windows meet their items once; then all places of a window
     shapes = windows.select("print", "window").distinct()
     met = shapes.join(pairs.hint("merge"), "print").join(items.hint("merge"), "item_print")

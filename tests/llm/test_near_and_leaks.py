@@ -171,3 +171,44 @@ def test_blocks_find_every_fingerprint_within_the_radius(spark):
     got = D.hamming_pairs(spark.createDataFrame([(signed(x),) for x in set(prints)], "print BIGINT"), spark.createDataFrame([(signed(x),) for x in items], "item_print BIGINT"))
     want = {(signed(a), signed(b)) for a in prints for b in items if (a ^ b).bit_count() <= D.RADIUS}
     assert {(r.print, r.item_print) for r in got.collect()} == want
+
+
+def best_windows(docs, items, least=0.75):
+    """By brute force over all starts: the best similarity of each (document, item) at ``least`` or more."""
+    grams_of = lambda text: [tuple(ws[j : j + 5]) for ws in [tokens(text)] for j in range(len(ws) - 4)]
+    want = {}
+    for k, item in items:
+        grams = grams_of(item)
+        counts = Counter(grams)
+        for i, text in docs:
+            have = grams_of(text)
+            for s in range(len(have)) if grams else ():
+                window = have[s : s + len(grams)]
+                shared = sum((Counter(window) & counts).values())
+                score = shared / (len(window) + len(grams) - shared)
+                if score >= least:
+                    want[i, k] = max(score, want.get((i, k), 0))
+    return want
+
+
+def test_moved_blocks_equal_brute_force(spark):
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    items = [(k, " ".join(word() for _ in range(rnd.randrange(35, 80)))) for k in range(20)]
+    docs = []
+    for k, item in items:
+        ws = item.split(" ")
+        for j, part in enumerate((0.2, 0.3, 0.5)):
+            cut = int(len(ws) * part)
+            before, after = ([word() for _ in range(rnd.randrange(60))] for _ in range(2))
+            docs.append((10 * k + j, " ".join([*before, *ws[cut:], *ws[:cut], *after])))
+        docs.append((10 * k + 5, " ".join([*ws, *ws, word(), *ws[:-2]])))
+        docs.append((10 * k + 6, " ".join([word(), *ws[: int(len(ws) * 0.9)]])))
+    items.append((90, "la " * 30 + "di da dum"))
+    docs.append((999, "so " + "la " * 45 + "di da"))
+    want = best_windows(docs, items)
+    assert len(want) > 90 and sum(i % 10 < 3 for i, _ in want) > 50
+    table = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
+    bench = spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    got = {(r.doc_id, r.item_id): r.similarity for r in D.contamination(table, bench, radius=31).collect()}
+    assert got == pytest.approx(want)
