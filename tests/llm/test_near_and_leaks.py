@@ -212,3 +212,24 @@ def test_moved_blocks_equal_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id BIGINT, text STRING")
     got = {(r.doc_id, r.item_id): r.similarity for r in D.contamination(table, bench, radius=31).collect()}
     assert got == pytest.approx(want)
+
+
+def test_edited_leaks_equal_brute_force(spark):
+    rnd = random.Random(33)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    items = [(k, " ".join(word() for _ in range(rnd.randrange(9, 70)))) for k in range(60)]
+    docs = []
+    for k, item in items:
+        for j in range(20):
+            ws = item.split(" ")
+            for _ in range(rnd.choice([1, 1, 1, 2])):
+                at = rnd.randrange(len(ws))
+                ws[at : at + rnd.randrange(2)] = [word()] * rnd.randrange(2)
+            before, after = ([word() for _ in range(rnd.randrange(12))] for _ in range(2))
+            docs.append((100 * k + j, " ".join([*before, *ws, *after])))
+    want = best_windows(docs, items)
+    assert sum(v < 0.8 for v in want.values()) > 100
+    table = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
+    bench = spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    got = {(r.doc_id, r.item_id): r.similarity for r in D.contamination(table, bench).collect()}
+    assert got == pytest.approx(want)
