@@ -536,6 +536,18 @@ def span_extract(spark, d):
     return B.table(spark, d, "documents").select("doc_id", text.span(F.col("text"), start, start + 12).alias("part"), path.alias("path"))
 
 
+@query(
+    """SELECT doc_id, start, finish, sha256(substr(text, start + 1, finish - start)) AS part_sha256
+    FROM (SELECT *, least(n, start + 1 + n // 3) AS finish FROM (SELECT doc_id, text, length(text) AS n, CAST(doc_id * 7919 % greatest(length(text), 1) AS BIGINT) AS start FROM documents))"""
+)
+def span_extract_whole(spark, d):
+    """Spans that start and end anywhere in the whole text."""
+    n = F.length("text")
+    docs = B.table(spark, d, "documents").withColumn("start", F.when(F.col("text").isNotNull(), F.expr("cast(doc_id * 7919 % greatest(length(text), 1) as int)")))
+    docs = docs.withColumn("finish", F.least(n, F.col("start") + 1 + F.floor(n / 3).cast("int")))
+    return docs.select("doc_id", "start", "finish", F.sha2(text.span(F.col("text"), F.col("start"), F.col("finish")), 256).alias("part_sha256"))
+
+
 # --- batches and tokens ----------------------------------------------------------------------
 
 

@@ -312,3 +312,12 @@ def test_checker_source_query_covers_every_document(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert len(got) == docs.count() and max(r.n_chars for r in got) >= 200
     assert all(r.code_sha256 is not None for r in got)
+
+
+def test_span_query_reads_whole_texts(spark):
+    from tessera.catalogue import QUERIES
+
+    lengths = {r.doc_id: r.n for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.length("text").alias("n")).collect()}
+    got = QUERIES["span_extract_whole"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(lengths) and max(r.start for r in got) > 1000
+    assert any(r.finish == lengths[r.doc_id] > 200 for r in got)
