@@ -12,14 +12,22 @@ the size that minimises the estimated cost (subsets enumerated against list entr
 scanned).
 
 Inverted lists are streamed in sorted order, never gathered. Members are compared with
-their list's pivot first; components of the links found collapse groups of copies, and
-only lists that still hold several components have their remaining cross-component
-pairs compared. Candidate search loses no link; every candidate is compared exactly.
+their list's pivot first; components of the links found collapse groups of copies. Lists
+that then hold several components still may hide links between members that the pivots
+do not link. What differs from the pivot finds these: with D(x) the tokens that x has and
+the pivot lacks and those that it lacks and the pivot has, the sets x and y differ by
+|D(x)| + |D(y)| - 2 |D(x) n D(y)| tokens, so if they are linked and the pivot is not
+linked to both, D(x) and D(y) have an overlap that the sizes bound from below. Prefixes
+of the differences are listed and met like prefixes of sets; what all of a group has in
+common is in none of them, so that a group costs what its members differ by. What is too
+far from the pivot to be linked to anything that is linked to it meets in full, but only
+what is not linked to the pivot either; so do short lists. Candidate search loses no link; every candidate is compared exactly.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +49,10 @@ LIST_PART, PIVOT_PART = 2000, 256
 LIGHTEST = 64
 #: Meetings for each list entry beyond which lists get another pivot before all are met.
 MEETINGS = 2
-#: From this length on, a list's strangers are also compared with about so many of its largest component.
-LONG_LIST, SOME = 512, 128
+#: Lists with more sets than this outside their largest component meet by differences from a pivot.
+FEW_STRANGERS = 16
+#: Bits of a set's name (64: all); sets whose names clash take the next 64 bits of their digest.
+NAME_BITS = 64
 #: Rows sent to all executors at most; beyond it, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -62,8 +72,13 @@ def prefix(size, num: int = NUM, den: int = DEN):
     return size - overlap + needed(overlap)
 
 
-def _sid(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _name(tokens: np.ndarray, second: np.ndarray, naming) -> tuple[int, int]:
+    """A set's name and 64 bits to check it by, from the digest of both lanes of its hashes."""
+    bits, clashing = naming
+    digest = hashlib.blake2b(tokens.tobytes() + second.tobytes(), digest_size=16).digest()
+    name, check = (int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8))
+    name >>= 64 - bits
+    return (check if name in clashing else name), check
 
 
 def _batches(batches):
@@ -72,7 +87,7 @@ def _batches(batches):
     return small_batches(batches, most=4 << 20)
 
 
-def _describe(n_words: int):
+def _describe(n_words: int, naming):
     """Kind 0: (id, size, sid, check); kind 1: (token, count) of tokens that a task saw in 2 sets or
     more; kind 2: the same of word buckets."""
 
@@ -95,12 +110,11 @@ def _describe(n_words: int):
 
         for batch in _batches(batches):
             sizes, sids, checks = [], [], []
-            for tokens in shingle_sets(batch.column("text"), n_words, counts=words):
-                digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
-                sid = _sid(tokens)
+            for tokens, _, second in shingle_sets(batch.column("text"), n_words, counts=words, lanes=2):
+                sid, check = _name(tokens, second, naming)
                 sizes.append(len(tokens))
                 sids.append(sid)
-                checks.append(int.from_bytes(digest[8:], "little", signed=True))
+                checks.append(check)
                 if sid not in seen:
                     seen.add(sid)
                     held.append(tokens)
@@ -149,29 +163,35 @@ LISTED = ", ".join(f"{k} {v}" for k, v in (_LIST_FIELDS | _PIVOT_FIELDS).items()
 _ARROW = {"BIGINT": pa.int64, "INT": pa.int32}
 
 
-def _postings(n_words: int, hot, boundary: int, num: int, den: int):
+def _ranked(tokens: np.ndarray, rare: np.ndarray, hot) -> tuple[np.ndarray, np.ndarray]:
+    """The order of tokens, those that are frequent last, and their counts in it."""
+    count = np.zeros(len(tokens), np.int64)
+    if len(hot[0]):
+        at = np.minimum(np.searchsorted(hot[0], tokens), len(hot[0]) - 1)
+        found = hot[0][at] == tokens
+        count[found] = hot[1][at[found]]
+    order = np.lexsort((tokens, -rare, count))
+    return order, count[order]
+
+
+def _postings(n_words: int, hot, boundary: int, num: int, den: int, naming):
     def postings(batches):
         from tessera.llm.textnum import mix, shingle_sets
 
-        tokens_hot, counts_hot, rarity = hot.value
+        *often, rarity = hot.value
         fields = list(_LIST_FIELDS)
         seen: set[int] = set()
         for batch in _batches(batches):
             out = [[], [], [], [], [], [], []]
-            for tokens, rare in shingle_sets(batch.column("text"), n_words, rarity):
+            for tokens, rare, second in shingle_sets(batch.column("text"), n_words, rarity, lanes=2):
                 s = len(tokens)
-                sid = _sid(tokens)
+                sid, _ = _name(tokens, second, naming)
                 if s == 0 or sid in seen:
                     continue
                 if len(seen) < 1 << 20:
                     seen.add(sid)
-                count = np.zeros(s, np.int64)
-                if len(tokens_hot):
-                    at = np.minimum(np.searchsorted(tokens_hot, tokens), len(tokens_hot) - 1)
-                    found = tokens_hot[at] == tokens
-                    count[found] = counts_hot[at[found]]
-                order = np.lexsort((tokens, -rare, count))
-                tokens, count = tokens[order], count[order]
+                order, count = _ranked(tokens, rare, often)
+                tokens = tokens[order]
                 short = prefix(s, num, den)
                 light = s <= boundary
                 own = int((count == 0).sum()) * 1000 // s
@@ -247,8 +267,8 @@ def _lists(batches):
             yield pa.RecordBatch.from_arrays([pa.array(r.astype(t.to_pandas_dtype()), t) for r, t in zip(rows, types, strict=True)], names=[*_LIST_FIELDS, *_PIVOT_FIELDS])
 
 
-def _compare(n_words: int, num: int, den: int):
-    """Of rows sorted by group, pivot first: the pairs (a, b) that reach the threshold."""
+def _compare(n_words: int, num: int, den: int, naming):
+    """Of rows sorted by group, pivot first: the pairs (a, b) that reach the threshold, by both lanes."""
 
     def compare(batches):
         from tessera.llm.textnum import shingle_sets
@@ -257,14 +277,15 @@ def _compare(n_words: int, num: int, den: int):
         for batch in _batches(batches):
             a, part, lead, sid = (batch.column(c).to_pylist() for c in ("a", "salt", "lead", "sid"))
             left, right = [], []
-            for k, tokens in enumerate(shingle_sets(batch.column("text"), n_words)):
-                if _sid(tokens) != sid[k]:
+            for k, (tokens, _, second) in enumerate(shingle_sets(batch.column("text"), n_words, lanes=2)):
+                if _name(tokens, second, naming)[0] != sid[k]:
                     continue  # another text under the same id
                 if lead[k]:
-                    at, pivot = (a[k], part[k]), tokens
+                    at, pivot = (a[k], part[k]), (tokens, second)
                 elif at == (a[k], part[k]):
-                    shared = len(np.intersect1d(pivot, tokens, assume_unique=True))
-                    if den * shared >= num * (len(pivot) + len(tokens) - shared):
+                    _, i, j = np.intersect1d(pivot[0], tokens, assume_unique=True, return_indices=True)
+                    shared = int((pivot[1][i] == second[j]).sum())
+                    if den * shared >= num * (len(pivot[0]) + len(tokens) - shared):
                         left.append(a[k])
                         right.append(sid[k])
             if left:
@@ -273,21 +294,108 @@ def _compare(n_words: int, num: int, den: int):
     return compare
 
 
+#: Entries of the lists of differences: a token of D(sid), ``rest`` the tokens from there on,
+#: ``differ`` and ``added`` how many tokens D has and how many of them the pivot lacks, ``far``
+#: whether the pivot is not linked. Rows with a null key name the pivot in ``component``: one
+#: for each set linked to it (not far), one for each that no set linked to it can be linked to (far).
+_DIFFERENCE = {"key": "BIGINT", "sid": "BIGINT", "component": "BIGINT", "size": "INT", "rest": "INT", "differ": "INT", "added": "INT", "far": "BOOLEAN"}
+_ARROW["BOOLEAN"] = pa.bool_
+
+
+def least_common(size: int, pivot_size: int, differ: int, far: bool, num: int, den: int) -> int:
+    """The smallest overlap of D of a set with that of any other it can be linked to, if
+    one of the two is not linked to the pivot."""
+    part = (den - num) / (den + num)  # linked sets differ by this share of their sizes' sum at most
+    any_size = differ - part * size * (1 + den / num)
+    near = (differ + part * (pivot_size - size)) / 2
+    beyond = (differ - part * (size + pivot_size) + 1 - part) / 2
+    return max(1, math.ceil(max(any_size, beyond if far else near) - 1e-6))
+
+
+def out_of_reach(size: int, pivot_size: int, differ: int, num: int, den: int) -> bool:
+    """Whether no set linked to the pivot can be linked to one that differs by so much from it:
+    of the largest partner, with size * den / num, the two differences make differ at most."""
+    return differ * (den + num) * num > (den - num) * (pivot_size * num + size * (num + 2 * den))
+
+
+def _differences(n_words: int, hot, num: int, den: int, naming):
+    """Of rows sorted by group, pivot first: the entries of the members' differences from it."""
+
+    def differences(batches):
+        from tessera.llm.textnum import mix, shingle_sets
+
+        *often, rarity = hot.value
+        at, pivot = None, None
+        for batch in _batches(batches):
+            a, part, lead, sid, component = (batch.column(c).to_pylist() for c in ("a", "salt", "lead", "sid", "component"))
+            out = [[] for _ in _DIFFERENCE]
+            named = []
+
+            def entries(keys, *values):
+                out[0].append(keys)
+                for held, v in zip(out[1:], values, strict=True):
+                    held.append(np.broadcast_to(v, len(keys)))
+
+            for k, (tokens, rare, second) in enumerate(shingle_sets(batch.column("text"), n_words, rarity, lanes=2)):
+                if _name(tokens, second, naming)[0] != sid[k]:
+                    continue  # another text under the same id
+                if lead[k]:
+                    at, pivot = (a[k], part[k]), (tokens, rare, mix(np.array([a[k]], np.int64).view(np.uint64))[0])
+                    continue
+                if at != (a[k], part[k]):
+                    continue
+                others, others_rare, seed = pivot
+                new = ~np.isin(tokens, others, assume_unique=True)
+                gone = ~np.isin(others, tokens, assume_unique=True)
+                added, lost = tokens[new], others[gone]
+                differ = len(added) + len(lost)
+                far = differ * (den + num) > (den - num) * (len(tokens) + len(others))
+                remote = far and out_of_reach(len(tokens), len(others), differ, num, den)
+                if not far or remote:
+                    named.append((sid[k], a[k], far))
+                if remote:
+                    continue
+                keep = differ - least_common(len(tokens), len(others), differ, far, num, den) + 1
+                if keep <= 0:
+                    continue
+                first, _ = _ranked(added, rare[new], often)
+                last, _ = _ranked(lost, others_rare[gone], often)
+                keys = np.concatenate([mix(added[first] ^ seed), mix(mix(lost[last] ^ seed))])[:keep]
+                entries(keys.view(np.int64), sid[k], component[k], len(tokens), differ - np.arange(len(keys)), differ, len(added), far)
+            columns = [np.concatenate(x) if x else np.zeros(0) for x in out]
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(_ARROW[t]().to_pandas_dtype())) for c, t in zip(columns, _DIFFERENCE.values(), strict=True)], names=list(_DIFFERENCE))
+            if named:
+                n = len(named)
+                row = dict(zip(("sid", "component", "far"), zip(*named, strict=True), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(row[f], _ARROW[t]()) if f in row else pa.nulls(n, _ARROW[t]()) for f, t in _DIFFERENCE.items()], names=list(_DIFFERENCE))
+
+    return differences
+
+
 class _Join:
     def __init__(self, docs: DataFrame, n_words: int, num: int, den: int):
         self.spark, self.n_words, self.num, self.den = docs.sparkSession, n_words, num, den
         ship(self.spark)
         self.docs = docs
-        described = stored(docs.mapInArrow(_describe(n_words), "kind INT, id BIGINT, size BIGINT, sid BIGINT, check BIGINT, token BIGINT, count BIGINT"), "described")
-        self.info = described.filter("kind = 0").select("id", "size", "sid", "check")
+        described = stored(docs.mapInArrow(_describe(n_words, (NAME_BITS, frozenset())), "kind INT, id BIGINT, size BIGINT, sid BIGINT, check BIGINT, token BIGINT, count BIGINT"), "described")
         self.tokens = stored(described.filter("kind = 1").groupBy("token").agg(F.sum("count").alias("n")), "shared-tokens")
         self.words = described.filter("kind = 2").groupBy("token").agg(F.sum("count").alias("n"))
+        info = described.filter("kind = 0").select("id", "size", "sid", "check")
+        # of n sets some n * n / 2 ** 65 have a name that another has
+        clashing = [r["sid"] for r in self._classes(info).filter("low <> high").select("sid").collect()]
+        self.naming = (NAME_BITS, frozenset(clashing))
+        if clashing:
+            info = info.withColumn("sid", F.when(F.col("sid").isin(clashing), F.col("check")).otherwise(F.col("sid")))
+        self.info = info
         # one row per distinct set
-        self.classes = stored(
-            self.info.filter("size > 0 AND id IS NOT NULL").groupBy("sid").agg(F.min("id").alias("id"), F.min("size").cast("int").alias("size"), F.min("check").alias("low"), F.max("check").alias("high")), "classes"
-        )
-        if not self.classes.filter("low <> high").isEmpty():
-            raise ValueError("two different sets have one 64-bit name")
+        self.classes = stored(self._classes(info), "classes")
+        if clashing and not self.classes.filter("low <> high").isEmpty():
+            raise ValueError("two different sets have one digest")
+
+    def _classes(self, info: DataFrame) -> DataFrame:
+        named = info.filter("size > 0 AND id IS NOT NULL").groupBy("sid")
+        return named.agg(F.min("id").alias("id"), F.min("size").cast("int").alias("size"), F.min("check").alias("low"), F.max("check").alias("high"))
 
     def candidates(self, met: DataFrame, a: str, b: str, once: bool = False) -> DataFrame:
         """Of meetings in lists, one row each, of sets ``a`` and ``b`` (prefixes of their columns): the
@@ -315,29 +423,59 @@ class _Join:
         for r in self.words.collect():  # at most one row per bucket
             seen[r["token"]] = r["n"]
         rarity = np.round(4 * np.log2((seen.sum() + 1) / (seen + 1))).astype(np.int32)
-        shared = self.spark.sparkContext.broadcast((token[order], count[order], rarity))
+        self.hot = self.spark.sparkContext.broadcast((token[order], count[order], rarity))
         sizes = {r[0]: r[1] for r in self.classes.groupBy(F.least("size", F.lit(4 * LIGHTEST)).alias("s")).count().collect()}
         entries = sum(n * s for s, n in sizes.items())
         self.boundary = light_boundary(sizes, float((count.astype(np.float64) ** 2).sum() / max(entries, 1)), self.num, self.den)
-        posted = self.docs.filter("id IS NOT NULL").mapInArrow(_postings(self.n_words, shared, self.boundary, self.num, self.den), ", ".join(f"{k} {v}" for k, v in _LIST_FIELDS.items()))
+        posted = self.docs.filter("id IS NOT NULL").mapInArrow(_postings(self.n_words, self.hot, self.boundary, self.num, self.den, self.naming), ", ".join(f"{k} {v}" for k, v in _LIST_FIELDS.items()))
         n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
         dealt = posted.repartition(n, "key", "part").sortWithinPartitions("key", "part", "own", "sid")
         return stored(dealt.mapInArrow(_lists, LISTED), "listed")
 
-    def compared(self, pairs: DataFrame) -> DataFrame:
-        """The links among ``pairs`` (a, b) of class names; a should be the pivot."""
-        pairs = stored(pairs.distinct(), "pairs")
+    def dealt(self, pairs: DataFrame) -> DataFrame:
+        """The texts of ``pairs`` (a, b, component of b): in groups of some PIVOT_PART of a's partners, a first."""
         per = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(PIVOT_PART)).cast("int").alias("parts"))
-        salted = pairs.join(per.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
-        roles = stored(
-            salted.select("a", "salt", F.lit(False).alias("lead"), F.col("b").alias("sid")).union(salted.select("a", "salt", F.lit(True), F.col("a")).distinct()), "roles"
-        )
+        hubs = stored(per.filter("parts > 1"), "hubs")
+        few = hubs.count() <= BROADCAST_ROWS
+        parts = F.coalesce("parts", F.lit(1))
+        salted = pairs.join(F.broadcast(hubs) if few else hubs.hint("merge"), "a", "left").select("a", "b", "component", F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt"))
+        leads = salted.select("a", "salt").distinct().select("a", "salt", F.lit(True).alias("lead"), F.col("a").alias("sid"), F.lit(None).cast("long").alias("component"))
+        roles = stored(leads.union(salted.select("a", "salt", F.lit(False), "b", "component")), "roles")
         named = stored(roles.join(self.classes.select("sid", "id").hint("merge"), "sid"), "roles-named")
-        small = named.count() <= BROADCAST_ROWS
-        texts = self.docs.join(F.broadcast(named) if small else named.hint("merge"), "id").select("a", "salt", "lead", "sid", "text")
+        few = named.count() <= BROADCAST_ROWS
+        texts = self.docs.join(F.broadcast(named) if few else named.hint("merge"), "id").select("a", "salt", "lead", "sid", "component", "text")
         n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        dealt = texts.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.desc("lead"))
-        return stored(dealt.mapInArrow(_compare(self.n_words, self.num, self.den), "a BIGINT, b BIGINT"), "links")
+        return texts.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.desc("lead"))
+
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """The links among ``pairs`` (a, b) of class names; a should be the pivot."""
+        pairs = stored(pairs.select("a", "b").distinct().withColumn("component", F.lit(None).cast("long")), "pairs")
+        return stored(self.dealt(pairs).mapInArrow(_compare(self.n_words, self.num, self.den, self.naming), "a BIGINT, b BIGINT"), "links")
+
+    def linked_apart(self, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of members of different components of the same of ``lists`` (key, main, own, sid, component and
+        more): the links, found by the differences from a pivot of the list's largest component, but for
+        those with a set too far from it; and what of the lists (``remote``: too far) may hold these."""
+        pivot = lists.filter("component = main").groupBy("key").agg(F.min(F.struct("own", "sid")).alias("p")).select("key", F.col("p.sid").alias("a"))
+        lists = stored(lists.join(pivot.hint("merge"), "key").filter("sid <> a"), "with-pivots")
+        pairs = stored(lists.select("a", F.col("sid").alias("b"), "component").distinct(), "families")
+        schema = ", ".join(f"{k} {v}" for k, v in _DIFFERENCE.items())
+        entries = stored(self.dealt(pairs).mapInArrow(_differences(self.n_words, self.hot, self.num, self.den, self.naming), schema), "differences")
+        told = entries.filter("key IS NULL").select(F.col("component").alias("a"), "sid", F.col("far").alias("remote")).distinct()
+        found = told.filter("NOT remote").select("a", F.col("sid").alias("b"))
+        apart = lists.join(told.hint("merge"), ["a", "sid"], "left").filter("remote IS NULL OR remote").withColumn("remote", F.col("remote").isNotNull())
+        x = entries.filter("far AND key IS NOT NULL").select("key", *(F.col(c).alias(f"x_{c}") for c in _DIFFERENCE if c != "key"))
+        col = lambda side, name: F.col(f"{side}{name}").cast("long")
+        sizes, differ = col("x_", "size") + col("", "size"), col("x_", "differ") + col("", "differ")
+        # twice the overlap that linked sets' differences have, times num + den
+        least = differ * (self.den + self.num) - sizes * (self.den - self.num)
+        reach = lambda n: n * (2 * (self.den + self.num)) >= least
+        lost = lambda side: col(side, "differ") - col(side, "added")
+        meets = (F.col("x_component") != F.col("component")) & (~F.col("far") | (F.col("x_sid") < F.col("sid")))
+        fits = F.least(col("x_", "size"), col("", "size")) * self.den >= F.greatest(col("x_", "size"), col("", "size")) * self.num
+        within = reach(F.least(col("x_", "rest"), col("", "rest"))) & reach(F.least(col("x_", "added"), col("", "added")) + F.least(lost("x_"), lost("")))
+        met = x.join(entries.filter("key IS NOT NULL").hint("merge"), "key").filter(meets & fits & within)
+        return found.union(self.compared(met.select(F.col("x_sid").alias("a"), F.col("sid").alias("b")))), apart
 
     def run(self) -> DataFrame:
         """(sid, component) for the classes that have links."""
@@ -352,7 +490,7 @@ class _Join:
         links = self.compared(pairs)
         lists = listed.select("key", "own", "sid", "size", "rest", "role")
         entry = ("component", "sid", "size", "rest", "role")
-        round_, before = 0, None
+        before = None
         while True:
             labels = components(links)
             named = lists.join(labels.withColumnRenamed("node", "sid").hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
@@ -363,25 +501,27 @@ class _Join:
             size = mixed.agg(F.sum(F.col("all") * F.col("strangers")).alias("meetings"), F.sum("all").alias("rows"), F.sum("strangers").alias("strangers")).first()
             if not size["rows"]:
                 return labels
-            one = lists.select("key", "main", "all", "own", *entry)
+            one = lists.select("key", "main", "strangers", "own", *entry)
 
-            def met(left: DataFrame, apart: str) -> DataFrame:
+            def met(left: DataFrame, right: DataFrame, apart: str) -> DataFrame:
                 left = left.select("key", *(F.col(c).alias(f"l_{c}") for c in entry))
-                return left.join(lists.select("key", "main", *entry).hint("merge"), "key").filter(f"l_component <> component AND ({apart})")
+                joined = left.join(right.hint("merge"), "key").filter(f"l_component <> component AND ({apart})")
+                return joined.select(*(f"{side}{c}" for side in ("l_", "") for c in entry))
 
             # pivots are worth a round while they take many strangers into components
             if (before is not None and size["strangers"] > 0.9 * before) or size["meetings"] <= MEETINGS * size["rows"]:
-                # every meeting of a stranger with another component, once
-                pairs = self.candidates(met(one.filter("component <> main"), "component = main OR l_sid < sid"), "l_", "")
-                return components(stored(links.union(self.compared(pairs)), "links"))
-            # of those outside a list's largest component, the least singular is its next pivot; in long
-            # lists some members of the largest component are too
+                # pairs meet in full in all their lists, or are found or ruled out in one by differences
+                found, apart = self.linked_apart(one.filter(F.col("strangers") > FEW_STRANGERS))
+                short = one.filter(F.col("strangers") <= FEW_STRANGERS)
+                in_full = met(short.filter("component <> main"), short, "component = main OR l_sid < sid")
+                in_full = in_full.union(met(apart.filter("remote"), apart, "NOT remote OR l_sid < sid"))
+                links = links.union(found).union(self.compared(self.candidates(in_full, "l_", "")))
+                return components(stored(links, "links"))
+            # of those outside a list's largest component, the least singular is its next pivot
             best = one.filter("component <> main").groupBy("key").agg(F.min(F.struct("own", "sid", "component", "size", "rest", "role")).alias("p")).select("key", *(F.col(f"p.{c}").alias(c) for c in entry))
-            some = (F.col("component") == F.col("main")) & (F.col("all") >= LONG_LIST) & (F.pmod(F.xxhash64("sid", F.lit(round_)), F.floor(F.col("all") / SOME)) == 0)
-            drawn = best.unionByName(one.filter(some).select("key", *entry))
-            links = stored(links.union(self.compared(self.candidates(met(drawn, "true"), "l_", "", once=True))), "links")
+            links = stored(links.union(self.compared(self.candidates(met(best, one, "true"), "l_", "", once=True))), "links")
             lists = lists.select("key", "own", "sid", "size", "rest", "role")
-            round_, before = round_ + 1, size["strangers"]
+            before = size["strangers"]
 
 
 def jaccard_components(docs: DataFrame, n_words: int = WORDS, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

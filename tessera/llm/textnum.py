@@ -1,22 +1,28 @@
 """Word and shingle hashes of many texts at once, in numpy.
 
-A word is a run of bytes other than ``[\\x20\\x09-\\x0D]``; A-Z count as a-z. All texts
-of a batch are hashed over one byte buffer: a polynomial hash modulo 2**64 by prefix
-sums, then mixed. Equal words always get equal hashes; different ones collide with a
-probability near 2**-64 a pair.
+A word is a run of bytes other than ``[\\x20\\x09-\\x0D]``; A-Z count as a-z. All words
+of a batch are hashed side by side, eight bytes a step, each step mixing every bit of the
+state; words beyond 64 bytes are hashed by BLAKE2b. Equal words always get equal hashes;
+two words of one length up to eight bytes never share one. Where that is not enough, a
+second lane of hashes, seeded otherwise, stands beside the first.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_POWERS: dict[str, np.ndarray] = {}
+#: Keeps the low bytes of a word's last step.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+#: Seeds of the lanes.
+LANES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,22 +34,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _POWERS.get(name)
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        have = np.full(size, base, dtype=np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        _POWERS[name] = have
-    return have[:n]
-
-
 #: Bytes hashed at once, which bounds the arrays; a longer word is still hashed whole.
 SEGMENT = (1 << 20) - 8192
 
 
-def _segment_words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hash_words(low: np.ndarray, begin: np.ndarray, end: np.ndarray, lane: int) -> np.ndarray:
+    """The words' hashes; ``low`` has eight bytes more than the text."""
+    length = end - begin
+    eight = np.ndarray(len(low) - 7, "<u8", low, strides=(1,))
+    out = mix(length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(LANES[lane]))
+    left = np.flatnonzero(length <= LONG_WORD)
+    for step in range(0, LONG_WORD, 8):
+        if step:
+            left = left[length[left] > step]
+        if not len(left):
+            break
+        block = eight[begin[left] + step] & _KEEP[np.minimum(length[left] - step, 8)]
+        out[left] = mix(out[left] ^ block)
+    for k in np.flatnonzero(length > LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(low[begin[k] : end[k]].tobytes(), digest_size=8, salt=bytes([lane])).digest(), "little")
+    return out
+
+
+def _segment_words(raw: np.ndarray, at: np.ndarray, lanes: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     n = len(raw)
     inside = np.zeros(n + 2, dtype=bool)
     np.logical_not(_IS_SPACE[raw], out=inside[1:-1])
@@ -53,16 +66,15 @@ def _segment_words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     first[cuts] |= inside[1:-1][cuts]
     last[cuts - 1] |= inside[1:-1][cuts - 1]
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power = _powers("p", _P, n)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
-    hashed = (sums[end] - sums[begin]) * _powers("i", _P_INV, n)[begin]
-    return mix(hashed + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), begin, end
+    low = np.zeros(n + 8, np.uint8)
+    low[:n] = _LOWER[raw]
+    return [_hash_words(low, begin, end, k) for k in range(lanes)], begin, end
 
 
-def words(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: bytes, starts: np.ndarray, lanes: int = 1) -> tuple[np.ndarray, ...]:
     """Of the texts that begin at ``starts`` (ascending, one more for the end) in ``data``:
-    the words' hashes, first bytes and ends, and each text's first word (one more for the end)."""
+    the words' hashes (an array a lane), first bytes and ends, and each text's first word
+    (one more for the end)."""
     raw = np.frombuffer(data, dtype=np.uint8)[: starts[-1]]
     parts, lo = [], int(starts[0])
     while lo < len(raw):
@@ -73,11 +85,11 @@ def words(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
                 hi += int(space[0])
                 break
             hi = min(hi + 4096, len(raw))
-        hashed, begin, end = _segment_words(raw[lo:hi], starts[(starts > lo) & (starts < hi)] - lo)
-        parts.append((hashed, begin + lo, end + lo))
+        hashed, begin, end = _segment_words(raw[lo:hi], starts[(starts > lo) & (starts < hi)] - lo, lanes)
+        parts.append((*hashed, begin + lo, end + lo))
         lo = hi
-    hashed, begin, end = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
-    return hashed.astype(np.uint64), begin, end, np.searchsorted(begin, starts)
+    *hashed, begin, end = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(lanes + 2))
+    return (*(h.astype(np.uint64) for h in hashed), begin, end, np.searchsorted(begin, starts))
 
 
 def ngrams(word: np.ndarray, n: int) -> np.ndarray:
@@ -114,29 +126,28 @@ def word_buckets(hashed: np.ndarray) -> np.ndarray:
     return (hashed >> np.uint64(48)).astype(np.int64)
 
 
-def shingle_sets(column, n: int = 5, rarity: np.ndarray | None = None, counts: np.ndarray | None = None):
+def shingle_sets(column, n: int = 5, rarity: np.ndarray | None = None, counts: np.ndarray | None = None, lanes: int = 1):
     """Yields each text's sorted distinct ``n``-word shingle hashes; with fewer words the
     whole sequence is one shingle, without words there is none. With ``rarity`` (of word
-    buckets) it yields (hashes, sum of the words' rarities) instead; words are added to
-    ``counts`` by bucket."""
+    buckets) or a second lane it yields (hashes, sums of the words' rarities or None, the
+    second lane's hashes or None) instead; words are added to ``counts`` by bucket."""
     data, starts = arrow_text(column)
-    hashed, _, _, first = words(data, starts)
+    *hashed, _, _, first = words(data, starts, lanes)
     if counts is not None:
-        counts += np.bincount(word_buckets(hashed), minlength=WORD_BUCKETS)
-    every = ngrams(hashed, n)
+        counts += np.bincount(word_buckets(hashed[0]), minlength=WORD_BUCKETS)
+    every = [ngrams(h, n) for h in hashed]
     if rarity is not None:
-        sums = np.concatenate([[0], np.cumsum(rarity[word_buckets(hashed)], dtype=np.int64)])
-        rare = (sums[n:] - sums[:-n]) if len(hashed) >= n else sums[:0]
+        sums = np.concatenate([[0], np.cumsum(rarity[word_buckets(hashed[0])], dtype=np.int64)])
+        rare = (sums[n:] - sums[:-n]) if len(hashed[0]) >= n else sums[:0]
+    plain = rarity is None and lanes == 1
     for k in range(len(starts) - 1):
         a, b = first[k], first[k + 1]
-        if b - a >= n and rarity is not None:
-            tokens, at = np.unique(every[a : b - n + 1], return_index=True)
-            yield tokens, rare[a : b - n + 1][at]
+        if b - a >= n and not plain:
+            tokens, at = np.unique(every[0][a : b - n + 1], return_index=True)
+            yield tokens, rare[a : b - n + 1][at] if rarity is not None else None, every[1][a : b - n + 1][at] if lanes > 1 else None
             continue
         if b - a >= n:
-            tokens = np.unique(every[a : b - n + 1])
-        elif b > a:
-            tokens = mix(ngrams(hashed[a:b], b - a) + np.uint64(b - a))
-        else:
-            tokens = np.zeros(0, np.uint64)
-        yield tokens if rarity is None else (tokens, np.zeros(len(tokens), np.int64))
+            yield np.unique(every[0][a : b - n + 1])
+            continue
+        one = [mix(ngrams(h[a:b], b - a) + np.uint64(b - a)) if b > a else np.zeros(0, np.uint64) for h in hashed]
+        yield one[0] if plain else (one[0], np.zeros(len(one[0]), np.int64), one[-1])

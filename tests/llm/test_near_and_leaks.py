@@ -56,8 +56,10 @@ def corpus(seed, n=120):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "part", "lightest"), [(1, 2000, 64), (2, 3, 64), (3, 3, 1), (4, 2000, 8)])
-def test_components_equal_brute_force(spark, monkeypatch, seed, part, lightest):
+@pytest.mark.parametrize(("seed", "part", "lightest", "few", "bits"), [(1, 2000, 64, 4, 64), (2, 3, 64, 0, 64), (3, 3, 1, 0, 5), (4, 2000, 8, 0, 64), (5, 2000, 1, 1000, 64)])
+def test_components_equal_brute_force(spark, monkeypatch, seed, part, lightest, few, bits):
+    monkeypatch.setattr(N, "NAME_BITS", bits)
+    monkeypatch.setattr(N, "FEW_STRANGERS", few)
     monkeypatch.setattr(N, "LIST_PART", part)
     monkeypatch.setattr(N, "PIVOT_PART", 3)
     monkeypatch.setattr(N, "LIGHTEST", lightest)
@@ -66,6 +68,56 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, part, lightest):
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got.collect()) == brute(rows)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_overlaps_of_differences_are_bounded(seed):
+    rnd = random.Random(seed)
+    base = set(range(rnd.choice([12, 40])))
+    sets = [base]
+    for _ in range(150):
+        s = set(rnd.choice(sets))
+        for _ in range(rnd.choice([1, 3, 8])):
+            s -= {rnd.choice(sorted(s))} if len(s) > 4 else set()
+            s |= {rnd.randrange(200)} if rnd.random() < 0.6 else set()
+        sets.append(s)
+    linked = lambda x, y: 100 * len(x & y) >= 75 * len(x | y)
+    met = 0
+    for x in sets:
+        for y in sets:
+            if linked(x, y) and x != base != y and not (linked(x, base) and linked(y, base)):
+                shared = len((x ^ base) & (y ^ base))
+                for z in (x, y):
+                    assert shared >= N.least_common(len(z), len(base), len(z ^ base), not linked(z, base), 75, 100)
+                met += 1
+    assert met > 50
+
+
+def test_links_that_no_pivot_shows(spark, monkeypatch):
+    """Sets around one centre, many of them linked to particular others alone."""
+    monkeypatch.setattr(N, "FEW_STRANGERS", 0)
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
+    centre = [word() for _ in range(80)]
+    edits = [(k, word()) for k in range(0, 80, 5)]
+    rows = []
+    for k in range(140):
+        words = list(centre)
+        for at, w in rnd.sample(edits, rnd.choice([1, 2, 3, 4, 5, 6])):
+            words[at] = w
+        rows.append((k, " ".join(words)))
+    got = N.jaccard_components(spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3))
+    assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got.collect()) == brute(rows)
+
+
+def test_words_of_thue_and_morse_are_told_apart(spark):
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a[:1024]), (2, b[:1024]), (3, a[:32] + " x y z w"), (4, b[:32] + " x y z w"), (5, a[:2048]), (6, b[:2048]), (7, a[:2048])]
+    got = N.jaccard_components(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 5)]
+
+
 def test_odd_rows(docs, nothing):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in N.jaccard_components(docs).collect()) == brute(rows)
