@@ -1,23 +1,25 @@
 """Token counts through a digest cache.
 
-The key of a text is the SHA-256 of the tokenizer's own digest and the text with each
-run of white space as one space (which the tokenizer does too, so the count is the same).
-Keys join to the counts stored before; of the keys that miss, each distinct text is
-encoded once, and its count is appended to the cache.
+The key of a text is the SHA-256 of the tokenizer's own digest and the text; for a
+tokenizer that reads each run of white space as one space and then drops it, the text
+has its runs as one space too, so that more texts share a count. Keys join to the counts
+stored before; of the keys that miss, each distinct text is encoded once, and its count
+is appended to the cache, which is bucketed and sorted by key.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, fresh_path, ship, stored, whole_text
-
-CACHE_SCHEMA = "digest STRING, n_tokens BIGINT"
+from tessera.llm.chunks import drops_white_space
+from tessera.llm.common import one_space, ship, stored, whole_text
+from tessera.llm.digest_store import DigestStore
 
 
 def tokenizer_digest(path: str) -> str:
@@ -27,18 +29,14 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()
 
 
-class CountCache:
-    """digest -> n_tokens, appended to and never edited."""
-
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or fresh_path(spark, "count-cache")
-        spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(self.path)
+def count_cache(spark: SparkSession, path: str | None = None, buckets: int = 32) -> DigestStore:
+    """digest -> n_tokens."""
+    return DigestStore(spark, "n_tokens", "BIGINT", path, buckets)
 
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(CACHE_SCHEMA).parquet(self.path)
 
-    def append(self, counts: DataFrame) -> None:
-        counts.select("digest", "n_tokens").write.mode("append").parquet(self.path)
+def _joins_white_space(path: str) -> bool:
+    with open(path, encoding="utf-8") as f:
+        return drops_white_space(json.load(f))
 
 
 def _counter(path: str):
@@ -55,17 +53,21 @@ def _counter(path: str):
     return count
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, cache: CountCache | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_bytes, n_tokens, over_limit, cached.
+def count_tokens(docs: DataFrame, tokenizer_path: str, cache: DigestStore | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, n_bytes, n_tokens, over_limit, cached (whether the
+    count was stored before).
 
     Null texts count as empty, with 0 bytes and 0 tokens. Nothing is truncated, however
-    long. Ids may be null or repeat; they are only carried. An empty table gives no rows.
+    long. Ids may be null or repeat; they are only carried. Columns of other names are
+    not read, whatever they are. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
-    cache = cache or CountCache(spark)
+    cache = cache or count_cache(spark)
     version = tokenizer_digest(tokenizer_path)
-    text = F.regexp_replace(whole_text(text_col), f"{SPACE}+", " ")
+    text = whole_text(text_col)
+    if _joins_white_space(tokenizer_path):
+        text = one_space(text)
     keyed = docs.select(
         F.col(id_col).alias("id"),
         F.octet_length(whole_text(text_col)).cast("long").alias("n_bytes"),
@@ -73,14 +75,13 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: CountCache | None
         text.alias("text"),
     )
     digests = stored(keyed.drop("text"), "count-digests")
-    missing = digests.select("digest").distinct().join(cache.read().hint("merge"), "digest", "left_anti")
-    texts = keyed.select("digest", "text")
+    distinct = stored(digests.select("digest").distinct(), "distinct-digests")
+    missing = stored(cache.missing(distinct), "missing-digests")
+    old = distinct.join(missing.hint("merge"), "digest", "left_anti")
     # copies meet before the shuffle; each digest's text is encoded by one task
-    distinct = texts.dropDuplicates(["digest"]).join(missing.hint("merge"), "digest", "left_semi")
-    fresh = stored(distinct.select("digest", "text").mapInArrow(_counter(tokenizer_path), CACHE_SCHEMA), "fresh-counts")
-    known = cache.read()
-    hit = known.select("digest", F.lit(True).alias("cached"), "n_tokens")
-    counts = stored(hit.unionByName(fresh.withColumn("cached", F.lit(False))), "counts")
+    texts = keyed.select("digest", "text").dropDuplicates(["digest"]).join(missing.hint("merge"), "digest", "left_semi")
+    fresh = stored(texts.select("digest", "text").mapInArrow(_counter(tokenizer_path), "digest STRING, n_tokens BIGINT"), "fresh-counts")
+    counts = stored(cache.known(old).withColumn("cached", F.lit(True)).unionByName(fresh.withColumn("cached", F.lit(False))), "counts")
     cache.append(fresh)
     return digests.join(counts.hint("merge"), "digest").select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "cached"
@@ -88,4 +89,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: CountCache | None
 
 
 def op4_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    """All documents in two batches, so that the second meets the counts of the first."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    tokenizer, cache = public_tokenizers.path("word_bpe_49k.json"), count_cache(spark)
+    middle = F.lit(docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0])
+    first = F.coalesce(F.col("doc_id") <= middle, F.lit(False))
+    return stored(count_tokens(docs.filter(first), tokenizer, cache), "batch").unionByName(count_tokens(docs.filter(~first), tokenizer, cache))

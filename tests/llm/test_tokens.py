@@ -79,7 +79,7 @@ def test_the_automaton_shares_suffixes():
 
 
 def test_counts_and_cache(spark, docs, nothing):
-    cache = token_cache.CountCache(spark)
+    cache = token_cache.count_cache(spark)
     got = token_cache.count_tokens(docs, WORDS, cache).collect()
     rows = {r.doc_id: r.text or "" for r in docs.collect()}
     assert len(got) == docs.count()
@@ -93,6 +93,20 @@ def test_counts_and_cache(spark, docs, nothing):
     assert token_cache.count_tokens(nothing, WORDS).count() == 0
 
 
+def test_a_tokenizer_that_keeps_white_space(spark, docs):
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in token_cache.count_tokens(docs, BYTES).collect():
+        assert r.n_tokens == len(ids(byte_library, rows[r.doc_id]))
+
+
+def test_two_batches_share_counts(spark, tmp_path):
+    rows = [(k, f"some words {k % 9}" + "  x" * (k % 2)) for k in range(50)]
+    spark.createDataFrame(rows, "doc_id BIGINT, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in token_cache.op4_digest_cache(spark, str(tmp_path)).collect()}
+    assert all(got[k].n_tokens == len(ids(word_library, t)) for k, t in rows) and len(got) == 50
+    assert any(r.cached for r in got.values()) and not got[0].cached
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=9), max_size=6))
 def test_variable_length_coding_round_trip(rows):
