@@ -2,10 +2,11 @@
 
 Strings of 20 or more characters of the usual encodings' alphabets with letters and
 digits are candidates. The encoding is inferred (hexadecimal, base32, base64), and three
-tests ask whether the characters look drawn at random from its alphabet: chi-squared
-uniformity, runs above and below the alphabet's middle, and lag-1 serial correlation. A
-candidate that a test rejects is no secret. How unlike text the rest are is their
-chi-squared statistic against its distribution for text of that length; a
+tests look at how its characters spread over the alphabet (chi-squared), at runs and at
+lag-1 serial correlation. Each test speaks twice. A candidate that one rejects as not
+random, at one in a thousand, is no secret. The others may still be text too short to be
+rejected, so each test's distance from what text of that length gives is a standard
+normal score against text; the three, added up, give a candidate's p-value, and a
 Benjamini-Hochberg step over all candidates of the corpus, by length class, keeps the
 share of false discoveries. All DataFrame code, within rows but for that step's counts.
 """
@@ -30,12 +31,21 @@ LEAST_VALUE = 12
 
 _BODY = "A-Za-z0-9+/_=-"
 CANDIDATE = rf"(?<![{_BODY}])(?=[0-9+/_=-]*[A-Za-z])(?=[A-Za-z+/_=-]*[0-9])[{_BODY}]{{20,}}"
-#: Encoding: alphabet, chance that two characters of text written in it are equal.
-ENCODINGS = {
-    "hex": ("0123456789abcdef", 0.12),
-    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.065),
-    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.065),
+#: Alphabets by encoding.
+ALPHABETS = {
+    "hex": "0123456789abcdef",
+    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
+# What the text that such strings are taken for (identifiers, paths, slugs, numbers) is like:
+#: two characters of a hexadecimal string are equal with this chance,
+TEXT_EQUAL = 0.12
+#: its letters fall into four groups with these chances (a random letter: by the groups' sizes),
+LETTER_GROUPS = (("ETAOIN", 0.512), ("SRHLDCU", 0.322), ("MFPGWYB", 0.144), ("VKXJQZ", 0.022))
+#: the next character is of another class (capital, small, digit, other) with this chance,
+TEXT_CHANGES = {"hex": 0.2, "base32": 0.2, "base64": 0.3}
+#: and neighbours' places in the alphabet correlate.
+TEXT_CORRELATION = 0.25
 #: Standard deviations at which a test rejects randomness (one in a thousand).
 REJECT = 3.29
 FALSE_DISCOVERIES = 0.01
@@ -67,54 +77,85 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(assign, spans(text, PATTERNS["access"], 1), spans(text, PATTERNS["hex"], 2)))
 
 
+def letter_scores() -> tuple[list[float], float, float]:
+    """A to Z: the log of a random letter's chance over a text's, by group; mean and deviation of it in text."""
+    ratio = [math.log(len(group) / 26 / chance) for group, chance in LETTER_GROUPS]
+    score = [next(r for r, (group, _) in zip(ratio, LETTER_GROUPS, strict=True) if chr(65 + k) in group) for k in range(26)]
+    mean = sum(r * chance for r, (_, chance) in zip(ratio, LETTER_GROUPS, strict=True))
+    return score, mean, math.sqrt(sum(r * r * chance for r, (_, chance) in zip(ratio, LETTER_GROUPS, strict=True)) - mean * mean)
+
+
+def _by_encoding(enc: Column, values: dict) -> Column:
+    return F.when(enc == "hex", values["hex"]).when(enc == "base32", values["base32"]).otherwise(values["base64"])
+
+
+def _chi_deviation(chi: Column, free: Column) -> Column:
+    """The standard normal deviation of a chi-squared statistic, after Wilson and Hilferty."""
+    return (F.pow(chi / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
+
+
 def battery(candidates: Column) -> Column:
-    """Each candidate's test statistics, step by step so that none is computed twice."""
+    """Each candidate's verdict and score, step by step so that nothing is computed twice."""
     encoding = lambda t: F.when(t.rlike("^[0-9a-f]+$") | t.rlike("^[0-9A-F]+$"), "hex").when(t.rlike("^[A-Z2-7]+=*$"), "base32").otherwise("base64")
     x = F.transform(candidates, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), encoding(c["token"]).alias("enc"), F.regexp_replace(c["token"], "=+$", "").alias("body")))
+    keep = lambda c, *names: [c[n].alias(n) for n in ("start", "end", "enc", *names)]
 
     def coded(c: Column) -> Column:
         body = F.when(c["enc"] == "hex", F.lower(c["body"])).otherwise(F.translate(c["body"], "-_=", "+/"))
-        alphabet = F.when(c["enc"] == "hex", ENCODINGS["hex"][0]).when(c["enc"] == "base32", ENCODINGS["base32"][0]).otherwise(ENCODINGS["base64"][0])
-        pair = F.array(F.struct(F.filter(F.split(body, ""), lambda ch: ch != "").alias("chars"), alphabet.alias("alphabet")))
+        pair = F.array(F.struct(F.filter(F.split(body, ""), lambda ch: ch != "").alias("chars"), _by_encoding(c["enc"], ALPHABETS).alias("alphabet")))
         codes = F.transform(pair, lambda p: F.transform(p["chars"], lambda ch: F.call_function("instr", p["alphabet"], ch) - 1))[0]
-        size = F.when(c["enc"] == "hex", 16.0).when(c["enc"] == "base32", 32.0).otherwise(64.0)
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["enc"].alias("enc"), codes.alias("codes"), size.alias("k"))
+        return F.struct(*keep(c), codes.alias("codes"), _by_encoding(c["enc"], {e: float(len(a)) for e, a in ALPHABETS.items()}).alias("k"))
 
     x = F.filter(F.transform(x, coded), lambda c: F.size(c["codes"]) >= 16)
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, v: a + v)
 
-    def counted(c: Column) -> Column:
+    def classed(c: Column) -> Column:
+        kind = lambda v: F.when(c["enc"] == "hex", (v < 10).cast("int")).when(c["enc"] == "base32", (v < 26).cast("int")).otherwise(F.when(v < 26, 0).when(v < 52, 1).when(v < 62, 2).otherwise(3))
+        # as many equal parts of the alphabet as leave five characters for each, a power of two
+        parts = F.least(c["k"], F.pow(F.lit(2.0), F.floor(F.log2(F.size(c["codes"]) / 5.0))))
+        letters = F.when(c["enc"] == "hex", F.array().cast("array<int>")).otherwise(F.filter(c["codes"], lambda v: v < F.when(c["enc"] == "base32", 26).otherwise(52)))
         n = F.size(c["codes"])
-        squares = total(F.transform(F.array_distinct(c["codes"]), lambda v: F.pow(F.size(F.filter(c["codes"], lambda w: w == v)), F.lit(2.0))))
-        turns = F.size(F.filter(F.zip_with(F.slice(c["codes"], 1, n - 1), F.slice(c["codes"], 2, n - 1), lambda a, b: (a >= c["k"] / 2) != (b >= c["k"] / 2)), lambda t: t))
-        high = F.size(F.filter(c["codes"], lambda v: v >= c["k"] / 2))
         mean = total(F.transform(c["codes"], lambda v: v.cast("double"))) / n
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["enc"].alias("enc"), c["codes"].alias("codes"), c["k"].alias("k"), n.cast("double").alias("n"), squares.alias("squares"), (turns + 1.0).alias("runs"), high.cast("double").alias("high"), mean.alias("mean"))
+        return F.struct(*keep(c, "codes", "k"), n.cast("double").alias("n"), mean.alias("mean"), F.transform(c["codes"], kind).alias("kinds"), letters.alias("letters"), parts.alias("parts"), F.transform(c["codes"], lambda v: F.floor(v * parts / c["k"])).alias("coarse"))
 
-    def moments(c: Column) -> Column:
-        n, spread = c["n"], total(F.transform(c["codes"], lambda v: (v - c["mean"]) * (v - c["mean"])))
-        lagged = total(F.zip_with(F.slice(c["codes"], 1, F.size(c["codes"]) - 1), F.slice(c["codes"], 2, F.size(c["codes"]) - 1), lambda a, b: (a - c["mean"]) * (b - c["mean"])))
-        both = 2 * c["high"] * (n - c["high"])
-        deviation = F.sqrt(F.greatest(both * (both - n), F.lit(0.0)) / (n * n * (n - 1)))
-        chi = c["k"] / n * c["squares"] - n
+    squares = lambda xs: total(F.transform(F.array_distinct(xs), lambda v: F.pow(F.size(F.filter(xs, lambda w: w == v)), F.lit(2.0))))
+    pairs = lambda xs, f: F.zip_with(F.slice(xs, 1, F.size(xs) - 1), F.slice(xs, 2, F.size(xs) - 1), f)
+    changes = lambda xs: F.size(F.filter(pairs(xs, lambda a, b: a != b), lambda t: t)).cast("double")
+    score, text_mean, text_deviation = letter_scores()
+
+    def counted(c: Column) -> Column:
+        upper = F.transform(c["codes"], lambda v: v >= c["k"] / 2)
+        spread = total(F.transform(c["codes"], lambda v: (v - c["mean"]) * (v - c["mean"])))
+        lagged = total(pairs(c["codes"], lambda a, b: (a - c["mean"]) * (b - c["mean"])))
+        unlike = total(F.transform(c["letters"], lambda v: F.element_at(F.array(*map(F.lit, score)), (v % 26 + 1).cast("int")) - text_mean))
         return F.struct(
-            *(c[f].alias(f) for f in ("start", "end", "enc", "k", "n")),
-            chi.alias("chi"),
-            F.when(deviation > 0, (c["runs"] - both / n - 1) / deviation).otherwise(99.0).alias("z_runs"),
-            F.when(spread > 0, lagged / spread * F.sqrt(n)).otherwise(99.0).alias("z_serial"),
+            *keep(c, "k", "n", "parts"),
+            (c["k"] / c["n"] * squares(c["codes"]) - c["n"]).alias("chi"),
+            (c["parts"] / c["n"] * squares(c["coarse"]) - c["n"]).alias("chi_coarse"),
+            (changes(upper) + 1).alias("runs"),
+            F.size(F.filter(upper, lambda t: t)).cast("double").alias("high"),
+            changes(c["kinds"]).alias("changes"),
+            F.when(spread > 0, lagged / spread).otherwise(1.0).alias("r"),
+            unlike.alias("unlike"),
+            F.size(c["letters"]).cast("double").alias("n_letters"),
         )
 
     def scored(c: Column) -> Column:
-        free = c["k"] - 1
-        uniform = (F.pow(c["chi"] / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
-        chance = F.when(c["enc"] == "hex", ENCODINGS["hex"][1]).otherwise(ENCODINGS["base64"][1])
-        excess = c["n"] * (c["k"] * chance - 1)  # what text adds to the statistic
-        z = (c["chi"] - free - excess) / F.sqrt(2 * free + 4 * excess)
-        passed = (F.abs(c["z_runs"]) <= REJECT) & (F.abs(c["z_serial"]) <= REJECT) & (uniform <= REJECT)
-        step = F.least(F.greatest(F.floor(z * -20), F.lit(0)), F.lit(_BINS)).cast("int")
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), passed.alias("passed"), F.floor(F.log2(c["n"])).cast("int").alias("length_class"), step.alias("bin"))
+        n, free = c["n"], c["k"] - 1
+        both = 2 * c["high"] * (n - c["high"])
+        deviation = F.sqrt(F.greatest(both * (both - n), F.lit(0.0)) / (n * n * (n - 1)))
+        runs = F.when(deviation > 0, (c["runs"] - both / n - 1) / deviation).otherwise(99.0)
+        random = (_chi_deviation(c["chi"], free) <= REJECT) & (_chi_deviation(c["chi_coarse"], c["parts"] - 1) <= REJECT) & (F.abs(runs) <= REJECT) & (F.abs(c["r"]) * F.sqrt(n) <= REJECT)
+        excess = n * (c["k"] * TEXT_EQUAL - 1)  # what text adds to the statistic
+        even = F.when(c["enc"] == "hex", (free + excess - c["chi"]) / F.sqrt(2 * free + 4 * excess)).otherwise(c["unlike"] / (text_deviation * F.sqrt(F.greatest(c["n_letters"], F.lit(1.0)))))
+        rate = _by_encoding(c["enc"], TEXT_CHANGES)
+        turns = (c["changes"] - (n - 1) * rate) / F.sqrt((n - 1) * rate * (1 - rate))
+        apart = (TEXT_CORRELATION - c["r"]) * F.sqrt(n)
+        z = (even + turns + apart) / math.sqrt(3)
+        step = F.least(F.greatest(F.floor(z * 20), F.lit(0)), F.lit(_BINS)).cast("int")
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), random.alias("passed"), F.floor(F.log2(n)).cast("int").alias("length_class"), step.alias("bin"))
 
-    return F.transform(F.transform(F.transform(x, counted), moments), scored)
+    return F.transform(F.transform(F.transform(x, classed), counted), scored)
 
 
 def discovery_bins(counts: dict[tuple[int, int], int], share: float = FALSE_DISCOVERIES) -> dict[int, int]:
@@ -142,13 +183,16 @@ def scan(docs: DataFrame, share: float = FALSE_DISCOVERIES, id_col: str = "doc_i
     Null texts count as empty. Spans are ``kind:start:end`` in code points, by start, then
     kind, joined by commas; ``base_sha256`` is of those of the fixed patterns alone. A
     random string that touches a base span is part of it and is not listed. Ids are only
-    carried. An empty table gives no rows.
+    carried and may repeat. Texts are scanned whole, however long; spans that begin
+    together are listed by kind. Columns of other names are not read, whatever they are.
+    An empty table gives no rows.
     """
     text = whole_text(text_col)
     base = docs.select(F.col(id_col).alias("id"), text.alias("text"), base_spans(text).alias("base"))
     apart = F.filter(spans(F.col("text"), CANDIDATE, 3), lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     found = stored(base.select("id", "base", battery(apart).alias("tested")), "secrets")
-    tested = found.select(F.explode("tested").alias("t")).select("t.length_class", "t.bin")
+    # what a test rejects is no discovery, whatever its score
+    tested = found.select(F.explode("tested").alias("t")).select("t.length_class", F.when(F.col("t.passed"), F.col("t.bin")).otherwise(0).alias("bin"))
     # at most bins x length classes rows
     counts = {(r[0], r[1]): r[2] for r in tested.groupBy("length_class", "bin").count().collect()}
     lowest = discovery_bins(counts, share)
