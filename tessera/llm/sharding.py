@@ -1,8 +1,9 @@
 """Sharding through fixed virtual slots.
 
 Records hash into thousands of slots that never change. Bytes are summed per slot, a
-slot-to-shard map is made from the sums and stored under a version; rebalancing edits
-the map (moves slots) and stores the next version, so records move only with slots.
+slot-to-shard map is made from the sums and stored under a version; later batches and
+other numbers of shards edit the newest map (move slots) and store the next version, so
+records move only with slots.
 The map has ``n_slots`` rows whatever the input, which is what the driver handles and
 what is broadcast. The law held is ``bytes``: the shards' sizes are near equal.
 """
@@ -21,8 +22,11 @@ N_SLOTS = 8192
 RECORD_BYTES = 16
 
 
-def slot_of(id_col: str, n_slots: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_slots)).cast("int")
+def slot_of(id_col: str, text_col: str, n_slots: int) -> Column:
+    """By id and text, so that texts that share an id are spread; records without an id by their place too."""
+    text = whole_text(text_col)
+    own = F.when(F.col(id_col).isNull(), F.xxhash64(text, F.monotonically_increasing_id())).otherwise(F.xxhash64(F.col(id_col), text))
+    return F.pmod(own, F.lit(n_slots)).cast("int")
 
 
 class SlotMap:
@@ -36,6 +40,28 @@ class SlotMap:
         rows.coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/version={version}")
         return self.read(version)
 
+    def newest(self) -> int | None:
+        """The last version that was written whole, None without any."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        files = hadoop(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(hadoop(self.path)):
+            return None
+        names = [s.getPath().getName() for s in files.listStatus(hadoop(self.path))]
+        return max((int(n.removeprefix("version=")) for n in names if n.startswith("version=") and files.exists(hadoop(f"{self.path}/{n}/_SUCCESS"))), default=None)
+
+    def owners(self, version: int) -> dict[int, int]:
+        return {r["virtual_slot"]: r["shard"] for r in self.read(version).collect()}
+
+    def rebalance(self, bytes_of: dict[int, int], n_slots: int, n_shards: int) -> DataFrame:
+        """The first map, or the newest one edited for these sums, as the next version."""
+        version = self.newest()
+        if version is None:
+            return self.write(0, balanced(bytes_of, n_slots, n_shards))
+        owner = self.owners(version)
+        if len(owner) != n_slots:
+            raise ValueError(f"the stored map has {len(owner)} slots")
+        return self.write(version + 1, rebalanced(owner, bytes_of, n_shards))
+
     def read(self, version: int) -> DataFrame:
         return self.spark.read.schema("virtual_slot INT, shard INT").parquet(f"{self.path}/version={version}")
 
@@ -57,8 +83,16 @@ def balanced(bytes_of: dict[int, int], n_slots: int, n_shards: int) -> dict[int,
 
 
 def rebalanced(owner: dict[int, int], bytes_of: dict[int, int], n_shards: int, tolerance: float = 0.01) -> dict[int, int]:
-    """The map edited for new sums or more shards: slots leave overfull shards only."""
+    """The map edited for new sums or another number of shards: slots leave overfull shards, and
+    those of shards that are no more go to the lightest ones, the largest first."""
     owner = dict(owner)
+    homeless = sorted((s for s, shard in owner.items() if shard >= n_shards), key=lambda s: (-bytes_of.get(s, 0), s))
+    heap = [(sum(bytes_of.get(s, 0) for s, own in owner.items() if own == k), k) for k in range(n_shards)] if homeless else []
+    heapq.heapify(heap)
+    for slot in homeless:
+        load, shard = heapq.heappop(heap)
+        owner[slot] = shard
+        heapq.heappush(heap, (load + bytes_of.get(slot, 0), shard))
     loads, held = [0] * n_shards, [[] for _ in range(n_shards)]
     for slot, shard in owner.items():
         loads[shard] += bytes_of.get(slot, 0)
@@ -86,8 +120,12 @@ def assign(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, store: S
 
     ``size`` is the text's UTF-8 bytes (null: none) plus 16; ``slot`` numbers a shard's
     records from 0 without gaps, by virtual slot, then id, then checksum (rows equal in
-    all of these are alike, so which is first makes no difference). Null ids are one more
-    id value. ``grown_shard`` is null under this law. An empty table gives no rows.
+    all of these are alike, so which is first makes no difference). A record's virtual
+    slot hangs on its id and text; without an id, on its place too, so that many of them
+    are spread. Texts are hashed whole, however long. ``store`` names a map that earlier
+    batches left; its newest version is edited for this batch and stored as the next.
+    ``grown_shard`` is null under this law. Columns of other names are not read, whatever
+    they are. An empty table gives no rows.
     """
     store = store or SlotMap(docs.sparkSession)
     sized = stored(
@@ -95,11 +133,11 @@ def assign(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, store: S
             F.col(id_col),
             (F.octet_length(whole_text(text_col)).cast("long") + RECORD_BYTES).alias("size"),
             F.crc32(whole_text(text_col)).alias("text_crc32"),
-            slot_of(id_col, n_slots).alias("virtual_slot"),
+            slot_of(id_col, text_col, n_slots).alias("virtual_slot"),
         ),
         "sized",
     )
-    owner = store.write(0, balanced(slot_bytes(sized), n_slots, n_shards))
+    owner = store.rebalance(slot_bytes(sized), n_slots, n_shards)
     in_shard = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     counts = sized.groupBy("virtual_slot").agg(F.count(F.lit(1)).alias("n"))
     # n_slots rows at most, so the running sum within a shard is small and the join can broadcast
