@@ -5,7 +5,8 @@ good ones (target), give each text the log ratio of its probabilities. Texts are
 by the Gumbel top-k rule: with standard Gumbel noise on the log ratios, the k largest
 are a sample without replacement in proportion to the ratios. k is the number of texts
 whose log ratio passes a threshold that a bounded sample of labelled texts sets, so the
-draw follows the corpus's own share of good texts.
+draw follows the corpus's own share of good texts. The labelled texts are dealt into two
+halves: the good ones of one make the target model, the other one sets the threshold.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from tessera.llm.common import ship, stored, whole_text
 BUCKETS = 1 << 18
 #: Labelled rows used at most, those with the smallest hashes.
 LABELLED = 1 << 17
-#: Occurrences added to each bucket's expected and seen counts.
-SHRINK = 100.0
+#: What is added to each bucket's expected and seen counts, as a share of the target's occurrences,
+#: so that corpora of every size are judged alike.
+SHRINK = 5e-5
 #: Scale of the Gumbel noise on the log ratios.
 TEMPERATURE = 1.0
 SEED = 17
@@ -46,6 +48,10 @@ def _batches(batches):
     return small_batches(batches, most=4 << 20)
 
 
+#: Marks of labelled texts: bad or good of the half that fits, then of the half that sets the threshold.
+FIT_GOOD, CUT_BAD, CUT_GOOD = 1, 2, 3
+
+
 def _labels_of(batch, table) -> np.ndarray:
     ids, marks = table
     rows = batch.column("id").to_pylist()
@@ -64,7 +70,7 @@ def _count(labels):
         for batch in _batches(batches):
             buckets, text = _features(batch.column("text"))
             raw += np.bincount(buckets, minlength=BUCKETS)
-            good = _labels_of(batch, labels.value) == 1
+            good = _labels_of(batch, labels.value) == FIT_GOOD
             target += np.bincount(buckets[good[text]], minlength=BUCKETS)
         seen = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(raw[seen]), pa.array(target[seen])], names=["bucket", "raw", "target"])
@@ -80,7 +86,7 @@ def _score(weights, labels):
         for batch in _batches(batches):
             n = batch.num_rows
             buckets, text = _features(batch.column("text"))
-            sums = np.bincount(text, weights=weight[buckets], minlength=n)
+            sums = np.bincount(text, weights=weight[buckets], minlength=n).astype(np.float64)  # of nothing, the counts are whole numbers
             sizes = np.bincount(text, minlength=n)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sums), pa.array(sizes.astype(np.int64)), pa.array(_labels_of(batch, labels.value).astype(np.int32))], names=["id", "log_weight", "n_features", "mark"])
 
@@ -90,7 +96,8 @@ def _score(weights, labels):
 def log_ratios(raw: np.ndarray, target: np.ndarray, shrink: float = SHRINK) -> np.ndarray:
     """Per bucket the log of target over raw probability, drawn towards 0 where few were seen."""
     expected = raw * (target.sum() / max(raw.sum(), 1))
-    return np.log((target + shrink) / (expected + shrink))
+    added = shrink * max(target.sum(), 1)
+    return np.log((target + added) / (expected + added))
 
 
 def threshold(scores: np.ndarray, good: np.ndarray) -> float:
@@ -106,9 +113,8 @@ def threshold(scores: np.ndarray, good: np.ndarray) -> float:
 
 
 def select_top(keyed: DataFrame, k: int) -> DataFrame:
-    """``keyed`` (id, key, ...) with ``kept``: exactly the k largest keys; ties go to the smaller
-    tie-break hash, then to all alike. Counts per bin narrow the k-th key down, so that no
-    task and no driver sees more than the bins."""
+    """``keyed`` (id, key, ...) with ``kept``: the k largest keys and those equal to the k-th. Counts
+    per bin narrow the k-th key down, so that no task and no driver sees more than the bins."""
     n_bins = 4096
     if k <= 0:
         return keyed.withColumn("kept", F.lit(False))
@@ -141,15 +147,18 @@ def resample(docs: DataFrame, labels: DataFrame, shrink: float = SHRINK, tempera
     drawn; by default it is set by the threshold. Texts without words (null too) have the
     log weight 0. Rows whose keys are equal are kept or rejected together, so k may be
     exceeded by such ties. Rows with a null id are scored as unlabelled. An id's
-    label is the worst of its labels. Without labels all rows are kept. An empty
-    table gives no rows.
+    label is the worst of its labels. Without labels in the half that sets the threshold
+    all rows are kept. Texts are read whole, however long; rows that repeat are scored
+    alike and drawn alike. Columns of other names are not read, whatever they are. An
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1)).cast("int")
     chosen = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(good).alias("good"))
-    rows = chosen.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(labelled).collect()
-    rows = sorted((r["id"], r["good"]) for r in rows)
+    half = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(2)).cast("int")
+    rows = chosen.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(labelled).select("id", F.col("good") + 2 * half).collect()
+    rows = sorted((r[0], r[1]) for r in rows)
     table = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)))
     named = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
     counted = named.mapInArrow(_count(table), "bucket INT, raw BIGINT, target BIGINT").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
@@ -162,8 +171,9 @@ def resample(docs: DataFrame, labels: DataFrame, shrink: float = SHRINK, tempera
     u = (F.shiftrightunsigned(F.xxhash64("id", "log_weight", "n_features", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     keyed = stored(scored.withColumn("key", F.col("log_weight") - F.lit(temperature) * F.log(-F.log(u))), "keyed")
     if keep is None:
-        marked = keyed.filter("mark >= 0").select("log_weight", "mark").limit(labelled).collect()
-        cut = threshold(np.array([r[0] for r in marked]), np.array([r[1] == 1 for r in marked])) if marked else -np.inf
+        # as many as labelled ids: of rows that repeat one, the smallest score counts
+        marked = keyed.filter(F.col("mark") >= CUT_BAD).groupBy("id").agg(F.min("log_weight"), F.min("mark")).collect()
+        cut = threshold(np.array([r[1] for r in marked]), np.array([r[2] == CUT_GOOD for r in marked])) if marked else -np.inf
         keep = keyed.count() if cut == -np.inf else keyed.filter(F.col("log_weight") > cut).count()
     return select_top(keyed, keep).select(F.col("id").alias(id_col), "log_weight", "key", "kept")
 

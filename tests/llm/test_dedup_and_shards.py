@@ -2,7 +2,7 @@ import hashlib
 import re
 import zlib
 
-from tessera.llm import exact_dedup, sharding
+from tessera.llm import digest_store, exact_dedup, sharding
 
 
 def normal(t):
@@ -22,24 +22,47 @@ def test_equal_texts_share_the_smallest_id(docs):
 
 
 def test_a_second_batch_meets_the_index(spark, nothing):
-    index = exact_dedup.DigestIndex(spark)
+    index = exact_dedup.digest_index(spark)
     one = spark.createDataFrame([(5, "a b"), (6, "c")], "doc_id BIGINT, text STRING")
     two = spark.createDataFrame([(1, "a\tb"), (2, "d"), (3, "d")], "doc_id BIGINT, text STRING")
     exact_dedup.deduplicate(one, index).collect()
     got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.deduplicate(two, index).collect()}
     assert got == {1: (5, False), 2: (2, True), 3: (2, False)}
     assert index.read().count() == 3
-    again = exact_dedup.DigestIndex(spark, index.path)
+    again = exact_dedup.digest_index(spark, index.path)
     assert {r.doc_id for r in exact_dedup.deduplicate(two, again).filter("kept").collect()} == set()
     assert exact_dedup.deduplicate(nothing).count() == 0
 
 
-def test_the_index_is_not_shuffled(spark):
-    index = exact_dedup.DigestIndex(spark)
-    groups = spark.createDataFrame([("x", 1)], "digest STRING, keep_id BIGINT").repartition(index.buckets, "digest")
-    plan = index.missing(groups)._jdf.queryExecution().toString()
-    scan = plan[plan.index("== Physical Plan") :]
-    assert "SortMergeJoin" in scan and scan.count("Exchange hashpartitioning") == 1
+def test_the_index_is_neither_shuffled_nor_sorted(spark):
+    index = exact_dedup.digest_index(spark)
+    rows = spark.range(500).selectExpr("sha2(cast(id AS string), 256) AS digest", "id AS keep_id")
+    index.append(rows.filter("keep_id < 300"))
+    for df in (index.missing(rows), rows.join(index.read().hint("merge"), "digest")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+    assert sorted(r.keep_id for r in index.missing(rows).collect()) == list(range(300, 500))
+
+
+def test_generations_merge_and_failed_appends_leave_no_trace(spark, monkeypatch):
+    monkeypatch.setattr(digest_store, "GENERATIONS", 2)
+    index = exact_dedup.digest_index(spark, buckets=4)
+    for k in range(5):
+        rows = spark.range(20 * k, 20 * k + 40).selectExpr("sha2(cast(id AS string), 256) AS digest", "id AS keep_id")
+        index.append(index.missing(rows))
+        index.append(index.missing(rows))
+        assert index.read().count() == 20 * k + 40 and len(index.generations()) <= 2
+    index._write(spark.createDataFrame([("x", 1)], "digest STRING, keep_id BIGINT"), False)  # never published
+    assert exact_dedup.digest_index(spark, index.path, buckets=9).read().count() == 120
+    assert {r.keep_id for r in index.known(index.read()).collect()} == set(range(120))
+
+
+def test_two_batches_give_what_one_gives(spark, tmp_path):
+    rows = [(k, f"text {k % 7}" if k % 3 else f"own  {k}") for k in range(60)]
+    spark.createDataFrame(rows, "doc_id BIGINT, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    order = lambda df: sorted(tuple(r) for r in df.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())
+    assert order(exact_dedup.op6_digest_index(spark, str(tmp_path))) == order(exact_dedup.deduplicate(docs))
 
 
 def test_every_row_has_a_place(docs, nothing):
@@ -70,3 +93,22 @@ def test_versions_of_the_map_are_kept(spark):
     store.write(1, {0: 1, 1: 1})
     assert [r.shard for r in store.read(0).orderBy("virtual_slot").collect()] == [0, 1]
     assert [r.shard for r in store.read(1).orderBy("virtual_slot").collect()] == [1, 1]
+
+
+def test_records_move_with_their_slots_alone(spark):
+    store = sharding.SlotMap(spark)
+    rows = spark.range(6000).selectExpr("id AS doc_id", "repeat('y', cast(id % 53 AS int)) AS text", "id AS slot", "'z' AS shard")
+    rows = rows.unionByName(spark.range(2000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'same' AS text", "id AS slot", "'z' AS shard"))
+    shown = lambda n: sharding.assign(rows, n_shards=n, n_slots=256, store=store).filter("doc_id IS NOT NULL").collect()
+    first = sharding.assign(rows, n_shards=5, n_slots=256, store=store)
+    loads = [r["sum(size)"] for r in first.groupBy("shard").sum("size").collect()]
+    assert max(loads) <= 1.1 * min(loads) and first.filter("doc_id IS NULL").select("virtual_slot").distinct().count() > 200
+    before, grown, shrunk = first.filter("doc_id IS NOT NULL").collect(), shown(6), shown(3)
+    assert store.newest() == 2
+    for version, got in ((0, before), (1, grown), (2, shrunk)):
+        owner = store.owners(version)
+        assert all(owner[r.virtual_slot] == r.shard for r in got)
+    old = {r.doc_id: (r.virtual_slot, r.shard) for r in before}
+    assert all(old[r.doc_id][0] == r.virtual_slot for r in grown)
+    assert sum(r.shard != old[r.doc_id][1] for r in grown) < 0.25 * len(grown)
+    assert {r.shard for r in grown} == set(range(6)) and {r.shard for r in shrunk} == set(range(3))

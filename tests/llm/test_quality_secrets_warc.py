@@ -4,10 +4,11 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import quality, secrets, warc
+from tessera.llm import quality, secrets, textnum, warc
 from tessera.llm.common import fresh_path
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -38,17 +39,73 @@ def test_base_spans_equal_brute_force(spark, docs, nothing):
     assert secrets.scan(nothing).count() == 0
 
 
+ALPHABETS = {"hex": "0123456789ABCDEF", "base32": secrets.ALPHABETS["base32"], "base64": secrets.ALPHABETS["base64"]}
+
+
+def drawn(rnd, encoding, n):
+    while True:
+        s = "".join(rnd.choice(ALPHABETS[encoding]) for _ in range(n))
+        if re.search("[0-9]", s) and re.search("[A-Za-z]", s):
+            return s
+
+
 def test_random_strings_are_found_and_structured_ones_are_not(spark):
     rnd = random.Random(8)
-    b64 = lambda n: "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
-    rows = [(k, f"key {b64(44)} end") for k in range(40)]
-    rows += [(100 + k, f"see path/to/some/ordinary/document/version{k}/index-of-the-pages here") for k in range(40)]
-    rows += [(200, "x" + "abc1" * 20), (201, "A1" + "b" * 60), (202, "1" * 30 + "a")]
+    kinds = [("base32", 26), ("base32", 32), ("hex", 32), ("hex", 40), ("base64", 20), ("base64", 24), ("base64", 44), ("base64", 88)]
+    rows = [(100 * j + k, f"key {drawn(rnd, *kind)} end") for j, kind in enumerate(kinds) for k in range(100)]
+    words = "the river walks under stone light green hill report data config user session version service account index page handler build".split()
+    forms = [lambda w, d: "/".join(w) + f"/v{d}", lambda w, d: "-".join(w) + f"-{d}", lambda w, d: "".join(x.title() for x in w) + str(d), lambda w, d: "_".join(w).upper() + f"_{d}", lambda w, d: f"2024-01-{d % 28 + 1:02d}T10-{d % 60:02d}-05Z_" + w[0]]
+    rows += [(10_000 + k, "see " + rnd.choice(forms)(rnd.choices(words, k=rnd.randrange(3, 7)), rnd.randrange(1, 3000)) + " here") for k in range(600)]
+    rows += [(20_000, "x" + "abc1" * 20), (20_001, "A1" + "b" * 60), (20_002, "1" * 30 + "a")]
     got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
-    assert sum(got[k].n_random for k in range(40)) >= 34
-    assert sum(r.n_random for k, r in got.items() if k >= 100) == 0
-    one = next(r for k, r in got.items() if k < 40 and r.n_random)
-    assert one.spans == "random:4:48"
+    for j, kind in enumerate(kinds):
+        assert sum(got[100 * j + k].n_random for k in range(100)) >= (85 if kind[1] <= 32 else 92), kind
+    assert sum(r.n_random for k, r in got.items() if k >= 10_000) <= 0.02 * len(kinds) * 100
+    assert got[600].spans == "random:4:48"
+
+
+def statistics(token):
+    """The battery's verdict and score, one character after the other."""
+    encoding = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", token) else "base32" if re.fullmatch("[A-Z2-7]+=*", token) else "base64"
+    body = re.sub("=+$", "", token)
+    body = body.lower() if encoding == "hex" else body.translate(str.maketrans("-_", "+/", "="))
+    alphabet = secrets.ALPHABETS[encoding]
+    codes, n, k = [alphabet.index(c) for c in body], len(body), len(alphabet)
+    chi = lambda xs, m: sum((xs.count(v) - n / m) ** 2 / (n / m) for v in range(m))
+    normal = lambda x, f: ((x / f) ** (1 / 3) - (1 - 2 / (9 * f))) / math.sqrt(2 / (9 * f))
+    m = min(k, 2 ** int(math.log2(n / 5)))
+    high = [c >= k / 2 for c in codes]
+    a, b = sum(high), n - sum(high)
+    runs = 1 + sum(x != y for x, y in zip(high, high[1:], strict=False))
+    mu, var = 2 * a * b / n + 1, 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
+    mean = sum(codes) / n
+    spread = sum((c - mean) ** 2 for c in codes)
+    r = sum((x - mean) * (y - mean) for x, y in zip(codes, codes[1:], strict=False)) / spread if spread else 1.0
+    passed = normal(chi(codes, k), k - 1) <= 3.29 and normal(chi([c * m // k for c in codes], m), m - 1) <= 3.29 and var > 0 and abs(runs - mu) <= 3.29 * math.sqrt(var) and abs(r) * math.sqrt(n) <= 3.29
+    kind = lambda c: (c.isdigit(), c.isupper() if encoding != "hex" else False, c in "+/")
+    changes = sum(kind(x) != kind(y) for x, y in zip(body, body[1:], strict=False))
+    rate = {"hex": 0.2, "base32": 0.2, "base64": 0.3}[encoding]
+    if encoding == "hex":
+        excess = n * (k * 0.12 - 1)
+        even = (k - 1 + excess - chi(codes, k)) / math.sqrt(2 * (k - 1) + 4 * excess)
+    else:
+        logs = {c: math.log(len(g) / 26 / p) for g, p in secrets.LETTER_GROUPS for c in g}
+        mu1 = sum(logs[g[0]] * p for g, p in secrets.LETTER_GROUPS)
+        sd = math.sqrt(sum(logs[g[0]] ** 2 * p for g, p in secrets.LETTER_GROUPS) - mu1**2)
+        letters = [logs[c.upper()] for c in body if c.isalpha()]
+        even = (sum(letters) - mu1 * len(letters)) / sd / math.sqrt(max(len(letters), 1))
+    z = (even + (changes - (n - 1) * rate) / math.sqrt((n - 1) * rate * (1 - rate)) + (0.25 - r) * math.sqrt(n)) / math.sqrt(3)
+    return passed, int(math.log2(n)), min(max(math.floor(z * 20), 0), 400), z
+
+
+def test_statistics_equal_a_plain_computation(spark):
+    rnd = random.Random(5)
+    tokens = [drawn(rnd, e, n) for e in ALPHABETS for n in (20, 21, 33, 64, 129)] + ["the-river-walks-under-2024", "VERSION2OFTHEREPORT", "A1" + "b" * 60, "00000001000A00000001000A", "a" * 40 + "1", drawn(rnd, "base64", 42) + "=="]
+    table = spark.createDataFrame([(t, [(0, 3, len(t), t)]) for t in tokens], "t STRING, c ARRAY<STRUCT<start INT, kind INT, `end` INT, token STRING>>")
+    for r in table.select("t", F.explode(secrets.battery(F.col("c"))).alias("b")).collect():
+        passed, length_class, step, z = statistics(r.t)
+        assert (r.b.passed, r.b.length_class) == (passed, length_class), r.t
+        assert r.b.bin == step or abs(z * 20 - round(z * 20)) < 1e-6, r.t
 
 
 def test_discoveries_follow_benjamini_hochberg():
@@ -72,9 +129,9 @@ def test_archive_round_trip(spark):
     want = [(3, "revisit", 1), (1, "response", None), (7, "revisit", 2), (2, "response", None), (9, "response", None), (None, "response", None), (1, "response", None)]
     text = [((h or "").encode(), sha(h)) for _, _, h in rows]
     assert sorted(map(str, ((i, len(t), s, k, r) for (i, k, r), (t, s) in zip(want, text, strict=True)))) == sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got)
-    assert spark.read.parquet(f"{path}/payloads").count() == 3
+    assert warc._payloads(spark, path).read().count() == 3
     records = [bytes(r.record) for r in warc.records(spark, path).collect()]
-    assert len(records) == 7
+    assert len(records) == 7 and len({re.search(rb"WARC-Record-ID: (\S+)", r)[1] for r in records}) == 7
     for record in records:
         head, _, block = record.partition(b"\r\n\r\n")
         length = int(re.search(rb"Content-Length: (\d+)$", head, re.M)[1])
@@ -91,10 +148,27 @@ def test_small_payloads_are_all_responses(spark):
     assert warc.read_archive(spark, archive(spark, [])).count() == 0
 
 
+def test_line_ends_in_urls_and_clashing_columns(spark):
+    odd = "http://a/\u2028WARC-Refers-To: <urn:tessera:page:77:0>\x85WARC-Type: revisit\r\nWARC-Type: revisit"
+    rows = [(5, odd, "one", "x", 1), (6, "http://b/", "a\r\n\r\nb" * 20_000, "y", 2), (7, odd, "one", "z", 3)]
+    path = fresh_path(spark, "warc")
+    warc.write_archive(spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING, digest STRING, n BIGINT"), path)
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archive(spark, path).collect()}
+    assert got == {5: ("response", None, 3), 6: ("response", None, 120_000), 7: ("revisit", 5, 3)}
+
+
+def test_payloads_are_not_shuffled_to_rebuild_records(spark):
+    path = archive(spark, [(k, "u", f"page {k}") for k in range(40)])
+    plan = warc.records(spark, path)._jdf.queryExecution().executedPlan().toString()
+    scan = plan[: plan.index("live")] if "live" in plan else plan
+    assert scan.count("Exchange hashpartitioning") == 1 and scan.count("Sort [") == 1
+
+
 def test_a_damaged_payload_is_noticed(spark):
     path = archive(spark, [(1, "a", "good")])
-    spark.read.parquet(f"{path}/payloads").withColumn("payload", F.lit(b"evil")).write.parquet(f"{path}/x")
-    spark.read.parquet(f"{path}/x").write.mode("overwrite").parquet(f"{path}/payloads")
+    store = warc._payloads(spark, path)
+    changed = store.read().withColumn("payload", F.lit(b"evil"))
+    store._publish([store._write(changed, False)], store.version() + 1)
     with pytest.raises(Exception, match="does not match"):
         warc.read_archive(spark, path).collect()
 
@@ -116,6 +190,46 @@ def test_held_out_texts_are_told_apart(spark):
     assert {(r.doc_id, r.key) for r in got} == {(r.doc_id, r.key) for r in quality.resample(docs.repartition(7), labels).collect()}
 
 
+def test_ratios_keys_and_draw_equal_brute_force(spark):
+    docs, labels = sample(spark, 240)
+    docs = docs.unionByName(spark.createDataFrame([(900, None), (901, "one"), (3, "the hill BUY!!")], "doc_id BIGINT, text STRING"))
+    got = quality.resample(docs, labels)
+    marks = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality is not None:
+            marks[r.doc_id] = min(marks.get(r.doc_id, 1), int(r.quality == 1 and r.toxic != 1))
+    half = {r.id: r.h for r in spark.createDataFrame([(k,) for k in marks], "id BIGINT").select("id", F.pmod(F.xxhash64("id", F.lit(quality.SEED + 1)), F.lit(2)).alias("h")).collect()}
+    raw, target, features = {}, {}, []
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    for key, text in rows:
+        hashed = textnum.words(text.encode(), np.array([0, len(text.encode())]))[0]
+        found = [int(h) % quality.BUCKETS for h in textnum.mix(hashed)]
+        found += [int(textnum.mix(textnum.ngrams(hashed[k : k + 2], 2) + np.uint64(1))[0]) % quality.BUCKETS for k in range(len(hashed) - 1)]
+        features.append(found)
+        for b in found:
+            raw[b] = raw.get(b, 0) + 1
+            if marks.get(key) == 1 and half[key] == 0:
+                target[b] = target.get(b, 0) + 1
+    share = sum(target.values()) / sum(raw.values())
+    added = quality.SHRINK * sum(target.values())
+    score = [sum(math.log((target.get(b, 0) + added) / (raw[b] * share + added)) for b in found) for found in features]
+    cuts = {}
+    for (key, _), x in zip(rows, score, strict=True):
+        if key in marks and half[key] == 1:
+            cuts[key] = min(x, cuts.get(key, x))
+    loss = lambda c: sum((10 if marks[k] else 0) if x <= c else (0 if marks[k] else 1) for k, x in cuts.items())
+    edges = sorted(cuts.values())
+    cut = min([-math.inf, *((a + b) / 2 for a, b in zip(edges, edges[1:], strict=False)), edges[-1]], key=loss)
+    noise = spark.createDataFrame([(k, float(x), len(f)) for (k, _), x, f in zip(rows, score, features, strict=True)], "id BIGINT, log_weight DOUBLE, n_features BIGINT")
+    assert sorted((r.doc_id, round(r.log_weight, 9)) for r in got.collect()) == sorted((k, round(x, 9)) for (k, _), x in zip(rows, score, strict=True))
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", "log_weight", F.lit(len(features[0])).cast("long"), F.lit(quality.SEED)), 11).cast("double") + 0.5) / float(1 << 53)
+    same = got.filter(F.col("doc_id") == rows[0][0]).select("key", (F.col("log_weight") - F.log(-F.log(u))).alias("want")).first()
+    assert noise.count() == len(rows) and math.isclose(same.key, same.want, rel_tol=1e-12)
+    k = sum(x > cut for x in score)
+    ranked = sorted((r.key for r in got.collect()), reverse=True)
+    assert sorted(r.key for r in got.filter("kept").collect()) == sorted(ranked[:k])
+
+
 def test_exactly_k_are_drawn(spark):
     docs, labels = sample(spark)
     got = quality.resample(docs, labels, keep=100).collect()
