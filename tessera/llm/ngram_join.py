@@ -432,18 +432,20 @@ class _Join:
         dealt = posted.repartition(n, "key", "part").sortWithinPartitions("key", "part", "own", "sid")
         return stored(dealt.mapInArrow(_lists, LISTED), "listed")
 
+    def sent(self, table: DataFrame) -> DataFrame:
+        """A written table as a join's side: to all executors if it has few rows."""
+        return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("merge")
+
     def dealt(self, pairs: DataFrame) -> DataFrame:
         """The texts of ``pairs`` (a, b, component of b): in groups of some PIVOT_PART of a's partners, a first."""
         per = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(PIVOT_PART)).cast("int").alias("parts"))
         hubs = stored(per.filter("parts > 1"), "hubs")
-        few = hubs.count() <= BROADCAST_ROWS
         parts = F.coalesce("parts", F.lit(1))
-        salted = pairs.join(F.broadcast(hubs) if few else hubs.hint("merge"), "a", "left").select("a", "b", "component", F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt"))
+        salted = pairs.join(self.sent(hubs), "a", "left").select("a", "b", "component", F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt"))
         leads = salted.select("a", "salt").distinct().select("a", "salt", F.lit(True).alias("lead"), F.col("a").alias("sid"), F.lit(None).cast("long").alias("component"))
         roles = stored(leads.union(salted.select("a", "salt", F.lit(False), "b", "component")), "roles")
         named = stored(roles.join(self.classes.select("sid", "id").hint("merge"), "sid"), "roles-named")
-        few = named.count() <= BROADCAST_ROWS
-        texts = self.docs.join(F.broadcast(named) if few else named.hint("merge"), "id").select("a", "salt", "lead", "sid", "component", "text")
+        texts = self.docs.join(self.sent(named), "id").select("a", "salt", "lead", "sid", "component", "text")
         n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
         return texts.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.desc("lead"))
 
@@ -457,7 +459,7 @@ class _Join:
         more): the links, found by the differences from a pivot of the list's largest component, but for
         those with a set too far from it; and what of the lists (``remote``: too far) may hold these."""
         pivot = lists.filter("component = main").groupBy("key").agg(F.min(F.struct("own", "sid")).alias("p")).select("key", F.col("p.sid").alias("a"))
-        lists = stored(lists.join(pivot.hint("merge"), "key").filter("sid <> a"), "with-pivots")
+        lists = stored(lists.join(self.sent(stored(pivot, "long-pivots")), "key").filter("sid <> a"), "with-pivots")
         pairs = stored(lists.select("a", F.col("sid").alias("b"), "component").distinct(), "families")
         schema = ", ".join(f"{k} {v}" for k, v in _DIFFERENCE.items())
         entries = stored(self.dealt(pairs).mapInArrow(_differences(self.n_words, self.hot, self.num, self.den, self.naming), schema), "differences")
