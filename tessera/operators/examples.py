@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.draw import shuffle_key
 from tessera.functions.numeric import prover_weight
 from tessera.functions.text import conjecture_target, conjecturer_prompt, prover_prompt, stable_id
-from tessera.operators.relation import cutoff, first_wins, union_first_wins
+from tessera.operators.matching import match_to_targets
+from tessera.operators.relation import cutoff, first_wins, last_wins, union_first_wins
+from tessera.plans.scratch import checkpointed
 
 
 def with_success_counts(attempts: DataFrame) -> DataFrame:
@@ -19,11 +21,12 @@ def with_success_counts(attempts: DataFrame) -> DataFrame:
 
 def prover_examples(attempts: DataFrame, pool: DataFrame, rates: DataFrame, threshold: float, round_index: int = 0) -> DataFrame:
     """Verified proofs of statements that are not too easy, the first of equal ones. A proved
-    statement without a rate or outside the pool raises."""
+    statement without a rate or outside the pool raises; of a pool's rows with one id the last counts."""
     counted = with_success_counts(attempts).filter("status = 'proved' AND proof IS NOT NULL")
     rated = counted.join(rates.select("statement_id", F.col("score").alias("_score")), "statement_id", "left")
     score = F.coalesce("_score", F.raise_error(F.lit("a proved statement without a rate")).cast("double"))
     kept = first_wins(rated.filter(score <= threshold), ["statement_id", "proof"], ["ord"])
+    pool = last_wins(pool, ["id"], ["ord"] if "ord" in pool.columns else ["statement", "header"])
     named = kept.join(pool.select(F.col("id").alias("statement_id"), F.col("statement").alias("_statement"), "header"), "statement_id", "left")
     statement = F.coalesce("_statement", F.raise_error(F.lit("a proof of an unknown statement")).cast("string"))
     return named.select(
@@ -55,13 +58,16 @@ def filter_conjectures(conjectures: DataFrame, attempts: DataFrame, rates: DataF
     stats = conjecture_stats(conjectures, attempts).join(rates.select(F.col("statement_id").alias("id"), F.col("score").alias("_rate")), "id", "left")
     stats = stats.withColumn("pass_rate", F.coalesce("_rate", F.lit(0.0))).withColumn("trivial_lemma", F.col("shared_lemma") == "").drop("_rate")
     reason = rejection_reason(F.col("pass_rate"), threshold, F.col("trivial_lemma"), F.col("successes"), F.col("reused"))
-    judged = stats.withColumn("rejection_reason", reason)
+    # counted, ranked and cut below: the joins run once
+    judged = checkpointed(stats.withColumn("rejection_reason", reason))
     named = judged.filter("rejection_reason IS NULL AND NOT trivial_lemma").count()
     cap = max(int(trivial_ratio * named), trivial_least)
-    # only trivial ones are ranked; the window's group is that class
-    place = F.row_number().over(Window.partitionBy("rejection_reason", "trivial_lemma").orderBy(shuffle_key(seed, "unfocused", "id")))
-    over = F.col("rejection_reason").isNull() & F.col("trivial_lemma") & (place > cap)
-    judged = judged.withColumn("rejection_reason", F.when(over, "unfocused_cap").otherwise(F.col("rejection_reason")))
+    # the trivial ones that stay are a limit's, which takes each task's first ones before they meet
+    trivial = judged.filter("rejection_reason IS NULL AND trivial_lemma").select("id")
+    stay = trivial.orderBy(shuffle_key(seed, "unfocused", "id"), "id").limit(cap).withColumn("_stays", F.lit(True))
+    judged = judged.join(stay, "id", "left")
+    over = F.col("rejection_reason").isNull() & F.col("trivial_lemma") & F.col("_stays").isNull()
+    judged = judged.withColumn("rejection_reason", F.when(over, "unfocused_cap").otherwise(F.col("rejection_reason"))).drop("_stays")
     score = F.when(F.col("rejection_reason").isNull(), F.col("minimum_proof_length") / F.length("statement"))
     judged = judged.withColumn("elegance_score", score)
     least = cutoff(judged, "elegance_score", elegance)
@@ -119,3 +125,18 @@ def sft_examples(records: DataFrame) -> DataFrame:
 
 def first_of(df: DataFrame, keys: list[str]) -> DataFrame:
     return first_wins(df, keys, ["ord"])
+
+
+def match_conjecturer_examples(examples: DataFrame, vectors: DataFrame, targets: DataFrame, capacity: float = 3.0) -> DataFrame:
+    """Examples with the weights that matching to ``targets`` (id, vector, weight) gives; those that no
+    target takes go, and without targets none stays. ``vectors``: (ord, vector) of the examples."""
+    weights = match_to_targets(vectors.select(F.col("ord").alias("id"), "vector"), targets, capacity)
+    return examples.drop("weight").join(weights.select(F.col("candidate_id").alias("ord"), "weight"), "ord").select(*examples.columns)
+
+
+def prepare_training_examples(sft: DataFrame, replay: DataFrame, conjectures: DataFrame) -> DataFrame:
+    """Supervised, replayed and conjecture examples as one set, of equal ones the first; none raises."""
+    every = dedup_examples([sft, replay, conjectures])
+    if every.isEmpty():
+        raise ValueError("no training examples")
+    return every

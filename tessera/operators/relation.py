@@ -123,3 +123,16 @@ def cutoff(df: DataFrame, column: str, fraction: float) -> float:
     """The value at place min(int(n * fraction), n - 1); infinite without rows."""
     n = df.filter(F.col(column).isNotNull()).count()
     return float("inf") if n == 0 else kth_smallest(df, column, min(int(n * fraction), n - 1))
+
+
+def union_all(parts: Sequence[DataFrame]) -> DataFrame:
+    """All rows of all parts; columns that a part lacks are null."""
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more, allowMissingColumns=True)
+    return every
+
+
+def weighted_top(df: DataFrame, draw: Column, n: int, tie: str = "id") -> DataFrame:
+    """A weighted sample without replacement: the ``n`` rows of the largest priorities."""
+    return df.orderBy(F.desc(draw), tie).limit(n)

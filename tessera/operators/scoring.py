@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.draw import uniform
+from tessera.functions.draw import shuffle_key, uniform
 from tessera.operators.relation import first_wins
 
 #: Statements solved less often than this stay in the curriculum.
@@ -55,15 +55,12 @@ def best_of_history(scores: DataFrame) -> DataFrame:
 
 
 def select_curriculum(statements: DataFrame, rates: DataFrame, seed: int, limit: int = 0) -> DataFrame:
-    """Unsolved and seldom solved statements, and a few of the rest, shuffled."""
+    """Unsolved and seldom solved statements, and a few of the rest, shuffled; all for limit <= 0."""
     rated = statements.join(rates.select(F.col("statement_id").alias("id"), "score"), "id", "left")
     rate = F.coalesce("score", F.lit(0.0))
     kept = rated.filter((rate == 0) | (rate < CURRICULUM_RATE) | (uniform(seed, "select", "id") < REPLAY_CHANCE)).drop("score")
-    if limit <= 0:
-        return kept
-    from tessera.functions.draw import shuffle_key
-
-    return kept.orderBy(shuffle_key(seed, "shuffle", "id")).limit(limit)
+    shuffled = kept.orderBy(shuffle_key(seed, "shuffle", "id"))
+    return shuffled if limit <= 0 else shuffled.limit(limit)
 
 
 def unproved(statements: DataFrame, scores: DataFrame) -> DataFrame:
@@ -117,3 +114,25 @@ def compare_retries(retries: DataFrame, large: DataFrame, expected: int) -> Data
         ).withColumn(f"{prefix}_rate", F.col(f"{prefix}_successes") / F.col(f"{prefix}_attempts"))
 
     return per(retries, "retry", expected).join(per(large, "large", 1), "problem_id")
+
+
+# Rollouts of the two kinds of search and the methods' names.
+RETRY_ROLLOUTS, LARGE_ROLLOUTS = 200, 1024
+RETRY_METHOD, LARGE_METHOD = "solve_rate", "alphaproof_hardest_subproblem"
+
+
+def comparison_records(retries: DataFrame, large: DataFrame, expected: int) -> DataFrame:
+    """``compare_retries`` as whole records: methods, rollouts, status, frontier and total seconds too."""
+    both = compare_retries(retries, large, expected)
+    status = large.select(F.col("statement_id").alias("problem_id"), F.col("status").alias("large_search_status"), *(F.col(c).alias(f"large_search_{c}") for c in ("solved_frontier_nodes", "total_frontier_nodes", "solve_rate")))
+    seconds = lambda p, q: [F.col(f"{p}_solver_seconds").alias(f"{q}_solver_seconds"), F.col(f"{p}_verification_seconds").alias(f"{q}_verification_seconds"), (F.col(f"{p}_solver_seconds") + F.col(f"{p}_verification_seconds")).alias(f"{q}_total_seconds")]
+    return both.join(status, "problem_id").select(
+        "problem_id", F.lit(RETRY_METHOD).alias("retry_method"), F.col("retry_attempts").alias("retry_searches"), F.lit(RETRY_ROLLOUTS).alias("retry_rollouts_per_search"), "retry_successes", F.col("retry_rate").alias("retry_solve_rate"), *seconds("retry", "retry"),
+        F.lit(LARGE_METHOD).alias("large_search_method"), F.lit(LARGE_ROLLOUTS).alias("large_search_rollouts"), "large_search_status", "large_search_solved_frontier_nodes", "large_search_total_frontier_nodes", "large_search_solve_rate", *seconds("large", "large_search"),
+    )
+
+
+def round_metrics(summary: DataFrame, inputs: DataFrame, examples: DataFrame) -> DataFrame:
+    """A round's summary with the numbers of its inputs and of its training and conjecture examples."""
+    counts = examples.agg(F.count(F.lit(1)).alias("training_examples"), F.count_if(F.col("kind") == "conjecture").alias("conjecture_examples"))
+    return summary.join(counts).join(inputs.agg(F.count(F.lit(1)).alias("conjecture_inputs")))

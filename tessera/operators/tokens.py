@@ -117,3 +117,12 @@ def amortised(df: DataFrame, elapsed: str, batch_col: str) -> DataFrame:
     """A batch's seconds spread over its rows."""
     size = df.groupBy(batch_col).agg(F.count(F.lit(1)).alias("_rows"))
     return df.join(size, batch_col).withColumn("duration_seconds", F.col(elapsed) / F.col("_rows")).drop("_rows")
+
+
+def shuffled_batches(examples: DataFrame, epochs: int, seed: int, size: int, id_col: str = "id") -> DataFrame:
+    """Each epoch's permutation in mini-batches of ``size``."""
+    return epoch_permutation(examples, epochs, seed, id_col).withColumn("batch", F.floor(F.col("place") / size))
+
+
+def mean_loss(losses: DataFrame) -> DataFrame:
+    return losses.agg(F.avg("loss").alias("loss"))

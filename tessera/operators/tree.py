@@ -6,11 +6,16 @@ Trees are node tables (tree_id, id, node_type, value, proven, is_root) and edge
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.scratch import checkpointed
+
 #: Deeper trees raise.
 MAX_DEPTH = 10_000
+_ROWS = "spark.sql.cteRecursionRowLimit"
 
 
 def node_tables(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -28,33 +33,45 @@ def collapsed_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     typed = edges.join(kinds.select("tree_id", F.col("id").alias("child"), F.col("node_type").alias("child_type"), F.col("value").alias("child_value")), ["tree_id", "child"])
     typed = typed.join(kinds.select("tree_id", F.col("id").alias("parent"), F.col("node_type").alias("parent_type")), ["tree_id", "parent"])
     below = typed.filter("parent_type = 'AND'")
-    sound = F.when(F.bool_and(F.col("child_type") == "OR"), F.min_by("child", F.struct("child_value", "ord"))).otherwise(F.raise_error(F.lit("an AND node below an AND node")).cast("bigint"))
-    hardest = below.groupBy("tree_id", "parent").agg(sound.alias("focus")).select("tree_id", F.col("parent").alias("child"), "focus")
+    first = F.struct("child_value", "ord")
+    sound = F.when(F.bool_and(F.col("child_type") == "OR"), F.min_by("child", first)).otherwise(F.raise_error(F.lit("an AND node below an AND node")).cast("bigint"))
+    action = F.min_by("action", first) if "action" in edges.columns else F.lit(None).cast("string")
+    hardest = below.groupBy("tree_id", "parent").agg(sound.alias("focus"), action.alias("selected_focus_action")).select("tree_id", F.col("parent").alias("child"), "focus", "selected_focus_action")
     above = typed.filter("parent_type = 'OR'").join(hardest, ["tree_id", "child"], "left")
     target = F.when(F.col("child_type") == "OR", F.col("child")).otherwise(F.coalesce("focus", F.raise_error(F.lit("an AND node without children")).cast("bigint")))
-    return above.select("tree_id", "parent", "ord", target.alias("child"), F.when(F.col("child_type") == "AND", F.col("child")).alias("collapsed_and_node_id"))
+    return above.select("tree_id", "parent", "ord", target.alias("child"), F.when(F.col("child_type") == "AND", F.col("child")).alias("collapsed_and_node_id"), "selected_focus_action")
 
 
 def project(spark: SparkSession, nodes: DataFrame, edges: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """Nodes of the projected trees: tree_id, node (preorder number), id, path, parent_path, value, proven.
-    A node that several paths reach is repeated for each."""
+    A node that several paths reach is repeated for each. The walk runs once, for all trees, and is
+    written down: what reads the projection does not walk again."""
+    own = uuid.uuid4().hex
     roots = nodes.filter("is_root")
     bad = F.raise_error(F.lit("a projected node that is no OR node")).cast("bigint")
-    roots.select("tree_id", F.when(F.col("node_type") == "OR", F.col("id")).otherwise(bad).alias("id")).createOrReplaceTempView("tessera_roots")
-    collapsed_edges(nodes, edges).createOrReplaceTempView("tessera_edges")
+    roots.select("tree_id", F.when(F.col("node_type") == "OR", F.col("id")).otherwise(bad).alias("id")).createOrReplaceTempView(f"tessera_roots_{own}")
+    collapsed_edges(nodes, edges).createOrReplaceTempView(f"tessera_edges_{own}")
     walked = spark.sql(
         f"""
         WITH RECURSIVE walk(tree_id, id, path) MAX RECURSION LEVEL {depth} AS (
-          SELECT tree_id, id, array(0) FROM tessera_roots
+          SELECT tree_id, id, array(0) FROM tessera_roots_{own}
           UNION ALL
-          SELECT w.tree_id, e.child, array_append(w.path, e.ord) FROM walk w JOIN tessera_edges e ON e.tree_id = w.tree_id AND e.parent = w.id
+          SELECT w.tree_id, e.child, array_append(w.path, e.ord) FROM walk w JOIN tessera_edges_{own} e ON e.tree_id = w.tree_id AND e.parent = w.id
         )
         SELECT tree_id, id, path, slice(path, 1, greatest(size(path) - 1, 0)) AS parent_path,
                row_number() OVER (PARTITION BY tree_id ORDER BY path) - 1 AS node
         FROM walk
         """
     )
-    return walked.join(nodes.select("tree_id", "id", "value", "proven"), ["tree_id", "id"])
+    # the depth bounds the walk, the rows of all trees together need no bound
+    bound = spark.conf.get(_ROWS, None)
+    spark.conf.set(_ROWS, "-1")
+    try:
+        return checkpointed(walked.join(nodes.select("tree_id", "id", "value", "proven"), ["tree_id", "id"]))
+    finally:
+        spark.conf.unset(_ROWS) if bound is None else spark.conf.set(_ROWS, bound)
+        spark.catalog.dropTempView(f"tessera_roots_{own}")
+        spark.catalog.dropTempView(f"tessera_edges_{own}")
 
 
 def frontier_rate(projected: DataFrame) -> DataFrame:

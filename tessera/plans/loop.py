@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.conjectures import conjecture_inputs, generation_prompts, parsed_conjectures, proof_requests
-from tessera.operators.examples import conjecturer_examples, filter_conjectures, prover_examples
-from tessera.operators.scoring import assess, best_of_history, round_summary, select_curriculum, unproved
-from tessera.plans.providers import Provider, solve
+from tessera.operators.examples import conjecturer_examples, dedup_examples, filter_conjectures, match_conjecturer_examples, prover_examples
+from tessera.operators.scoring import assess, best_of_history, round_metrics, round_summary, select_curriculum, unproved
+from tessera.plans.providers import Provider, solve, with_hooks
 from tessera.sources.records import checkpointed, round_pool
 
 
@@ -26,6 +26,7 @@ class Settings:
     trivial_ratio: float = 0.5
     trivial_least: int = 1
     elegance: float = 0.2
+    capacity: float = 3.0
 
 
 def _dense(df: DataFrame, *order: str) -> DataFrame:
@@ -35,9 +36,11 @@ def _dense(df: DataFrame, *order: str) -> DataFrame:
     return df.drop("ord").withColumn("ord", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
 
 
-def run_round(spark: SparkSession, root: str, index: int, statements: DataFrame, declarations: DataFrame, settings: Settings, conjecturer: Provider, prover: Provider, verifier: Provider) -> dict[str, DataFrame]:
+def run_round(spark: SparkSession, root: str, index: int, statements: DataFrame, declarations: DataFrame, settings: Settings, conjecturer: Provider, prover: Provider, verifier: Provider, sft: DataFrame | None = None, embed: Provider | None = None, hooks: tuple[Provider, ...] = ()) -> dict[str, DataFrame]:
     """Select, conjecture, attempt, score and build examples. Phases that a former run completed are
-    read, not run again; earlier rounds are read through their folders."""
+    read, not run again; earlier rounds are read through their folders. ``sft``: supervised examples
+    besides; ``embed`` adds a vector to rows with a text, by which conjecture examples are matched
+    to the statements that no round has proved (without it they keep their weights)."""
     past = [spark.read.parquet(f"{root}/round={r:03d}/assessments").withColumn("round", F.lit(r)) for r in range(index)]
     seen = None
     for p in past:
@@ -63,6 +66,7 @@ def run_round(spark: SparkSession, root: str, index: int, statements: DataFrame,
         spark, root, "conjectures", index,
         lambda: _dense(parsed_conjectures(conjecturer(generation_prompts(seeds, settings.samples)).select(F.col("id").alias("conjecture_input_id"), "text", "ord"), seeds, statements.select("id"), seed=settings.seed), "id"),
     )
+    made = with_hooks(made, *hooks)
     pool = _dense(round_pool(selected, made), "source", "id")
     requests = checkpointed(spark, root, "proof_requests", index, lambda: proof_requests(pool, settings.attempts, settings.seed))
     attempts = checkpointed(spark, root, "solve_attempts", index, lambda: solve(requests, prover, verifier))
@@ -71,8 +75,16 @@ def run_round(spark: SparkSession, root: str, index: int, statements: DataFrame,
         spark, root, "conjecture_filter_metrics", index,
         lambda: filter_conjectures(made, attempts, scores, settings.threshold, settings.trivial_ratio, settings.trivial_least, settings.elegance, settings.seed),
     )
-    examples = checkpointed(
-        spark, root, "training_examples", index,
-        lambda: prover_examples(attempts, pool.select("id", "statement", "header"), scores, settings.threshold, index).unionByName(conjecturer_examples(filtered, index)),
-    )
-    return {"selected": selected, "conjecture_inputs": seeds, "conjectures": made, "attempts": attempts, "scores": scores, "filtered": filtered, "examples": examples, "summary": round_summary(attempts, selected, made)}
+    def training() -> DataFrame:
+        replay = prover_examples(attempts, pool.select("id", "statement", "header", "ord"), scores, settings.threshold, index)
+        ideas = conjecturer_examples(filtered, index)
+        if embed is not None:
+            every = scores.select("statement_id", "successes")
+            for p in past:
+                every = every.unionByName(p.select("statement_id", "successes"))
+            targets = embed(unproved(statements, every).select(F.xxhash64("id").alias("id"), F.col("statement").alias("text"), F.col("matching_weight").alias("weight")))
+            ideas = match_conjecturer_examples(ideas, embed(ideas.select("ord", F.col("target").alias("text"))), targets, settings.capacity)
+        return dedup_examples([*([sft] if sft is not None else []), replay, ideas])
+
+    examples = checkpointed(spark, root, "training_examples", index, training)
+    return {"selected": selected, "conjecture_inputs": seeds, "conjectures": made, "attempts": attempts, "scores": scores, "filtered": filtered, "examples": examples, "summary": round_metrics(round_summary(attempts, selected, made), seeds, examples)}

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.text import canonical_statement, dataset_labels, stable_id
+from tessera.functions.text import canonical_statement, dataset_labels, sorry_form, stable_id
 from tessera.operators.relation import last_wins
 
 ARTIFACT_SCHEMA = 2
@@ -23,10 +23,30 @@ SFT_RECORD = "prompt STRING, target STRING, formal_statement STRING, proof STRIN
 DECLARATION = "full_name STRING, statement STRING"
 
 
+#: A place within a file takes so many bits of ``ord``, its file's number those above.
+_PLACE_BITS = 47
+
+
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """Rows just read from files with ``ord``: by file name, then place in the file. Spark packs
+    files into tasks by size, so that a row's number alone follows no order of files."""
+    spark, files = rows.sparkSession, sorted(rows.inputFiles())
+    place = F.monotonically_increasing_id()
+    if len(files) < 2:
+        return rows.withColumn("ord", place)
+    if len(files) >= 1 << (63 - _PLACE_BITS):
+        raise ValueError(f"{len(files)} files have no order")
+    bare = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
+    numbers = spark.createDataFrame(list(enumerate(files)), "_number BIGINT, _file STRING").select("_number", bare(F.col("_file")).alias("_file"))
+    placed = rows.select("*", place.alias("_place"), bare(F.col("_metadata.file_path")).alias("_file")).join(F.broadcast(numbers), "_file", "left")
+    number = F.coalesce("_number", F.raise_error(F.concat(F.lit("a file without a number: "), "_file")).cast("bigint"))
+    return placed.withColumn("ord", F.shiftleft(number, _PLACE_BITS) + F.col("_place")).drop("_number", "_file", "_place")
+
+
 def read_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """JSON Lines with ``ord`` rising in file order; blank lines are skipped, a bad line raises."""
-    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return rows.withColumn("ord", F.monotonically_increasing_id())
+    """JSON Lines with ``ord`` rising by file name and place in the file; blank lines are skipped, a
+    bad line raises."""
+    return in_file_order(spark.read.schema(schema).option("mode", "FAILFAST").json(path))
 
 
 def read_array(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -49,7 +69,7 @@ def read_resumable(spark: SparkSession, path: str, schema: str) -> DataFrame:
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path):
         return spark.createDataFrame([], kind).withColumn("ord", F.lit(0).cast("long"))
-    lines = spark.read.text(path).filter(F.trim("value") != "").withColumn("ord", F.monotonically_increasing_id())
+    lines = in_file_order(spark.read.text(path)).filter(F.trim("value") != "")
     wide = T.StructType([*kind.fields, T.StructField("_bad", T.StringType())])
     parsed = lines.select("ord", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     bad = parsed.filter("r._bad IS NOT NULL").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("at")).first()
@@ -111,6 +131,25 @@ def row_at(df: DataFrame, index: int) -> DataFrame:
     return rows.orderBy(F.desc("ord")).limit(1)
 
 
+def count_lines(spark: SparkSession, path: str) -> int:
+    return spark.read.text(path).count()
+
+
+def single_name(name: str) -> str:
+    """A folder's name of one component; others raise."""
+    if name in ("", ".", "..") or Path(name).name != name:
+        raise ValueError("not a single folder name")
+    return name
+
+
+def round_dir(root: str, index: int) -> str:
+    return f"{root}/round_{index:03d}"
+
+
+def manifest_path(artifact: str) -> str:
+    return f"{artifact}.manifest.json"
+
+
 def declaration_map(rows: DataFrame) -> DataFrame:
     return last_wins(rows, ["full_name"], ["ord"]).select("full_name", "statement")
 
@@ -130,14 +169,16 @@ def round_pool(selected: DataFrame, conjectures: DataFrame) -> DataFrame:
 
 
 def load_config(path: str, defaults: dict[str, Any] | None = None) -> dict[str, Any]:
-    """TOML; missing keys of ``run`` take their defaults, its relative paths start at the file."""
+    """TOML; missing keys of ``run`` take their defaults; relative paths of all sections (keys that end
+    in _path or _dir) start at the file, ``~`` is the user's folder."""
     with open(path, "rb") as f:
         config = tomllib.load(f)
     config["run"] = {**(defaults or {}), **config.get("run", {})}
     base = Path(path).resolve().parent
-    for key, value in config["run"].items():
-        if isinstance(value, str) and (key.endswith("_path") or key.endswith("_dir")) and not os.path.isabs(value):
-            config["run"][key] = str((base / value).resolve())
+    for section in (v for v in config.values() if isinstance(v, dict)):
+        for key, value in section.items():
+            if isinstance(value, str) and (key.endswith("_path") or key.endswith("_dir")):
+                section[key] = str((base / Path(value).expanduser()).resolve())
     return config
 
 
@@ -175,6 +216,25 @@ def write_manifest(path: str, provenance: dict[str, Any]) -> None:
     write_json(path, {"artifact_schema": ARTIFACT_SCHEMA, **provenance})
 
 
+def write_declarations(rows: DataFrame, path: str, provenance: dict[str, Any]) -> dict[str, Any]:
+    """The declarations by name as JSON Lines, and the manifest beside them; returns the manifest."""
+    named = rows.select("full_name", "statement", F.col("full_name").alias("ord"))
+    write_lines(named, path)
+    manifest = {**provenance, "artifact": path, "declarations": count_lines(rows.sparkSession, path)}
+    write_json(manifest_path(path), manifest)
+    return manifest
+
+
+def search_requests(requests: DataFrame) -> DataFrame:
+    """What a tree search is sent for each request: its statement ends in ``sorry``."""
+    return requests.select(F.col("id").alias("request_id"), sorry_form(F.col("statement")).alias("theorem"), "header", "seed", *(["ord"] if "ord" in requests.columns else []))
+
+
+def as_json(df: DataFrame) -> DataFrame:
+    """One JSON text a row, nulls included."""
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def check_manifest(path: str, expected: dict[str, Any]) -> dict[str, Any]:
     """The manifest; another schema or another value of an expected key raises."""
     manifest = json.loads(Path(path).read_text(encoding="utf-8"))
