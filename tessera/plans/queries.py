@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import draw, numeric, text
@@ -13,6 +13,7 @@ from tessera.operators import evaluate as E
 from tessera.operators import examples as X
 from tessera.operators import matching, relation, scoring, tokens, tree
 from tessera.plans import bindings as B
+from tessera.plans import providers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -227,7 +228,7 @@ def conjecture_inputs(spark, d):
 
 @query(f"WITH {B.STATEMENTS} SELECT id FROM statements ORDER BY pow({_uniform('priority', 'id')}, 1 / matching_weight) DESC, id LIMIT 200")
 def weighted_sample(spark, d):
-    return B.statements(spark, d).orderBy(F.desc(draw.priority(SEED, "priority", "matching_weight", "id")), "id").limit(200).select("id")
+    return relation.weighted_top(B.statements(spark, d), draw.priority(SEED, "priority", "matching_weight", "id"), 200).select("id")
 
 
 @query(
@@ -516,36 +517,23 @@ def invoked_lemmas(spark, d):
     return B.events(spark, d).select("event_id", F.array_join(text.invoked_lemmas(messages), ",").alias("lemmas"))
 
 
-@query("SELECT doc_id, concat('import A', chr(10), text, chr(10), CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END) AS code FROM documents WHERE length(text) < 200")
-def checker_source(spark, d):
-    docs = B.table(spark, d, "documents").filter(F.length("text") < 200)
-    return docs.select("doc_id", text.checker_source(F.lit("import A\n"), F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.col("lang"))).alias("code"))
-
-
 @query("SELECT doc_id, length(text) AS n_chars, sha256(concat('import A', chr(10), coalesce(text, ''), chr(10), CASE WHEN doc_id % 2 = 0 THEN coalesce(lang, '') ELSE '' END)) AS code_sha256 FROM documents")
-def checker_source_whole(spark, d):
+def checker_source(spark, d):
     """Every document, whatever its length; a null text is an empty statement."""
     code = text.checker_source(F.lit("import A\n"), F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
     return B.table(spark, d, "documents").select("doc_id", F.length("text").alias("n_chars"), F.sha2(code, 256).alias("code_sha256"))
 
 
-@query("SELECT doc_id, substr(text, CAST(doc_id % 10 + 1 AS BIGINT), 12) AS part, concat('p', doc_id, '/x.lean') AS path FROM documents")
-def span_extract(spark, d):
-    start = (F.col("doc_id") % 10).cast("int")
-    path = text.repository_path(F.concat(F.lit("mathlib/p"), F.col("doc_id").cast("string"), F.lit("/x.lean")))
-    return B.table(spark, d, "documents").select("doc_id", text.span(F.col("text"), start, start + 12).alias("part"), path.alias("path"))
-
-
 @query(
-    """SELECT doc_id, start, finish, sha256(substr(text, start + 1, finish - start)) AS part_sha256
+    """SELECT doc_id, start, finish, sha256(substr(text, start + 1, finish - start)) AS part_sha256, concat('p', doc_id, '/x.lean') AS path
     FROM (SELECT *, least(n, start + 1 + n // 3) AS finish FROM (SELECT doc_id, text, length(text) AS n, CAST(doc_id * 7919 % greatest(length(text), 1) AS BIGINT) AS start FROM documents))"""
 )
-def span_extract_whole(spark, d):
+def span_extract(spark, d):
     """Spans that start and end anywhere in the whole text."""
     n = F.length("text")
     docs = B.table(spark, d, "documents").withColumn("start", F.when(F.col("text").isNotNull(), F.expr("cast(doc_id * 7919 % greatest(length(text), 1) as int)")))
     docs = docs.withColumn("finish", F.least(n, F.col("start") + 1 + F.floor(n / 3).cast("int")))
-    return docs.select("doc_id", "start", "finish", F.sha2(text.span(F.col("text"), F.col("start"), F.col("finish")), 256).alias("part_sha256"))
+    return docs.select("doc_id", "start", "finish", F.sha2(text.span(F.col("text"), F.col("start"), F.col("finish")), 256).alias("part_sha256"), text.repository_path(F.concat(F.lit("mathlib/p"), F.col("doc_id").cast("string"), F.lit("/x.lean"))).alias("path"))
 
 
 # --- batches and tokens ----------------------------------------------------------------------
@@ -772,12 +760,16 @@ def recover_missing(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def require_unique(spark, d):
+    once = relation.first_wins(B.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], ["l_orderkey"])
+    relation.require_unique(once, ["l_orderkey", "l_linenumber"])
     return relation.repeated_keys(B.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 @query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def require_fk(spark, d):
-    return relation.unknown_keys(B.table(spark, d, "documents"), ["doc_id"], B.table(spark, d, "labels"))
+    docs, labels = B.table(spark, d, "documents"), B.table(spark, d, "labels")
+    relation.require_fk(labels, ["doc_id"], docs)
+    return relation.unknown_keys(docs, ["doc_id"], labels)
 
 
 @query(f"WITH {B.ATTEMPTS} SELECT statement_id AS problem_id, count(*) AS n, string_agg(status, ',' ORDER BY ord) AS statuses FROM attempts GROUP BY 1")
@@ -846,11 +838,6 @@ def declarations_sorted(spark, d):
     return declaration_names(B.table(spark, d, "part").select(F.col("p_brand").alias("full_name"))).orderBy("full_name")
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def variant_metrics(spark, d):
-    return B.events(spark, d).select("event_id", F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
-
-
 @query(f"WITH {B.STATEMENTS}, {B.CONJECTURES} SELECT id, statement, 'dataset' AS source FROM statements UNION ALL SELECT id, statement, 'conjecture' FROM conjectures")
 def round_pool(spark, d):
     from tessera.sources.records import round_pool as pool
@@ -861,3 +848,144 @@ def round_pool(spark, d):
 @query("SELECT event_id, event_type, user_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) <= 2")
 def capped_per_key(spark, d):
     return relation.capped(B.events(spark, d), ["event_type", "user_id"], 2, ["event_id"]).select("event_id", "event_type", "user_id")
+
+
+# --- handlers, verification and training sets --------------------------------------------------
+
+_CHAT = f"concat({', chr(10), '.join(repr(x) for x in (text.CHAT_TASK,))}, chr(10), chr(10), $${text.CHAT_EXAMPLE}$$, chr(10))"
+
+
+@query(
+    f"""SELECT doc_id, sha256(concat({_CHAT}, CASE WHEN doc_id % 2 = 0 THEN concat(chr(10), 'Lean context:', chr(10), 'import ', lang, chr(10)) ELSE '' END,
+      chr(10), 'Theorem:', chr(10), 'theorem d', doc_id, ' : ', lang, '   := by', chr(10))) AS prompt FROM documents"""
+)
+def proof_prompt(spark, d):
+    statement = F.concat(F.lit("/- a\n-/theorem d"), F.col("doc_id").cast("string"), F.lit(" : "), "lang", F.lit(" -- b\n := by"))
+    statement = F.replace(statement, F.lit(" -- b\n"), F.lit(" /- b\n-/"))
+    header = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("  import "), "lang", F.lit("\n\n")))
+    return B.table(spark, d, "documents").select("doc_id", F.sha2(text.proof_prompt(statement, header), 256).alias("prompt"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE concat('exact h', doc_id) END AS proof FROM documents")
+def chat_completions(spark, d):
+    key = F.col("doc_id").cast("string")
+    statement = F.concat(F.lit("theorem d"), key, F.lit(" :  p := by"))
+    other = F.concat(F.lit("```lean4\ntheorem other : q := by simp\n```\n"))
+    block = F.concat(F.lit("```lean4\n-- theorem d"), key, F.lit(" : p := by wrong\ntheorem d"), key, F.lit(" : p /- x -/ := by\n  exact h"), key, F.lit("\n```\n"))
+    rows = B.table(spark, d, "documents").select("doc_id", statement.alias("statement"), F.when(F.col("doc_id") % 5 == 0, other).otherwise(F.concat(other, block)).alias("raw_output"))
+    return providers.parsed(rows, "chat").select("doc_id", "proof")
+
+
+@query("SELECT p_partkey, concat('``', 'ns.t', p_partkey) AS asked FROM part")
+def dependency_query(spark, d):
+    statement = F.concat(F.lit("lemma ns.t"), F.col("p_partkey").cast("string"), F.lit(" {x} : p := by"))
+    asked = F.regexp_extract(text.dependency_query(statement), r"getConstInfo (\S+)", 1)
+    return B.table(spark, d, "part").select("p_partkey", asked.alias("asked"))
+
+
+@query(
+    f"""WITH {B.ATTEMPTS} SELECT request_id, CASE WHEN ord % 4 = 0 OR generated_tokens % 3 = 0 THEN 'failed' ELSE 'proved' END AS status, CAST(ord AS DOUBLE) AS verify_seconds,
+      CASE WHEN ord % 4 = 0 THEN '' ELSE 'L1,L2' END AS lemmas FROM attempts"""
+)
+def verification(spark, d):
+    rows = B.attempts(spark, d)
+    requests = rows.select(F.col("request_id").alias("id"), F.lit("theorem a : p := by").alias("statement"), F.lit(None).cast("string").alias("header"), "ord")
+    requests = requests.unionByName(requests.withColumn("ord", F.col("ord") - 100))
+    sent = providers.checks(rows, requests)
+    data = F.when(F.col("generated_tokens") % 3 == 0, "declaration uses 'sorry'").otherwise("fine")
+    messages = lambda level, text_: F.array(F.struct(F.lit(level).alias("severity"), text_.alias("data")))
+    replies = sent.select("request_id", messages("info", data).alias("messages"), messages("info", F.lit('["L2","X","L1"]')).alias("dependencies"), F.col("ord").cast("double").alias("seconds"), F.when(F.col("ord") % 4 == 0, "crashed").alias("error"))
+    out = providers.checked(rows, replies, spark.createDataFrame([("L1",), ("L2",)], "full_name STRING"))
+    return out.select("request_id", "status", "verify_seconds", F.array_join("invoked_lemmas", ",").alias("lemmas"))
+
+
+@query("SELECT substr(sha256(prompt), 1, 20) AS id, target, kind FROM (SELECT text AS prompt, lang AS target, CASE WHEN doc_id % 3 = 0 THEN 'sft' WHEN doc_id % 3 = 1 THEN 'proof' ELSE 'conjecture' END AS kind, doc_id % 3 AS src, doc_id FROM documents) QUALIFY row_number() OVER (PARTITION BY prompt, target ORDER BY src, doc_id) = 1")
+def training_examples(spark, d):
+    docs = B.table(spark, d, "documents")
+    of = lambda k, kind: docs.filter(F.col("doc_id") % 3 == k).select(F.col("text").alias("prompt"), F.col("lang").alias("target"), F.lit(1.0).alias("weight"), F.lit(kind).alias("kind"), F.col("doc_id").alias("ord"))
+    return X.prepare_training_examples(of(0, "sft"), of(1, "proof"), of(2, "conjecture")).select(text.stable_id(F.col("prompt")).alias("id"), "target", "kind")
+
+
+@query(
+    f"""WITH {B.VECTORS}, ranked AS (
+      SELECT c.id AS ord, t.weight, row_number() OVER (PARTITION BY t.id ORDER BY list_cosine_similarity(t.vector, c.vector) DESC, c.id) AS place FROM targets t, candidates c)
+    SELECT ord, round(count(*) * ((SELECT count(*) FROM candidates) / (SELECT sum(weight) FROM targets)), 6) AS weight FROM ranked WHERE place <= weight GROUP BY 1"""
+)
+def matched_examples(spark, d):
+    candidates, targets = B.vectors(spark, d)
+    ideas = candidates.select(F.lit("p").alias("prompt"), F.lit(0.0).alias("weight"), F.col("id").alias("ord"))
+    return X.match_conjecturer_examples(ideas, candidates.select(F.col("id").alias("ord"), "vector"), targets, 1e9).select("ord", r6("weight").alias("weight"))
+
+
+# --- small relational pieces -------------------------------------------------------------------
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE event_type IS NOT NULL")
+def lines_in_file_order(spark, d):
+    """Written in parts, read back: a row's place is its event's place."""
+    from tessera.plans.scratch import scratch_path
+    from tessera.sources.records import read_lines, write_lines
+
+    rows = B.events(spark, d).select("event_id", "event_type", "value", F.col("event_id").alias("ord"))
+    path = scratch_path(spark, "lines")
+    write_lines(rows, path)
+    back = read_lines(spark, path, "event_id BIGINT, event_type STRING, value DOUBLE")
+    wrong = back.withColumn("before", F.lag("event_id").over(Window.orderBy("ord"))).filter("before > event_id").count()
+    if wrong:
+        raise ValueError(f"{wrong} rows out of order")
+    return back.drop("ord")
+
+
+@query("SELECT page_id AS ord, url, length(html) AS n FROM pages")
+def zip_strict(spark, d):
+    pages = B.table(spark, d, "pages")
+    return E.zip_strict(pages.select(F.col("page_id").alias("ord"), "url"), pages.select(F.col("page_id").alias("ord"), F.length("html").cast("long").alias("n")))
+
+
+@query("SELECT event_id, value FROM events WHERE event_id >= 100")
+def resumed_slice(spark, d):
+    return E.resumed(B.events(spark, d).withColumn("ord", F.col("event_id")), 100).select("event_id", "value")
+
+
+@query("SELECT CASE WHEN page_id % 10 = 0 THEN 'validation' ELSE 'train' END AS split, count(*) AS n FROM pages GROUP BY 1")
+def split_counts(spark, d):
+    return E.per_split(B.table(spark, d, "pages").withColumn("split", F.when(F.col("page_id") % 10 == 0, "validation").otherwise("train")))
+
+
+@query("SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 2 = 0 THEN 'a' END, 'c') AS only_proof, concat_ws(',', 'l' || o_orderstatus, 'right') AS merged FROM orders")
+def array_and_map_merges(spark, d):
+    used = F.array(F.lit("a"), F.lit("b"), F.lit("c"))
+    kind = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    merged = text.merged(F.create_map(F.lit("x"), F.concat(F.lit("l"), "o_orderstatus"), F.lit("y"), F.lit("left")), F.create_map(F.lit("y"), F.lit("right")))
+    return B.table(spark, d, "orders").select("o_orderkey", F.array_join(text.proof_only(used, kind), ",").alias("only_proof"), F.concat_ws(",", merged["x"], merged["y"]).alias("merged"))
+
+
+@query("SELECT concat_ws(':', doc_id, 1) AS request_id, concat('theorem d', doc_id, ' := by sorry') AS theorem, doc_id AS seed FROM documents")
+def search_requests(spark, d):
+    from tessera.sources.records import search_requests as requests
+
+    key = F.col("doc_id").cast("string")
+    asked = B.table(spark, d, "documents").select(F.concat(key, F.lit(":1")).alias("id"), F.concat(F.lit("theorem d"), key, F.lit(" :=  by ")).alias("statement"), F.lit(None).cast("string").alias("header"), F.col("doc_id").alias("seed"))
+    return requests(asked).select("request_id", "theorem", "seed")
+
+
+@query("SELECT simulations, avg(score) AS score, count(*) AS problems, log2(simulations) AS log2_budget FROM (SELECT CAST(2 ** (event_id % 5) AS INT) AS simulations, event_id % 2 AS score FROM events) GROUP BY 1")
+def plot_rows(spark, d):
+    rows = B.events(spark, d).select(F.pow(F.lit(2), F.col("event_id") % 5).cast("int").alias("simulations"), (F.col("event_id") % 2).cast("double").alias("score"))
+    return E.plot_rows(rows)
+
+
+@query(f"SELECT event_id, CAST((row_number() OVER (ORDER BY {_digest('epoch', 'event_id')}, event_id) - 1) // 32 AS BIGINT) AS batch, avg(value) OVER () AS mean FROM events")
+def shuffled_batches(spark, d):
+    rows = B.events(spark, d)
+    out = tokens.shuffled_batches(rows.select("event_id", "value"), 1, SEED, 32, "event_id")
+    mean = tokens.mean_loss(rows.select(F.col("value").alias("loss")))
+    return out.join(F.broadcast(mean)).select("event_id", F.col("batch").cast("long").alias("batch"), F.col("loss").alias("mean"))
+
+
+@query("SELECT region.r_regionkey AS k, to_json({'r_regionkey': r_regionkey, 'r_name': nullif(r_name, 'ASIA')}) AS json FROM region")
+def rows_as_json(spark, d):
+    from tessera.sources.records import as_json
+
+    rows = B.table(spark, d, "region").withColumn("r_name", F.nullif("r_name", F.lit("ASIA")))
+    return as_json(rows).select(F.get_json_object("json", "$.r_regionkey").cast("int").alias("k"), "json")

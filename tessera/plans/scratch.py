@@ -4,16 +4,30 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a private one only on a single machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
+    return f"file://{tempfile.gettempdir()}/tessera-checkpoints-{os.getuid()}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()``; sets a private folder only where the session names none (tests)."""
+    """``df.checkpoint()``."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or f"file://{tempfile.gettempdir()}/tessera-checkpoints-{os.getuid()}")
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

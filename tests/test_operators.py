@@ -308,7 +308,7 @@ def test_checker_source_takes_texts_of_any_length(spark):
 def test_checker_source_query_covers_every_document(spark):
     from tessera.catalogue import QUERIES
 
-    got = QUERIES["checker_source_whole"](spark, "/root/testdata/sf0.001").collect()
+    got = QUERIES["checker_source"](spark, "/root/testdata/sf0.001").collect()
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert len(got) == docs.count() and max(r.n_chars for r in got) >= 200
     assert all(r.code_sha256 is not None for r in got)
@@ -318,6 +318,68 @@ def test_span_query_reads_whole_texts(spark):
     from tessera.catalogue import QUERIES
 
     lengths = {r.doc_id: r.n for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.length("text").alias("n")).collect()}
-    got = QUERIES["span_extract_whole"](spark, "/root/testdata/sf0.001").collect()
+    got = QUERIES["span_extract"](spark, "/root/testdata/sf0.001").collect()
     assert len(got) == len(lengths) and max(r.start for r in got) > 1000
     assert any(r.finish == lengths[r.doc_id] > 200 for r in got)
+
+
+def test_lines_of_many_files_keep_their_order(spark, tmp_path):
+    rows = spark.range(0, 300).selectExpr("id AS a", "repeat('x', cast(id % 200 AS int)) AS t", "id AS ord").repartition(7)
+    records.write_lines(rows, str(tmp_path / "out.jsonl"))
+    back = records.read_lines(spark, str(tmp_path / "out.jsonl"), "a INT, t STRING")
+    assert [r.a for r in back.orderBy("ord").collect()] == list(range(300))
+    assert records.count_lines(spark, str(tmp_path / "out.jsonl")) == 300
+
+
+def test_repeated_ids_do_not_fan_out(spark):
+    attempts = spark.createDataFrame([("r1", "s", "p", "proved", 1.0, 1, 0)], "request_id STRING, statement_id STRING, proof STRING, status STRING, verify_seconds DOUBLE, multiplicity BIGINT, ord BIGINT")
+    pool = spark.createDataFrame([("s", "theorem old := by", None, 0), ("s", "theorem new := by", None, 1)], "id STRING, statement STRING, header STRING, ord BIGINT")
+    rates = spark.createDataFrame([("s", 0.1)], "statement_id STRING, score DOUBLE")
+    got = examples.prover_examples(attempts, pool, rates, 0.5).collect()
+    assert len(got) == 1 and "theorem new" in got[0].prompt
+    twice = attempts.unionByName(attempts.withColumn("status", F.lit("failed")).withColumn("ord", F.lit(5).cast("long")))
+    assert [r.status for r in evaluate.overlay_verified(attempts, twice).collect()] == ["failed"]
+    with pytest.raises(Exception, match="different positions"):
+        evaluate.zip_strict(spark.createDataFrame([(0,), (1,)], "ord INT"), spark.createDataFrame([(0,), (2,)], "ord INT")).collect()
+
+
+def test_many_small_trees_have_no_bound_together(spark):
+    n = 130_000
+    nodes = spark.range(n * 9).selectExpr("concat('t', id div 9) AS tree_id", "id % 9 AS id", "'OR' AS node_type", "0D AS value", "true AS proven", "id % 9 = 0 AS is_root")
+    edges = spark.range(n * 8).selectExpr("concat('t', id div 8) AS tree_id", "0L AS parent", "cast(id % 8 AS int) AS ord", "id % 8 + 1 AS child")
+    out = tree.project(spark, nodes, edges, depth=4)
+    assert out.count() == n * 9 and out.agg(F.max("node")).first()[0] == 8
+
+
+def test_searches_become_attempts(spark):
+    tree_of = "STRUCT<root_id BIGINT, nodes ARRAY<STRUCT<id BIGINT, node_type STRING, value DOUBLE, proven BOOLEAN, children ARRAY<STRUCT<action STRING, node_id BIGINT>>>>>"
+    requests = spark.createDataFrame([("q1", "s1", 0, 7, 0), ("q2", "s2", 0, 8, 1)], "id STRING, statement_id STRING, attempt BIGINT, seed BIGINT, ord BIGINT")
+    leaf = (0, [(0, "OR", 0.0, True, [("a", 1)]), (1, "OR", 0.0, False, [])])
+    results = spark.createDataFrame([("q1", "proved", "simp", 2.0, None, None, leaf, 0), ("q2", "failed", None, 3.0, 5, 0.5, leaf, 1)], f"request_id STRING, status STRING, proof STRING, duration_seconds DOUBLE, generated_tokens BIGINT, verify_seconds DOUBLE, tree {tree_of}, ord BIGINT")
+    sent = []
+
+    def verifier(rows):
+        sent.append(rows.count())
+        return rows.withColumn("verified", F.lit(True)).withColumn("verify_seconds", F.lit(9.0)).withColumn("invoked_lemmas", F.array(F.lit("foo")))
+
+    got = {r.request_id: r for r in providers.searched(requests, results, verifier).collect()}
+    assert sent == [1] and got["q1"].verify_seconds == 9.0 and got["q1"].status == "proved" and got["q1"].solve_rate == 1.0
+    assert got["q2"].status == "failed" and got["q2"].generated_tokens == 5 and got["q2"].solver == "alphaproof"
+    with pytest.raises(ValueError, match="unknown solver"):
+        providers.dispatch("x", {})
+
+
+def test_commands(spark, tmp_path, capsys):
+    from tessera import cli
+
+    (tmp_path / "t.json").write_text(json.dumps({"tree": {"root_id": 0, "nodes": [node(0, "OR", 0.0, True, 1), node(1, "OR", 0.0, False)]}}, default=lambda r: r.asDict(recursive=True) if hasattr(r, "asDict") else list(r)))
+    args = cli.arguments(["tree", str(tmp_path / "t.json"), "--projected-tree-output", str(tmp_path / "p")])
+    got = cli.run(spark, args)
+    assert got["total_frontier_nodes"] == 1 and records.count_lines(spark, str(tmp_path / "p")) == 2
+    (tmp_path / "d.jsonl").write_text('{"full_name": "b", "statement": "x"}\n{"full_name": "a", "statement": "y"}\n{"full_name": "b", "statement": "z"}\n')
+    manifest = cli.run(spark, cli.arguments(["declarations", "--input", str(tmp_path / "d.jsonl"), "--output", str(tmp_path / "out.jsonl")]))
+    assert manifest["declarations"] == 2 and json.loads((tmp_path / "out.jsonl.manifest.json").read_text())["artifact_schema"] == 2
+    with pytest.raises(SystemExit):
+        cli.arguments(["evaluate", "--attempts", "a", "--problems", "b", "--problem-index", "-1"])
+    with pytest.raises(ValueError):
+        records.single_name("a/b")
