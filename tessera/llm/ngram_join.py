@@ -47,8 +47,6 @@ HOT_TOKENS = 1 << 21
 LIST_PART, PIVOT_PART = 2000, 256
 #: Sizes up to this may be light.
 LIGHTEST = 64
-#: Meetings for each list entry beyond which lists get another pivot before all are met.
-MEETINGS = 2
 #: Lists with more sets than this outside their largest component meet by differences from a pivot.
 FEW_STRANGERS = 16
 #: Bits of a set's name (64: all); sets whose names clash take the next 64 bits of their digest.
@@ -490,40 +488,25 @@ class _Join:
         across = parts.join(least.hint("merge"), "key").filter("pivot <> low").select(F.col("low").alias("a"), F.col("pivot").alias("b"))
         pairs = pairs.union(across.distinct())
         links = self.compared(pairs)
-        lists = listed.select("key", "own", "sid", "size", "rest", "role")
         entry = ("component", "sid", "size", "rest", "role")
-        before = None
-        while True:
-            labels = components(links)
-            named = lists.join(labels.withColumnRenamed("node", "sid").hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-            per = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-            per = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-            mixed = stored(per.select("key", F.col("most.component").alias("main"), "all", (F.col("all") - F.col("most.n")).alias("strangers")), "mixed")
-            lists = stored(named.join(mixed.hint("merge"), "key"), "mixed-lists")
-            size = mixed.agg(F.sum(F.col("all") * F.col("strangers")).alias("meetings"), F.sum("all").alias("rows"), F.sum("strangers").alias("strangers")).first()
-            if not size["rows"]:
-                return labels
-            one = lists.select("key", "main", "strangers", "own", *entry)
-
-            def met(left: DataFrame, right: DataFrame, apart: str) -> DataFrame:
-                left = left.select("key", *(F.col(c).alias(f"l_{c}") for c in entry))
-                joined = left.join(right.hint("merge"), "key").filter(f"l_component <> component AND ({apart})")
-                return joined.select(*(f"{side}{c}" for side in ("l_", "") for c in entry))
-
-            # pivots are worth a round while they take many strangers into components
-            if (before is not None and size["strangers"] > 0.9 * before) or size["meetings"] <= MEETINGS * size["rows"]:
-                # pairs meet in full in all their lists, or are found or ruled out in one by differences
-                found, apart = self.linked_apart(one.filter(F.col("strangers") > FEW_STRANGERS))
-                short = one.filter(F.col("strangers") <= FEW_STRANGERS)
-                in_full = met(short.filter("component <> main"), short, "component = main OR l_sid < sid")
-                in_full = in_full.union(met(apart.filter("remote"), apart, "NOT remote OR l_sid < sid"))
-                links = links.union(found).union(self.compared(self.candidates(in_full, "l_", "")))
-                return components(stored(links, "links"))
-            # of those outside a list's largest component, the least singular is its next pivot
-            best = one.filter("component <> main").groupBy("key").agg(F.min(F.struct("own", "sid", "component", "size", "rest", "role")).alias("p")).select("key", *(F.col(f"p.{c}").alias(c) for c in entry))
-            links = stored(links.union(self.compared(self.candidates(met(best, one, "true"), "l_", "", once=True))), "links")
-            lists = lists.select("key", "own", "sid", "size", "rest", "role")
-            before = size["strangers"]
+        labels = components(links)
+        named = listed.select("key", "own", "sid", "size", "rest", "role").join(labels.withColumnRenamed("node", "sid").hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        per = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+        per = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+        mixed = stored(per.select("key", F.col("most.component").alias("main"), (F.col("all") - F.col("most.n")).alias("strangers")), "mixed")
+        one = stored(named.join(mixed.hint("merge"), "key").select("key", "main", "strangers", "own", *entry), "mixed-lists")
+
+        def met(left: DataFrame, right: DataFrame, apart: str) -> DataFrame:
+            left = left.select("key", *(F.col(c).alias(f"l_{c}") for c in entry))
+            joined = left.join(right.hint("merge"), "key").filter(f"l_component <> component AND ({apart})")
+            return joined.select(*(f"{side}{c}" for side in ("l_", "") for c in entry))
+
+        # pairs meet in full in all their lists, or are found or ruled out in one by differences
+        found, apart = self.linked_apart(one.filter(F.col("strangers") > FEW_STRANGERS))
+        short = one.filter(F.col("strangers") <= FEW_STRANGERS)
+        in_full = met(short.filter("component <> main"), short, "component = main OR l_sid < sid")
+        in_full = in_full.union(met(apart.filter("remote"), apart, "NOT remote OR l_sid < sid"))
+        return components(stored(links.union(found).union(self.compared(self.candidates(in_full, "l_", ""))), "links"))
 
 
 def jaccard_components(docs: DataFrame, n_words: int = WORDS, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
