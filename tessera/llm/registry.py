@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.bpe import op10_transducer_bpe
 from tessera.llm.decontamination import op9_simhash_windows
 from tessera.llm.exact_dedup import OP6_SQL, op6_digest_index
+from tessera.llm.filter_audit import OP12_SQL, op12_mask_histogram
 from tessera.llm.ngram_join import op3_size_aware_join
 from tessera.llm.quality import op1_importance_resampling
 from tessera.llm.secrets import op2_randomness_battery
@@ -26,6 +27,7 @@ QUERIES = {
         op8_virtual_slots,
         op9_simhash_windows,
         op10_transducer_bpe,
+        op12_mask_histogram,
     )
 }
-SQL = {"op6_digest_index": OP6_SQL}
+SQL = {"op6_digest_index": OP6_SQL, "op12_mask_histogram": OP12_SQL}
