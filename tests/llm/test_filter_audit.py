@@ -12,8 +12,8 @@ def serial(rows, labels):
     for doc, text, _ in rows:
         if doc is not None:
             first[text or ""] = min(doc, first.get(text or "", doc))
-    good = {d for d, q, _ in labels if q == 1}
-    toxic = {d for d, _, t in labels if t == 1}
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    toxic = {d for d, _, t in labels if t == 1 and d is not None}
     parts = defaultdict(list)
     for doc, text, lang in rows:
         text = text or ""
