@@ -7,6 +7,7 @@ from tessera.llm.decontamination import op9_simhash_windows
 from tessera.llm.exact_dedup import OP6_SQL, op6_digest_index
 from tessera.llm.filter_audit import OP12_SQL, op12_mask_histogram
 from tessera.llm.lexical_search import OP13_SQL, op13_maxscore
+from tessera.llm.multi_index import op11_inverted_multi_index
 from tessera.llm.ngram_join import op3_size_aware_join
 from tessera.llm.quality import op1_importance_resampling
 from tessera.llm.secrets import op2_randomness_battery
@@ -28,6 +29,7 @@ QUERIES = {
         op8_virtual_slots,
         op9_simhash_windows,
         op10_transducer_bpe,
+        op11_inverted_multi_index,
         op12_mask_histogram,
         op13_maxscore,
     )
