@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.draw import priority, shuffle_key, uniform
 from tessera.functions.text import TRIVIAL_LEMMA, canonical_statement, conjecture_labels, conjecturer_prompt, parse_conjecture, stable_id
 from tessera.operators.relation import distinct_then_capped, first_wins, insert_if_absent, last_wins
+from tessera.operators.scan import first_rows, numbered
 from tessera.operators.scoring import SOURCE_RATE
 
 
@@ -40,10 +41,8 @@ def conjecture_inputs(attempts: DataFrame, statements: DataFrame, rates: DataFra
     )
     named = kept.join(by_id, "statement_id").join(declarations.select(F.col("full_name").alias("lemma"), F.col("statement").alias("_lemma")), "lemma", "left")
     drawn = named.withColumn("_priority", priority(seed, "priority", "matching_weight", "request_id", "lemma"))
-    drawn = drawn.orderBy(F.desc("_priority"), "request_id", "lemma").limit(unproved_count)
-    # at most unproved_count rows are left to number
-    index = F.row_number().over(Window.orderBy(F.desc("_priority"), "request_id", "lemma")) - 1
-    return drawn.withColumn("generation_seed", F.lit(seed) + index).select(
+    drawn = numbered(drawn, [F.desc("_priority"), "request_id", "lemma"], name="_index").filter(F.col("_index") < unproved_count)
+    return drawn.withColumn("generation_seed", F.lit(seed) + F.col("_index")).select(
         stable_id(F.concat("request_id", F.lit("\n"), "lemma")).alias("id"),
         F.col("statement_id").alias("seed_statement_id"),
         "seed_statement",
@@ -77,8 +76,8 @@ def parsed_conjectures(outputs: DataFrame, inputs: DataFrame, existing: DataFram
     fresh = fresh.select(
         "id", "conjecture_input_id", "statement", F.col("seed_statement").alias("easy_statement"), F.col("seed_proof").alias("easy_proof"), "shared_lemma", "shared_lemma_statement", "header", conjecture_labels(F.col("labels")).alias("labels")
     )
-    shuffled = fresh.orderBy(shuffle_key(seed, "conjectures", "id"))
-    return shuffled.limit(limit) if limit > 0 else shuffled
+    order = [shuffle_key(seed, "conjectures", "id"), "id"]
+    return first_rows(fresh, order, limit) if limit > 0 else fresh.orderBy(*order)
 
 
 def proof_requests(pool: DataFrame, attempts: int, seed: int) -> DataFrame:

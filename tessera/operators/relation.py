@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.scan import first_rows
+
 
 def _best(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> DataFrame:
     """One row per key, by partial aggregation: a hot key sends one row per task."""
@@ -39,7 +41,7 @@ def distinct_then_capped(df: DataFrame, pair: Sequence[str], by: Sequence[str],
 
 def top(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
     """The first n rows; all of them for n <= 0."""
-    return df.orderBy(*order) if n <= 0 else df.orderBy(*order).limit(n)
+    return df.orderBy(*order) if n <= 0 else first_rows(df, order, n)
 
 
 def insert_if_absent(new: DataFrame, present: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -135,4 +137,4 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 
 def weighted_top(df: DataFrame, draw: Column, n: int, tie: str = "id") -> DataFrame:
     """A weighted sample without replacement: the ``n`` rows of the largest priorities."""
-    return df.orderBy(F.desc(draw), tie).limit(n)
+    return first_rows(df, [F.desc(draw), tie], n)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.draw import shuffle_key, uniform
 from tessera.operators.relation import first_wins
+from tessera.operators.scan import first_rows
 
 #: Statements solved less often than this stay in the curriculum.
 CURRICULUM_RATE = 0.35
@@ -59,8 +60,8 @@ def select_curriculum(statements: DataFrame, rates: DataFrame, seed: int, limit:
     rated = statements.join(rates.select(F.col("statement_id").alias("id"), "score"), "id", "left")
     rate = F.coalesce("score", F.lit(0.0))
     kept = rated.filter((rate == 0) | (rate < CURRICULUM_RATE) | (uniform(seed, "select", "id") < REPLAY_CHANCE)).drop("score")
-    shuffled = kept.orderBy(shuffle_key(seed, "shuffle", "id"))
-    return shuffled if limit <= 0 else shuffled.limit(limit)
+    order = [shuffle_key(seed, "shuffle", "id"), "id"]
+    return kept.orderBy(*order) if limit <= 0 else first_rows(kept, order, limit)
 
 
 def unproved(statements: DataFrame, scores: DataFrame) -> DataFrame:

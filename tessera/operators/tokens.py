@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.draw import shuffle_key
+from tessera.operators.scan import first_rows, numbered, running_sums
 
 IGNORED = -100
 
@@ -87,21 +88,20 @@ def epoch_rollup(steps: DataFrame) -> DataFrame:
 
 
 def cumulative_seen(steps: DataFrame, run_col: str, order: str = "step") -> DataFrame:
-    """Running sums within each run."""
-    past = Window.partitionBy(run_col).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumn("examples_seen", F.sum("examples").over(past)).withColumn("tokens_seen", F.sum("target_tokens").over(past))
+    """Running sums within each run, however long it is."""
+    return running_sums(steps, [order], {"examples_seen": "examples", "tokens_seen": "target_tokens"}, [run_col])
 
 
 def epoch_permutation(examples: DataFrame, epochs: int, seed: int, id_col: str = "id") -> DataFrame:
     """A seeded order of the examples for each epoch (place from 0)."""
     wide = examples.select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
-    place = F.row_number().over(Window.partitionBy("epoch").orderBy(shuffle_key(F.col("epoch") + seed, "epoch", id_col), id_col)) - 1
-    return wide.withColumn("place", place)
+    keyed = wide.withColumn("_key", shuffle_key(F.col("epoch") + seed, "epoch", id_col))
+    return numbered(keyed, ["_key", id_col], ["epoch"], "place").drop("_key")
 
 
 def fixed_sample(examples: DataFrame, size: int, seed: int, id_col: str = "id") -> DataFrame:
     """A uniform sample of fixed size, the same on every run."""
-    return examples.orderBy(shuffle_key(seed, "validation", id_col), id_col).limit(size)
+    return first_rows(examples, [shuffle_key(seed, "validation", id_col), id_col], size)
 
 
 def mean_pool(hidden: Column, mask: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.conjectures import conjecture_inputs, generation_prompts, parsed_conjectures, proof_requests
 from tessera.operators.examples import conjecturer_examples, dedup_examples, filter_conjectures, match_conjecturer_examples, prover_examples
+from tessera.operators.scan import numbered
 from tessera.operators.scoring import assess, best_of_history, round_metrics, round_summary, select_curriculum, unproved
 from tessera.plans.providers import Provider, solve, with_hooks
 from tessera.sources.records import checkpointed, round_pool
@@ -29,13 +30,6 @@ class Settings:
     capacity: float = 3.0
 
 
-def _dense(df: DataFrame, *order: str) -> DataFrame:
-    """Numbers a round's own rows (bounded by the round's size) from 0."""
-    from pyspark.sql import Window
-
-    return df.drop("ord").withColumn("ord", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-
-
 def run_round(spark: SparkSession, root: str, index: int, statements: DataFrame, declarations: DataFrame, settings: Settings, conjecturer: Provider, prover: Provider, verifier: Provider, sft: DataFrame | None = None, embed: Provider | None = None, hooks: tuple[Provider, ...] = ()) -> dict[str, DataFrame]:
     """Select, conjecture, attempt, score and build examples. Phases that a former run completed are
     read, not run again; earlier rounds are read through their folders. ``sft``: supervised examples
@@ -48,7 +42,7 @@ def run_round(spark: SparkSession, root: str, index: int, statements: DataFrame,
     none = spark.createDataFrame([], "statement_id STRING, method STRING, score DOUBLE, attempts BIGINT, successes BIGINT")
     rates = best_of_history(seen.withColumn("ord", F.lit(0))).drop("ord", "round") if seen is not None else none
 
-    selected = checkpointed(spark, root, "selected", index, lambda: _dense(select_curriculum(statements, rates, settings.seed + index, settings.statements_per_round), "id"))
+    selected = checkpointed(spark, root, "selected", index, lambda: numbered(select_curriculum(statements, rates, settings.seed + index, settings.statements_per_round), ["id"]))
 
     def inputs() -> DataFrame:
         old = None
@@ -59,15 +53,15 @@ def run_round(spark: SparkSession, root: str, index: int, statements: DataFrame,
             old = spark.createDataFrame([], "request_id STRING, statement_id STRING, status STRING, proof STRING, invoked_lemmas ARRAY<STRING>, ord BIGINT")
         wanted = unproved(selected, rates).count()
         made = conjecture_inputs(old.select("request_id", "statement_id", "status", "proof", "invoked_lemmas", "ord"), statements, rates, declarations, wanted, settings.trivial_chance, settings.cap_fraction, settings.seed + index)
-        return _dense(made, "generation_seed")
+        return numbered(made, ["generation_seed"])
 
     seeds = checkpointed(spark, root, "conjecture_inputs", index, inputs)
     made = checkpointed(
         spark, root, "conjectures", index,
-        lambda: _dense(parsed_conjectures(conjecturer(generation_prompts(seeds, settings.samples)).select(F.col("id").alias("conjecture_input_id"), "text", "ord"), seeds, statements.select("id"), seed=settings.seed), "id"),
+        lambda: numbered(parsed_conjectures(conjecturer(generation_prompts(seeds, settings.samples)).select(F.col("id").alias("conjecture_input_id"), "text", "ord"), seeds, statements.select("id"), seed=settings.seed), ["id"]),
     )
     made = with_hooks(made, *hooks)
-    pool = _dense(round_pool(selected, made), "source", "id")
+    pool = numbered(round_pool(selected, made), ["source", "id"])
     requests = checkpointed(spark, root, "proof_requests", index, lambda: proof_requests(pool, settings.attempts, settings.seed))
     attempts = checkpointed(spark, root, "solve_attempts", index, lambda: solve(requests, prover, verifier))
     scores = checkpointed(spark, root, "assessments", index, lambda: assess(attempts.withColumn("solve_rate", F.lit(None).cast("double"))))

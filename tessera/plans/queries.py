@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import draw, numeric, text
 from tessera.operators import conjectures as C
 from tessera.operators import evaluate as E
 from tessera.operators import examples as X
-from tessera.operators import matching, relation, scoring, tokens, tree
+from tessera.operators import matching, relation, scan, scoring, tokens, tree
 from tessera.plans import bindings as B
 from tessera.plans import providers
 
@@ -575,7 +575,7 @@ def lr_schedule(spark, d):
     FROM benchmark, (SELECT unnest(range(3)) AS e)"""
 )
 def epoch_permutation(spark, d):
-    return tokens.epoch_permutation(B.table(spark, d, "benchmark"), 3, SEED, "item_id").select("item_id", "epoch", "place")
+    return tokens.epoch_permutation(B.table(spark, d, "benchmark"), 3, SEED, "item_id").select("item_id", "epoch", F.col("place").cast("int").alias("place"))
 
 
 @query(f"SELECT doc_id FROM documents ORDER BY {_digest('validation', 'doc_id')}, doc_id LIMIT 100")
@@ -930,7 +930,8 @@ def lines_in_file_order(spark, d):
     path = scratch_path(spark, "lines")
     write_lines(rows, path)
     back = read_lines(spark, path, "event_id BIGINT, event_type STRING, value DOUBLE")
-    wrong = back.withColumn("before", F.lag("event_id").over(Window.orderBy("ord"))).filter("before > event_id").count()
+    places = scan.numbered(scan.numbered(back, ["ord"], name="read_as"), ["event_id"], name="written_as")
+    wrong = places.filter("read_as <> written_as").count()
     if wrong:
         raise ValueError(f"{wrong} rows out of order")
     return back.drop("ord")

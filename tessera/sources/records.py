@@ -220,9 +220,8 @@ def write_declarations(rows: DataFrame, path: str, provenance: dict[str, Any]) -
     """The declarations by name as JSON Lines, and the manifest beside them; returns the manifest."""
     named = rows.select("full_name", "statement", F.col("full_name").alias("ord"))
     write_lines(named, path)
-    manifest = {**provenance, "artifact": path, "declarations": count_lines(rows.sparkSession, path)}
-    write_json(manifest_path(path), manifest)
-    return manifest
+    write_manifest(manifest_path(path), {**provenance, "artifact": path, "declarations": count_lines(rows.sparkSession, path)})
+    return check_manifest(manifest_path(path), {"artifact": path})
 
 
 def search_requests(requests: DataFrame) -> DataFrame:
