@@ -1,119 +1,352 @@
-"""Similarity of embeddings, and matching candidates to a target distribution."""
+"""Similarity of embeddings, and matching candidates to a target distribution.
+
+Neither side goes through the driver. Candidates are indexed by pivots (a bounded sample of
+them) and by rings of their angle to the nearest one; angles obey the triangle inequality, so
+that a ring's bounds tell how similar to a target its members can be. A target first asks the
+nearest rings, until they hold as many candidates as it wants; the last of those found is a
+bound, and only rings that can beat it are asked then. Both sides meet by ring in a grid of
+parts of bounded bytes, by matrix products; results are exact.
+
+Vectors without direction (of zeros) have the similarity NaN with all others, which counts as
+the greatest, as in any sort by Spark.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.plans.scratch import checkpointed
+from tessera.operators.relation import capped
+from tessera.plans.scratch import written
+
+#: Bytes of the vectors of a part of the grid, on either side.
+BLOCK_BYTES = 1 << 20
+#: Candidates that serve as pivots, at most and in bytes, and rings around each.
+PIVOTS, PIVOT_BYTES, RINGS = 1024, 16 << 20, 64
+#: What rounding can add to an angle or a similarity.
+SLACK = 1e-7
 
-#: Bytes of target vectors sent to all executors at once; more targets go in further blocks.
-BLOCK_BYTES = 64 << 20
+_FOUND = "target_id BIGINT, candidate_id BIGINT, similarity DOUBLE"
 
 
-def _unit(rows: list) -> np.ndarray:
-    m = np.array(rows, dtype=np.float64)
+def _matrix(column) -> np.ndarray:
+    import pyarrow as pa
+
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
     with np.errstate(invalid="ignore", divide="ignore"):
-        return m / np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
+
+
+def best_of_block(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(target's row, candidate's row, similarity) of each target's ``k`` most similar candidates. A
+    product of matrices finds them but for rounding; what ranks them depends on the two vectors alone."""
+    rough = q @ x.T
+    rough[np.isnan(rough)] = np.inf
+    last = np.full(len(q), -np.inf)
+    for size in np.unique(k[k < len(ids)]).tolist():
+        rows = np.flatnonzero(k == size)
+        last[rows] = np.partition(rough[rows], len(ids) - size, axis=1)[:, len(ids) - size] if size else np.inf
+    i, j = np.nonzero(rough >= last[:, None] - SLACK)
+    similarity = np.concatenate([np.zeros(0), *((q[i[a : a + 16384]] * x[j[a : a + 16384]]).sum(1) for a in range(0, len(i), 16384))])
+    order = np.lexsort((ids[j], -np.where(np.isnan(similarity), np.inf, similarity), i))
+    i, j, similarity = i[order], j[order], similarity[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i, "left") < k[i]
+    return i[kept], j[kept], similarity[kept]
+
+
+@dataclass
+class Index:
+    """Candidates by block (pivot and ring): rows (block, salt, id, vector), and of each block its
+    pivot, the smallest and greatest angle to it and its size."""
+
+    rows: DataFrame
+    size: int
+    width: int
+    pivots: np.ndarray
+    blocks: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    counts: np.ndarray
+
+    @property
+    def part_rows(self) -> int:
+        return part_rows(self.width)
+
 
+def part_rows(width: int) -> int:
+    return max(1, BLOCK_BYTES // (8 * max(1, width)))
 
-def similarities(candidates: DataFrame, targets: DataFrame, k: int | None = None) -> DataFrame:
-    """(target_id, candidate_id, similarity) of (id, vector) tables: all pairs, or a task's k best
-    for each target. Targets are a stated query set: they go out in blocks of bounded size and
-    meet every candidate by matrix products; candidates are never shuffled."""
+
+def _assign(shared, rings: int):
+    def run(batches):
+        import pyarrow as pa
+
+        number = 0
+        for batch in batches:
+            unit = _unit(_matrix(batch.column("vector")))
+            blank = np.isnan(unit).any(axis=1)
+            angle = _angles(np.where(blank[:, None], 0.0, unit), shared.value)
+            pivot = angle.argmin(1)
+            angle = angle[np.arange(len(unit)), pivot]
+            block = np.where(blank, -1, pivot * RINGS + np.minimum((angle / np.pi * rings).astype(np.int64), rings - 1))
+            salt = np.arange(number, number + len(unit))
+            number += len(unit)
+            yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(angle), pa.array(salt), batch.column("id"), _lists(unit)], names=["block", "angle", "salt", "id", "vector"])
+
+    return run
+
+
+def _lists(m: np.ndarray):
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1] or 1, dtype=np.int32) if m.size else np.zeros(len(m) + 1, np.int32)), pa.array(m.ravel()))
+
+
+def _vectors(df: DataFrame, *more: str) -> DataFrame:
+    return df.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), *more)
+
+
+def indexed(candidates: DataFrame) -> Index:
+    """The index of (id, vector); its rows are written down once."""
     spark = candidates.sparkSession
-    width = max(1, targets.agg(F.max(F.size("vector"))).first()[0] or 1)
-    most = max(1, BLOCK_BYTES // (8 * width))
-    blocks, held = [], []
-
-    def flush():
-        nonlocal held
-        if held:
-            blocks.append(spark.sparkContext.broadcast(([r[0] for r in held], _unit([r[1] for r in held]))))
-        held = []
-
-    for row in targets.select("id", "vector").toLocalIterator():
-        held.append((row[0], row[1]))
-        if len(held) >= most:
-            flush()
-    flush()
-
-    def part(block):
-        def run(batches):
-            import pyarrow as pa
-
-            names, matrix = block.value
-            best_s, best_i = np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)
-            for batch in batches:
-                ids = np.array(batch.column("id").to_pylist(), np.int64)
-                scores = matrix @ _unit(batch.column("vector").to_pylist()).T
-                if k is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), len(ids))), pa.array(np.tile(ids, len(names))), pa.array(scores.ravel())], names=["target_id", "candidate_id", "similarity"])
-                    continue
-                best_s = np.concatenate([best_s, scores], axis=1)
-                best_i = np.concatenate([best_i, np.broadcast_to(ids, scores.shape)], axis=1)
-                order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-            if k is not None and best_s.shape[1]:
-                n = best_s.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), n)), pa.array(best_i.ravel()), pa.array(best_s.ravel())], names=["target_id", "candidate_id", "similarity"])
-
-        return run
-
-    schema = "target_id BIGINT, candidate_id BIGINT, similarity DOUBLE"
-    out = None
-    for block in blocks:
-        got = candidates.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(part(block), schema)
-        out = got if out is None else out.union(got)
-    return spark.createDataFrame([], schema) if out is None else out
+    rows = _vectors(candidates)
+    counted = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")).first()
+    n, width = counted["n"], counted["width"] or 0
+    # a pivot for a quarter of a part, and rings that cut what it holds on; small tables are one block
+    most = max(1, min(PIVOTS, PIVOT_BYTES // (8 * max(1, width)), 4 * n // part_rows(width)))
+    rings = max(1, min(RINGS, 16 * n // (most * part_rows(width))))
+    # so many rows at most, those of the smallest hashes: each task keeps its own first
+    sample = rows.filter(F.exists("vector", lambda v: v != 0)).orderBy(F.xxhash64("id"), "id").limit(most).collect()
+    pivots = _unit(np.array([r["vector"] for r in sample], dtype=np.float64)) if sample else np.zeros((1, width))
+    placed = written(rows.mapInArrow(_assign(spark.sparkContext.broadcast(pivots), rings), "block INT, angle DOUBLE, salt BIGINT, id BIGINT, vector ARRAY<DOUBLE>"))
+    # a row for each block, PIVOTS * RINGS at most
+    found = sorted(placed.groupBy("block").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count(F.lit(1)).alias("n")).collect())
+    column = lambda c, kind: np.array([r[c] for r in found], dtype=kind)
+    return Index(placed, n, width, pivots, column("block", np.int64), column("low", float), column("high", float), column("n", np.int64))
 
 
-def top_similar(candidates: DataFrame, targets: DataFrame, k: int) -> DataFrame:
-    """Each target's k most similar candidates; ties go to the smaller id."""
+def _asks(shared, second: bool):
+    """The blocks that each target (id, vector, k) asks: first the nearest that hold k candidates, then
+    all others with a candidate that can be as similar as the k-th of those (``bound``)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        pivots, blocks, low, high, counts = shared.value
+        pivot = np.maximum(blocks, 0) // RINGS
+        for batch in batches:
+            unit, k = _unit(_matrix(batch.column("vector"))), batch.column("k").to_numpy()
+            bound = batch.column("bound").fill_null(-np.inf).to_numpy() if second else None
+            blank = np.isnan(unit).any(axis=1)
+            theta = _angles(np.where(blank[:, None], 0.0, unit), pivots)[:, pivot]
+            least = np.maximum(0.0, np.maximum(theta - high, low - theta))
+            least[:, blocks < 0] = 0.0  # of NaN, the greatest similarity
+            least[blank] = 0.0
+            for r in range(batch.num_rows):
+                order = np.lexsort((blocks, theta[r], least[r]))
+                near = int(np.searchsorted(np.cumsum(counts[order]), k[r], "left")) + 1
+                asked = order[:near]
+                if second:
+                    rest = order[near:]
+                    asked = rest[blank[r] | (np.cos(np.maximum(least[r, rest] - SLACK, 0.0)) >= bound[r] - SLACK)]
+                take = pa.array(np.full(len(asked), r))
+                names = ["block", "target_id", "k", "vector"]
+                yield pa.RecordBatch.from_arrays([pa.array(blocks[asked].astype(np.int32)), batch.column("id").take(take), batch.column("k").take(take), _lists(np.repeat(unit[r : r + 1], len(asked), axis=0))], names=names)
+
+    return run
+
+
+def _meet(width: int, everything: bool):
+    def run(entries, targets):
+        import pyarrow as pa
+
+        ids, names = entries.column("id").to_numpy(), targets.column("target_id").to_numpy()
+        if not len(ids) or not len(names):
+            i, j, similarity = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        else:
+            k = np.full(len(names), len(ids)) if everything else targets.column("k").to_numpy()
+            i, j, similarity = best_of_block(ids, _matrix(entries.column("vector")), _matrix(targets.column("vector")), k)
+        return pa.table({"target_id": names[i], "candidate_id": ids[j], "similarity": similarity})
+
+    return run
+
+
+def _met(index: Index, asks: DataFrame, sizes: dict[int, int], everything: bool = False) -> DataFrame:
+    """What the targets of each block find in it: the block's candidates and targets are dealt over a grid
+    of parts, each of which one task holds. ``sizes``: the candidates of each block."""
+    spark = asks.sparkSession
+    asked = {r["block"]: r["count"] for r in asks.groupBy("block").count().collect()}
+    rows = [(b, -(-sizes[b] // index.part_rows), -(-n // index.part_rows)) for b, n in asked.items()]
+    if not rows:
+        return spark.createDataFrame([], _FOUND)
+    grid = F.broadcast(spark.createDataFrame(rows, "block INT, parts INT, target_parts INT"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    entry_side = index.rows.withColumn("block", F.lit(0)) if everything else index.rows
+    entry_side = entry_side.join(grid, "block").select("block", F.pmod("salt", "parts").cast("int").alias("part"), upto("target_parts").alias("target_part"), "id", "vector")
+    target_side = asks.join(grid, "block").select("block", upto("parts").alias("part"), F.pmod(F.xxhash64("target_id"), F.col("target_parts")).cast("int").alias("target_part"), "target_id", "k", "vector")
+    keys = ("block", "part", "target_part")
+    return entry_side.groupBy(*keys).cogroup(target_side.groupBy(*keys)).applyInArrow(_meet(index.width, everything), _FOUND)
+
+
+def similarities(candidates: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target_id, candidate_id, similarity) of all pairs of (id, vector) tables."""
+    index = indexed(candidates)
+    if not index.size:
+        return candidates.sparkSession.createDataFrame([], _FOUND)
+    asks = _vectors(targets).mapInArrow(_every, "block INT, target_id BIGINT, k BIGINT, vector ARRAY<DOUBLE>")
+    return _met(index, asks, {0: index.size}, everything=True)
+
+
+def _every(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        zero = np.zeros(batch.num_rows, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32)), batch.column("id"), pa.array(zero), _lists(_unit(_matrix(batch.column("vector"))))], names=["block", "target_id", "k", "vector"])
+
+
+@dataclass
+class Similar:
+    """(target_id, candidate_id, similarity, rank), and which targets asked which blocks."""
+
+    found: DataFrame
+    asks: list[DataFrame]
+    sizes: dict[int, int]
+    candidates: int
+
+    def pruned_share(self) -> float:
+        """The part of all pairs that the blocks' bounds left out."""
+        if not self.asks:
+            return 0.0
+        counts = [(r["block"], r["count"]) for asks in self.asks for r in asks.groupBy("block").count().collect()]
+        pairs = self.candidates * self.asks[0].select("target_id").distinct().count()
+        return 1.0 - sum(n * self.sizes[b] for b, n in counts) / pairs if pairs else 0.0
+
+
+def _ranked(found: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("similarity"), "candidate_id"))
-    return similarities(candidates, targets, k).withColumn("rank", place).filter(F.col("rank") <= k)
+    return found.withColumn("rank", place).filter(F.col("rank") <= F.col("k")).drop("k")
 
 
-def quota(step: float, capacity: float) -> int:
-    """How often a candidate can be taken before its weight, added up, exceeds the capacity."""
+def top_of_index(index: Index, targets: DataFrame) -> Similar:
+    """For targets (id, vector, k): the ``k`` most similar candidates each; ties go to the smaller id."""
+    spark: SparkSession = targets.sparkSession
+    wanted = _vectors(targets, F.least(F.col("k"), F.lit(index.size)).cast("long").alias("k")).filter("k > 0")
+    if not index.size:
+        return Similar(spark.createDataFrame([], f"{_FOUND}, rank INT"), [], {}, 0)
+    shared = spark.sparkContext.broadcast((index.pivots, index.blocks, index.low, index.high, index.counts))
+    sizes = dict(zip(index.blocks.tolist(), index.counts.tolist(), strict=True))
+    schema = "block INT, target_id BIGINT, k BIGINT, vector ARRAY<DOUBLE>"
+    size = wanted.select(F.col("id").alias("target_id"), "k")
+    first_asks = written(wanted.mapInArrow(_asks(shared, False), schema))
+    first = written(_ranked(_met(index, first_asks, sizes).join(size, "target_id")))
+    bounds = first.join(size, "target_id").filter("rank = k").select(F.col("target_id").alias("id"), F.col("similarity").alias("bound"))
+    asked = [first_asks]
+    found = first
+    if len(index.blocks) > 1:
+        more_asks = written(wanted.join(bounds, "id", "left").mapInArrow(_asks(shared, True), schema))
+        asked.append(more_asks)
+        found = _ranked(first.drop("rank").unionByName(_met(index, more_asks, sizes)).join(size, "target_id"))
+    return Similar(found, asked, sizes, index.size)
+
+
+def top_similar(candidates: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """Each target's k most similar candidates (target_id, candidate_id, similarity, rank)."""
+    return top_of_index(indexed(candidates), targets.withColumn("k", F.lit(k))).found
+
+
+def quota(step: float, capacity: float, most: int) -> int:
+    """How often a candidate can be taken before its weight, added up, exceeds the capacity; ``most`` is
+    how often it can be taken at all."""
+    if step * most * (1 + 1e-9) < capacity:
+        return most
     weight, times = 0.0, 0
-    while weight <= capacity:
+    while weight <= capacity and times < most:
         weight += step
         times += 1
     return times
 
 
-def match_to_targets(candidates: DataFrame, targets: DataFrame, capacity: float = 3.0) -> DataFrame:
-    """(candidate_id, weight): targets (id, vector, weight) in ascending id take their int(weight)
-    most similar candidates that are not exhausted; each take adds candidates / sum of weights.
+#: A target's first list has so many candidates more than it wants.
+SPARE = 16
+
+
+@dataclass
+class Matching:
+    """(candidate_id, weight); of each target (target_id, want, asked, listed) how many candidates it
+    wants, has asked and has had listed; the rounds that it took."""
 
-    The serial loop equals the stable matching in which candidates prefer earlier targets, so
-    targets propose in parallel rounds: a candidate keeps its first ``quota`` targets, the
-    others ask one candidate further for each refusal.
+    weights: DataFrame
+    lists: DataFrame
+    rounds: int
+
+
+def matching(candidates: DataFrame, targets: DataFrame, capacity: float = 3.0) -> Matching:
+    """Targets (id, vector, weight) in ascending id take their int(weight) most similar candidates that
+    are not exhausted; each take adds candidates / sum of weights.
+
+    The serial loop equals the stable matching in which candidates prefer earlier targets, so targets
+    propose in parallel rounds: a candidate keeps its first ``quota`` targets, the others ask as many
+    further ones as refused them. They pass over candidates that are full of earlier targets, which
+    would refuse them as well. A target's list holds a few candidates more than it wants, and is made
+    again, twice as long as asked, only for targets that need more than it holds. Once all candidates
+    are full, targets after the last one held are done.
     """
-    n = candidates.count()
-    total = targets.agg(F.sum("weight")).first()[0]
     spark = candidates.sparkSession
+    index = indexed(candidates)
+    sums = targets.agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")).first()
+    n, total = index.size, sums["weight"]
     if not n or not total:
-        return spark.createDataFrame([], "candidate_id BIGINT, weight DOUBLE")
+        return Matching(spark.createDataFrame([], "candidate_id BIGINT, weight DOUBLE"), spark.createDataFrame([], "target_id BIGINT, want BIGINT, asked BIGINT, listed BIGINT"), 0)
     step = n / float(total)
-    most = quota(step, capacity)
-    want = targets.select(F.col("id").alias("target_id"), F.least(F.floor("weight"), F.lit(n)).cast("int").alias("want")).filter("want > 0")
-    place = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("similarity"), "candidate_id"))
-    ranked = similarities(candidates, targets).withColumn("rank", place).select("target_id", "candidate_id", "rank")
-    ranked = checkpointed(ranked)
-    asked = want
-    refused_before = -1
+    most = quota(step, capacity, sums["n"])
+    wants = targets.select(F.col("id").cast("long").alias("target_id"), F.least(F.floor("weight"), F.lit(n)).cast("long").alias("want"), "vector").filter("want > 0")
+    state = written(wants.select("target_id", "want", F.col("want").alias("asked"), F.lit(0).cast("long").alias("listed")))
+    lists = spark.createDataFrame([], f"{_FOUND}, rank INT")
+    rounds = 0
     while True:
-        proposals = ranked.join(asked, "target_id").filter("rank <= want")
-        turn = F.row_number().over(Window.partitionBy("candidate_id").orderBy("target_id"))
-        held = checkpointed(proposals.withColumn("turn", turn))
-        refusals = held.filter(F.col("turn") > most).groupBy("target_id").agg(F.count(F.lit(1)).cast("int").alias("refused"))
-        refused = refusals.agg(F.sum("refused")).first()[0] or 0
-        if refused == refused_before or refused == 0:
+        rounds += 1
+        short = state.filter("asked > listed").select("target_id", F.least(F.when(F.col("listed") == 0, F.col("asked") + SPARE).otherwise(F.col("asked") * 2), F.lit(n)).alias("k"))
+        if not short.isEmpty():
+            longer = top_of_index(index, wants.join(short, "target_id").select(F.col("target_id").alias("id"), "vector", "k")).found
+            lists = written(lists.join(short, "target_id", "left_anti").unionByName(longer))
+            state = state.join(short, "target_id", "left").select("target_id", "want", "asked", F.coalesce("k", "listed").alias("listed"))
+        proposals = lists.join(state, "target_id").filter("rank <= asked").select("target_id", "candidate_id")
+        held = written(capped(proposals, ["candidate_id"], most, ["target_id"]))
+        full = held.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"), F.max("target_id").alias("last")).filter(F.col("n") == most).select("candidate_id", "last")
+        ends = full.agg(F.count(F.lit(1)).alias("n"), F.max("last").alias("last")).first()
+        got = held.groupBy("target_id").agg(F.count(F.lit(1)).alias("got"))
+        lacking = state.join(got, "target_id", "left").withColumn("missing", F.col("want") - F.coalesce("got", F.lit(0))).drop("got")
+        ahead = lists.join(lacking.filter("missing > 0").select("target_id", "asked", "missing"), "target_id").filter("rank > asked")
+        ahead = ahead.join(full, "candidate_id", "left").filter("last IS NULL OR last > target_id")
+        place = F.row_number().over(Window.partitionBy("target_id").orderBy("rank"))
+        steps = ahead.withColumn("place", place).filter("place <= missing").groupBy("target_id").agg(F.max("rank").alias("upto"), F.count(F.lit(1)).alias("found"))
+        found = F.coalesce("found", F.lit(0))
+        further = F.when(F.col("missing") == 0, F.col("asked")).when(found == F.col("missing"), F.col("upto")).otherwise(F.least(F.greatest("asked", "listed") + F.col("missing") - found, F.lit(n)))
+        listed = F.col("listed")
+        if ends["n"] == n:
+            done = (F.col("missing") > 0) & (F.col("target_id") > ends["last"])
+            further, listed = F.when(done, n).otherwise(further), F.when(done, n).otherwise(listed)
+        after = written(lacking.join(steps, "target_id", "left").select("target_id", "want", further.cast("long").alias("asked"), listed.cast("long").alias("listed"), F.col("asked").alias("before")))
+        state = after.drop("before")
+        if after.filter("asked > before").isEmpty():
             break
-        refused_before = refused
-        asked = want.join(refusals, "target_id", "left").select("target_id", (F.col("want") + F.coalesce("refused", F.lit(0))).alias("want"))
-    taken = held.filter(F.col("turn") <= most).groupBy("candidate_id").agg(F.count(F.lit(1)).alias("times"))
-    return taken.select("candidate_id", (F.col("times") * step).alias("weight"))
+    weights = held.groupBy("candidate_id").agg((F.count(F.lit(1)) * step).alias("weight"))
+    return Matching(weights, state, rounds)
+
+
+def match_to_targets(candidates: DataFrame, targets: DataFrame, capacity: float = 3.0) -> DataFrame:
+    """(candidate_id, weight) of ``matching``."""
+    return matching(candidates, targets, capacity).weights

@@ -705,12 +705,36 @@ def topk_similar(spark, d):
     return matching.top_similar(candidates, targets, 5).select("target_id", "candidate_id")
 
 
-@query()
+def _matched(capacity: float) -> str:
+    """The serial loop: a step for each target, with the candidates' weights so far."""
+    return f"""{B.VECTORS},
+    c AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY id) AS k FROM candidates),
+    t AS (SELECT *, row_number() OVER (ORDER BY id) AS k FROM targets),
+    sizes AS MATERIALIZED (SELECT (SELECT count(*) FROM c) AS n, (SELECT count(*) FROM c) / (SELECT sum(weight) FROM t) AS step),
+    lists AS MATERIALIZED (SELECT t.k, t.id AS target_id, t.weight, list(c.k ORDER BY list_cosine_similarity(t.vector, c.vector) DESC, c.id) AS best FROM t, c GROUP BY ALL),
+    served AS (
+      SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS target_id, list_transform(range(n), lambda x: CAST(0 AS DOUBLE)) AS load, CAST([] AS BIGINT[]) AS chosen, CAST([] AS BIGINT[]) AS best, CAST(0 AS BIGINT) AS weight FROM sizes
+      UNION ALL
+      SELECT k, target_id, list_transform(load, lambda x, i: CASE WHEN list_contains(chosen, i) THEN x + step ELSE x END), chosen, best, weight
+      FROM (SELECT l.k, l.target_id, s.load, list_filter(l.best, lambda b: s.load[b] <= {capacity})[1:l.weight] AS chosen, l.best, CAST(l.weight AS BIGINT) AS weight FROM served s JOIN lists l ON l.k = s.k + 1), sizes)"""
+
+
+@query(f"""WITH RECURSIVE {_matched(3)},
+    taken AS (SELECT unnest(range(1, n + 1)) AS k, unnest(load) AS weight FROM served, sizes WHERE served.k = (SELECT max(k) FROM served))
+    SELECT c.id AS candidate_id, round(weight, 6) AS weight FROM taken JOIN c USING (k) WHERE weight > 0""")
 def wasserstein_match(spark, d):
     candidates, targets = B.vectors(spark, d)
     return matching.match_to_targets(candidates, targets).withColumn("weight", r6("weight"))
 
 
+@query(f"""WITH RECURSIVE {_matched(1)}
+    SELECT target_id, CASE WHEN len(chosen) < weight THEN n ELSE list_position(best, chosen[-1]) END AS asked FROM served, sizes WHERE target_id IS NOT NULL""")
+def wasserstein_lists(spark, d):
+    """How far down its list each target had to ask, where candidates are soon exhausted."""
+    candidates, targets = B.vectors(spark, d)
+    return matching.matching(candidates, targets, 1.0).lists.select("target_id", "asked")
+
+
 @query(
     f"""WITH {B.VECTORS}, ranked AS (
       SELECT c.id AS candidate_id, t.weight, row_number() OVER (PARTITION BY t.id ORDER BY list_cosine_similarity(t.vector, c.vector) DESC, c.id) AS place FROM targets t, candidates c)
