@@ -31,7 +31,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import most_frequent, ship, stored, whole_text
@@ -464,18 +464,36 @@ class _Join:
         told = entries.filter("key IS NULL").select(F.col("component").alias("a"), "sid", F.col("far").alias("remote")).distinct()
         found = told.filter("NOT remote").select("a", F.col("sid").alias("b"))
         apart = lists.join(told.hint("merge"), ["a", "sid"], "left").filter("remote IS NULL OR remote").withColumn("remote", F.col("remote").isNotNull())
-        x = entries.filter("far AND key IS NOT NULL").select("key", *(F.col(c).alias(f"x_{c}") for c in _DIFFERENCE if c != "key"))
         col = lambda side, name: F.col(f"{side}{name}").cast("long")
         sizes, differ = col("x_", "size") + col("", "size"), col("x_", "differ") + col("", "differ")
         # twice the overlap that linked sets' differences have, times num + den
         least = differ * (self.den + self.num) - sizes * (self.den - self.num)
         reach = lambda n: n * (2 * (self.den + self.num)) >= least
         lost = lambda side: col(side, "differ") - col(side, "added")
-        meets = (F.col("x_component") != F.col("component")) & (~F.col("far") | (F.col("x_sid") < F.col("sid")))
         fits = F.least(col("x_", "size"), col("", "size")) * self.den >= F.greatest(col("x_", "size"), col("", "size")) * self.num
         within = reach(F.least(col("x_", "rest"), col("", "rest"))) & reach(F.least(col("x_", "added"), col("", "added")) + F.least(lost("x_"), lost("")))
-        met = x.join(entries.filter("key IS NOT NULL").hint("merge"), "key").filter(meets & fits & within)
-        return found.union(self.compared(met.select(F.col("x_sid").alias("a"), F.col("sid").alias("b")))), apart
+        met = [x.join(y.hint("merge"), "key").filter(meets & (F.col("x_component") != F.col("component")) & fits & within).select(F.col("x_sid").alias("a"), F.col("sid").alias("b")) for x, y, meets in self.sides(entries)]
+        return found.union(self.compared(met[0].union(met[1]))), apart
+
+    def sides(self, entries: DataFrame) -> list[tuple[DataFrame, DataFrame, Column]]:
+        """The entries of differences that have to meet by key, x (columns x_) with y, and which of them.
+
+        With e = differ - part * size (part as in ``least_common``), linked sets share (e of x + e of y) / 2
+        tokens of their differences or more. A set far from the pivot has an e above part times the
+        pivot's size, a near one has not. At their first common token both have at least the shared
+        tokens left (``rest``): so of two far sets the one of the smaller e has that e left, and the
+        other the half of its own e and of the least e of a far set. What all of a list lack alike is
+        ranked behind what each has of its own, and is cut off by this where their own parts are large
+        enough to keep them apart."""
+        num, den = self.num, self.den
+        e = F.col("differ").cast("long") * (den + num) - F.col("size").cast("long") * (den - num)
+        pivot = (F.col("size") + F.col("differ") - 2 * F.col("added")).cast("long") * (den - num)
+        left = F.col("rest").cast("long") * (den + num)
+        keyed = entries.filter("key IS NOT NULL").withColumn("e", e)
+        named = lambda df: df.select("key", *(F.col(c).alias(f"x_{c}") for c in df.columns if c != "key"))
+        low, high = keyed.filter(F.col("far") & (left >= F.col("e"))), keyed.filter(F.col("far") & (2 * left >= F.col("e") + pivot))
+        ordered = F.struct("x_e", "x_sid") < F.struct("e", "sid")
+        return [(named(low), high, ordered), (named(keyed.filter("NOT far")), keyed.filter("far"), F.lit(True))]
 
     def run(self) -> DataFrame:
         """(sid, component) for the classes that have links."""

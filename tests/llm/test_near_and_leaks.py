@@ -285,3 +285,25 @@ def test_edited_leaks_equal_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id BIGINT, text STRING")
     got = {(r.doc_id, r.item_id): r.similarity for r in D.contamination(table, bench).collect()}
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("share", [0.8, 0.84])
+def test_boilerplate_meets_in_proportion(spark, monkeypatch, share):
+    """Texts that share a passage and are not linked: what meets by key grows as the texts do."""
+    from tessera.llm import ngram_join
+
+    met = []
+    real = ngram_join._Join.sides
+
+    def counted(self, entries):
+        found = real(self, entries)
+        met.append(sum(x.join(y, "key").count() for x, y, _ in found))
+        return found
+
+    monkeypatch.setattr(ngram_join._Join, "sides", counted)
+    common, own = int(200 * share), 200 - int(200 * share)
+    for n in (200, 400):
+        rows = [(k, " ".join([f"p{j}" for j in range(common)] + [f"o{k}_{j}" for j in range(own)])) for k in range(n)]
+        got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
+        assert got.select("component_id").distinct().count() == n
+    assert met[0] > 0 and met[1] < 2.2 * met[0]
