@@ -136,7 +136,11 @@ def match_conjecturer_examples(examples: DataFrame, vectors: DataFrame, targets:
 
 def prepare_training_examples(sft: DataFrame, replay: DataFrame, conjectures: DataFrame) -> DataFrame:
     """Supervised, replayed and conjecture examples as one set, of equal ones the first; none raises."""
-    every = dedup_examples([sft, replay, conjectures])
-    if every.isEmpty():
+    return require_some(dedup_examples([sft, replay, conjectures]))
+
+
+def require_some(examples: DataFrame) -> DataFrame:
+    """``examples`` if there are any; none raises."""
+    if examples.isEmpty():
         raise ValueError("no training examples")
-    return every
+    return examples

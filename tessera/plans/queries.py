@@ -75,6 +75,18 @@ def max_history(spark, d):
     return scoring.best_of_history(rates).select("statement_id", "round", r6("score").alias("score"))
 
 
+@query(SQL["max_history"])
+def maintained_history(spark, d):
+    """The same from states that each round merges its own scores into."""
+    from tessera.plans.loop import best_state
+    from tessera.plans.scratch import scratch_path
+
+    root, every = scratch_path(spark, "history"), B.attempts(spark, d)
+    for r in range(3):
+        scoring.solve_rates(every.filter(F.col("round") == r)).write.parquet(f"{root}/round={r:03d}/assessments")
+    return best_state(spark, root, 3).select("statement_id", F.col("round").cast("long").alias("round"), r6("score").alias("score"))
+
+
 @query(
     f"""WITH {B.ATTEMPTS}, {B.RATES}, {B.STATEMENTS}
     SELECT id FROM statements LEFT JOIN rates ON id = statement_id

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.text import canonical_statement, dataset_labels, sorry_form, stable_id
 from tessera.operators.relation import last_wins
+from tessera.operators.scan import numbered
 
 ARTIFACT_SCHEMA = 2
 STATEMENT_RECORD = "formal_statement STRING, header STRING, split STRING, tags ARRAY<STRING>"
@@ -23,24 +24,33 @@ SFT_RECORD = "prompt STRING, target STRING, formal_statement STRING, proof STRIN
 DECLARATION = "full_name STRING, statement STRING"
 
 
-#: A place within a file takes so many bits of ``ord``, its file's number those above.
-_PLACE_BITS = 47
+#: Bits of a row's number within its task in ``monotonically_increasing_id``; the task's stand above.
+_ROW_BITS = 33
 
 
 def in_file_order(rows: DataFrame) -> DataFrame:
     """Rows just read from files with ``ord``: by file name, then place in the file. Spark packs
-    files into tasks by size, so that a row's number alone follows no order of files."""
+    files into tasks by size, so that a row's number alone follows no order of files: rows are named
+    by the number of their (file, task) pair, then by their number in the task. Where files times tasks
+    are more than the bits above a row's number can name, the pairs that there are get numbers, by a
+    pass over the files."""
     spark, files = rows.sparkSession, sorted(rows.inputFiles())
     place = F.monotonically_increasing_id()
     if len(files) < 2:
         return rows.withColumn("ord", place)
-    if len(files) >= 1 << (63 - _PLACE_BITS):
-        raise ValueError(f"{len(files)} files have no order")
     bare = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
     numbers = spark.createDataFrame(list(enumerate(files)), "_number BIGINT, _file STRING").select("_number", bare(F.col("_file")).alias("_file"))
     placed = rows.select("*", place.alias("_place"), bare(F.col("_metadata.file_path")).alias("_file")).join(F.broadcast(numbers), "_file", "left")
     number = F.coalesce("_number", F.raise_error(F.concat(F.lit("a file without a number: "), "_file")).cast("bigint"))
-    return placed.withColumn("ord", F.shiftleft(number, _PLACE_BITS) + F.col("_place")).drop("_number", "_file", "_place")
+    placed = placed.withColumn("_number", number).withColumn("_task", F.shiftright("_place", _ROW_BITS))
+    tasks = rows.rdd.getNumPartitions()
+    if len(files) * tasks < 1 << (63 - _ROW_BITS):
+        pair = F.col("_number") * tasks + F.when(F.col("_task") < tasks, F.col("_task")).otherwise(F.raise_error(F.lit("a task without a number")).cast("bigint"))
+    else:
+        there = numbered(placed.select("_number", "_task").distinct(), ["_number", "_task"], name="_pair")
+        placed, pair = placed.join(F.broadcast(there), ["_number", "_task"]), F.col("_pair")
+    row = F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return placed.withColumn("ord", F.shiftleft(pair, _ROW_BITS) + row).select(*rows.columns, "ord")
 
 
 def read_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -202,12 +212,16 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def completed(spark: SparkSession, path: str) -> bool:
+    """Whether the table at ``path`` was written to its end."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
 def checkpointed(spark: SparkSession, root: str, name: str, round_index: int, build: Callable[[], DataFrame]) -> DataFrame:
     """Reads a round's phase if it was completed, else builds and writes it."""
     path = f"{root}/round={round_index:03d}/{name}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    done = hadoop(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+    if not completed(spark, path):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
