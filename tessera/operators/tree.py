@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans.scratch import checkpointed
+from tessera.plans.scratch import checkpointed, scratch_path
 
 #: Deeper trees raise.
 MAX_DEPTH = 10_000
@@ -74,6 +74,45 @@ def project(spark: SparkSession, nodes: DataFrame, edges: DataFrame, depth: int
         spark.catalog.dropTempView(f"tessera_edges_{own}")
 
 
+def path_counts(nodes: DataFrame, edges: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """(tree_id, id, paths): by how many paths the projection reaches each node, which is how many copies
+    of it ``project`` makes. Counts go down the collapsed edges level by level, one row for a node and
+    level however many paths meet there, so that trees that share nodes cost what their edges do. Nodes
+    below ``depth`` levels (a cycle) raise."""
+    spark = nodes.sparkSession
+    collapsed = checkpointed(collapsed_edges(nodes, edges).select("tree_id", F.col("parent").alias("id"), "child"))
+    kinds = nodes.select("tree_id", "id", "node_type")
+    bad = F.raise_error(F.lit("a projected node that is no OR node")).cast("decimal(38,0)")
+    front = nodes.filter("is_root").select("tree_id", "id", F.lit(1).cast("decimal(38,0)").alias("paths"))
+    path, level = scratch_path(spark, "paths"), 0
+    while True:
+        sound = F.when(F.col("node_type") == "OR", F.col("paths")).otherwise(bad)
+        front.join(kinds, ["tree_id", "id"]).select("tree_id", "id", sound.alias("paths")).write.parquet(f"{path}/level={level}")
+        here = spark.read.parquet(f"{path}/level={level}")
+        if here.isEmpty():
+            break
+        if level > depth:
+            raise ValueError(f"a tree of more than {depth} levels")
+        summed = F.sum("paths").cast("decimal(38,0)")
+        front = here.join(collapsed, ["tree_id", "id"]).groupBy("tree_id", F.col("child").alias("id")).agg(summed.alias("paths"))
+        level += 1
+    return spark.read.parquet(path).groupBy("tree_id", "id").agg(F.sum("paths").cast("decimal(38,0)").alias("paths"))
+
+
+def frontier_rate_by_counts(nodes: DataFrame, edges: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """``frontier_rate`` of the projection without making it: each node counts as often as paths reach it."""
+    paths = checkpointed(path_counts(nodes, edges, depth))
+    down = collapsed_edges(nodes, edges).select("tree_id", "parent", "child")
+    parents = down.select("tree_id", F.col("parent").alias("id")).distinct()
+    leaves = paths.join(parents, ["tree_id", "id"], "left_anti").select("tree_id", "id")
+    above = down.join(leaves.withColumnRenamed("id", "child"), ["tree_id", "child"], "left_semi").select("tree_id", F.col("parent").alias("id"))
+    single = leaves.join(nodes.filter("is_root").select("tree_id", "id"), ["tree_id", "id"], "left_semi")
+    reached = paths.join(nodes.select("tree_id", "id", "proven"), ["tree_id", "id"])
+    frontier = reached.join(above.union(single).distinct(), ["tree_id", "id"], "left_semi")
+    solved, total = F.coalesce(F.sum(F.when(F.col("proven"), F.col("paths"))), F.lit(0)), F.sum("paths")
+    return frontier.groupBy("tree_id").agg(solved.cast("decimal(38,0)").alias("solved_frontier_nodes"), total.cast("decimal(38,0)").alias("total_frontier_nodes"), (solved.cast("double") / total.cast("double")).alias("solve_rate"))
+
+
 def frontier_rate(projected: DataFrame) -> DataFrame:
     """Per tree: solved and total frontier nodes and their ratio. The frontier holds the nodes with
     a leaf below them; a tree of one node is its own frontier."""

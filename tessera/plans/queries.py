@@ -774,6 +774,37 @@ def frontier_rate(spark, d):
     return tree.frontier_rate(tree.project(spark, *B.tree(spark, d), depth=64)).select("solved_frontier_nodes", "total_frontier_nodes", r6("solve_rate").alias("solve_rate"))
 
 
+@query(
+    """WITH RECURSIVE chains AS (SELECT s_suppkey AS tree_id, 10 + s_suppkey % 31 AS depth FROM supplier),
+    doubling AS (SELECT 0 AS k, CAST(1 AS BIGINT) AS paths UNION ALL SELECT k + 1, paths * 2 FROM doubling WHERE k < 40),
+    frontier AS (
+      SELECT tree_id, 3 * k AS id, paths FROM chains JOIN doubling ON k = depth
+      UNION ALL SELECT tree_id, 3 * k + 1, paths FROM chains JOIN doubling ON k < depth AND k % 2 = 1)
+    SELECT tree_id, CAST(coalesce(sum(paths) FILTER ((tree_id + id) % 4 = 0), 0) AS BIGINT) AS solved_frontier_nodes, CAST(sum(paths) AS BIGINT) AS total_frontier_nodes,
+      round(coalesce(sum(paths) FILTER ((tree_id + id) % 4 = 0), 0) / sum(paths), 6) AS solve_rate FROM frontier GROUP BY 1"""
+)
+def shared_frontier(spark, d):
+    """Chains of up to 40 diamonds: 2 ** 40 paths over some 120 nodes a tree."""
+    chains = B.table(spark, d, "supplier").select(F.col("s_suppkey").alias("tree_id"), (10 + F.col("s_suppkey") % 31).alias("depth"))
+    levels = chains.select("tree_id", "depth", F.explode(F.sequence(F.lit(0).cast("long"), "depth")).alias("k"))
+    top, left, right, leaf = F.col("k") * 3, F.col("k") * 3 + 1, F.col("k") * 3 + 2, F.col("k") + 1000
+    inner = F.col("k") < F.col("depth")
+    down = lambda *children: F.array(*(F.struct(p.alias("parent"), F.lit(j).alias("ord"), c.alias("child")) for p, j, c in children))
+    diamond = down((top, 0, left), (top, 1, right), (left, 0, top + 3), (right, 0, top + 3))
+    edges = F.when(inner & (F.col("k") % 2 == 1), F.concat(diamond, down((left, 1, leaf)))).when(inner, diamond).otherwise(down((top, 0, leaf)))
+    edges = levels.select("tree_id", F.explode(edges).alias("e")).select("tree_id", "e.*")
+    ids = levels.select("tree_id", F.explode(F.when(inner, F.array(top, left, right, leaf)).otherwise(F.array(top, leaf))).alias("id"))
+    nodes = ids.select("tree_id", "id", F.lit("OR").alias("node_type"), F.lit(0.0).alias("value"), ((F.col("tree_id") + F.col("id")) % 4 == 0).alias("proven"), (F.col("id") == 0).alias("is_root"))
+    counts = [F.col(c).cast("long").alias(c) for c in ("solved_frontier_nodes", "total_frontier_nodes")]
+    return tree.frontier_rate_by_counts(nodes, edges, depth=100).select("tree_id", *counts, r6("solve_rate").alias("solve_rate"))
+
+
+@query(SQL["frontier_rate"])
+def frontier_rate_by_counts(spark, d):
+    counts = [F.col(c).cast("long").alias(c) for c in ("solved_frontier_nodes", "total_frontier_nodes")]
+    return tree.frontier_rate_by_counts(*B.tree(spark, d), depth=64).select(*counts, r6("solve_rate").alias("solve_rate"))
+
+
 # --- evaluation ------------------------------------------------------------------------------
 
 
