@@ -52,6 +52,14 @@ FALSE_DISCOVERIES = 0.01
 _BINS = 400
 
 _SPAN = "array<struct<start:int,kind:int,end:int,token:string>>"
+#: Matches whose places are added up in one go; arrays grow by copies, so that a text's cost would else
+#: grow with the square of its matches.
+CHUNK = 256
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def spans(text: Column, pattern: str, kind: int) -> Column:
@@ -67,7 +75,16 @@ def spans(text: Column, pattern: str, kind: int) -> Column:
         return F.struct(end.alias("at"), F.concat(state["out"], F.when(x["token"] != "", span).otherwise(F.array().cast(_SPAN))).alias("out"))
 
     none = F.array().cast(_SPAN)
-    walked = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+    chunked = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / CHUNK).cast("int")), lambda c: F.slice(p, c * CHUNK + 1, F.lit(CHUNK)))
+
+    def offsets(chunks: Column) -> Column:
+        """Where each chunk starts, and the end."""
+        sizes = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["gap"] + F.coalesce(F.length(x["token"]), F.lit(0))))
+        at = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(sizes, at, lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["out"], a["at"]).alias("out")))["out"]
+
+    walk = lambda c, at: F.aggregate(c, F.struct(at.alias("at"), none.alias("out")), step)["out"]
+    walked = _let(parts, lambda p: _let(chunked(p), lambda chunks: F.flatten(F.zip_with(chunks, offsets(chunks), walk))))
     return F.when(text.rlike(pattern), walked).otherwise(none)
 
 
