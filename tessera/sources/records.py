@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tessera.functions.text import canonical_statement, dataset_labels, sorry_form, stable_id
 from tessera.operators.relation import last_wins
 from tessera.operators.scan import numbered
+from tessera.sources import publish
 
 ARTIFACT_SCHEMA = 2
 STATEMENT_RECORD = "formal_statement STRING, header STRING, split STRING, tags ARRAY<STRING>"
@@ -120,7 +121,7 @@ def statements(records: DataFrame, label: Sequence[str] = (), weight: float = 1.
 def load_statements(spark: SparkSession, config_path: str, root: str = ".") -> DataFrame:
     """All sources of a configuration in turn; relative paths start at ``root``. Nothing is deduplicated."""
     parts = []
-    for k, source in enumerate(json.loads(Path(config_path).read_text(encoding="utf-8"))):
+    for k, source in enumerate(read_json(config_path)):
         path = source["dataset_path"]
         path = path if os.path.isabs(path) or "://" in path else os.path.join(root, path)
         part = statements(read_records(spark, path, STATEMENT_RECORD), source.get("label", ()), source.get("weight", 1.0))
@@ -192,8 +193,27 @@ def load_config(path: str, defaults: dict[str, Any] | None = None) -> dict[str,
     return config
 
 
+def _remote(path: str) -> SparkSession | None:
+    """The session, for a path with a scheme; others are the driver's own files."""
+    if "://" not in path and not path.startswith("file:"):
+        return None
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise ValueError(f"{path} needs a session")
+    return spark
+
+
+def read_json(path: str) -> Any:
+    spark = _remote(path)
+    return json.loads(publish.read_text(spark, path) if spark else Path(path).read_text(encoding="utf-8"))
+
+
 def write_json(path: str, value: Any) -> None:
-    """Replaces the file as a whole."""
+    """Replaces the file as a whole, on the driver or, with a scheme, on any file system."""
+    spark = _remote(path)
+    if spark:
+        publish.write_text(spark, path, json.dumps(value, ensure_ascii=False, indent=2))
+        return
     new = f"{path}.tmp"
     with open(new, "w", encoding="utf-8") as f:
         json.dump(value, f, ensure_ascii=False, indent=2)
@@ -226,8 +246,33 @@ def checkpointed(spark: SparkSession, root: str, name: str, round_index: int, bu
     return spark.read.parquet(path)
 
 
-def write_manifest(path: str, provenance: dict[str, Any]) -> None:
-    write_json(path, {"artifact_schema": ARTIFACT_SCHEMA, **provenance})
+def write_manifest(path: str, provenance: dict[str, Any], tables: dict[str, DataFrame] | None = None) -> None:
+    """``tables``: inputs whose rows are hashed as multisets, so that ``check_manifest`` finds changes."""
+    content = {"content": {k: publish.content_hash(df) for k, df in tables.items()}} if tables else {}
+    write_json(path, {"artifact_schema": ARTIFACT_SCHEMA, **provenance, **content})
+
+
+def start_run(root: str, config_path: str, revisions: dict[str, Any], toolchain: str, declarations: str | None = None, tables: dict[str, DataFrame] | None = None) -> dict[str, Any]:
+    """A run's manifest (revisions of the code, toolchain, model, solver, the declarations' own manifest,
+    hashes of the input tables) and a copy of its configuration. A run that has one keeps it: another
+    schema, another revision or changed tables raise."""
+    path = f"{root}/manifest.json"
+    config = load_config(config_path)
+    provenance = {"revisions": revisions, "toolchain": toolchain, "base_model": config.get("model", {}).get("name"), "solver": config.get("solver", {}).get("kind")}
+    if declarations is not None:
+        provenance["declarations"] = check_manifest(manifest_path(declarations), {})
+    spark = _remote(root)
+    if publish.exists(spark, path) if spark else os.path.exists(path):
+        return check_manifest(path, provenance, tables)
+    if not spark:
+        os.makedirs(root, exist_ok=True)
+    write_manifest(path, provenance, tables)
+    text = Path(config_path).read_text(encoding="utf-8")
+    if spark:
+        publish.write_text(spark, f"{root}/config.toml", text)
+    else:
+        Path(root, "config.toml").write_text(text, encoding="utf-8")
+    return check_manifest(path, provenance, tables)
 
 
 def write_declarations(rows: DataFrame, path: str, provenance: dict[str, Any]) -> dict[str, Any]:
@@ -248,12 +293,13 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def check_manifest(path: str, expected: dict[str, Any]) -> dict[str, Any]:
-    """The manifest; another schema or another value of an expected key raises."""
-    manifest = json.loads(Path(path).read_text(encoding="utf-8"))
+def check_manifest(path: str, expected: dict[str, Any], tables: dict[str, DataFrame] | None = None) -> dict[str, Any]:
+    """The manifest; another schema, another value of an expected key or other rows of a table raise."""
+    manifest = read_json(path)
     if manifest.get("artifact_schema") != ARTIFACT_SCHEMA:
         raise ValueError("an artifact of another schema")
     stale = {k for k, v in expected.items() if manifest.get(k) != v}
+    stale |= {k for k, df in (tables or {}).items() if manifest.get("content", {}).get(k) != publish.content_hash(df)}
     if stale:
         raise ValueError(f"stale: {sorted(stale)}")
     return manifest
