@@ -13,6 +13,7 @@ from tessera.plans import bindings as B
 from tessera.plans.queries import query, r6
 from tessera.plans.scratch import scratch_path
 from tessera.sources import publish, records
+from tessera.streaming import keyed
 
 
 @query("SELECT event_id, event_type, value FROM events")
@@ -121,3 +122,28 @@ def new_conjectures(spark, d):
 
     known = B.table(spark, d, "part").filter("p_partkey % 3 = 0").select(stable_id(F.concat(F.lit("theorem q"), F.col("p_partkey").cast("string"), F.lit(":= by"))).alias("id"))
     return C.parsed_conjectures(outputs, inputs, known).select("id", "statement", "conjecture_input_id", "shared_lemma")
+
+
+def _event_stream(spark, d):
+    return spark.readStream.schema(B.events(spark, d).schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def stream_insert_if_absent(spark, d):
+    """A stream that is started twice: the second run finds nothing new."""
+    root = scratch_path(spark, "stream")
+    for _ in range(2):
+        stream = _event_stream(spark, d).select("user_id", "event_type", "event_id")
+        keyed.insert_if_absent(stream, f"{root}/rows", ["user_id", "event_type"], ["event_id"], f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/rows")
+
+
+@query(
+    """SELECT user_id, arg_min(event_id, rank) AS event_id, arg_min(event_type, rank) AS event_type
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value IS NULL, value DESC, event_id) AS rank FROM events) GROUP BY 1"""
+)
+def stream_best_rows(spark, d):
+    root = scratch_path(spark, "stream")
+    best = keyed.best_rows(_event_stream(spark, d).select("user_id", "event_id", "event_type", "value"), ["user_id"], "value", ["event_id"])
+    keyed.into_table(best, f"{root}/best", ["user_id"], f"{root}/checkpoint").awaitTermination()
+    return keyed.newest(spark, f"{root}/best", ["user_id"]).select("user_id", "event_id", "event_type")
