@@ -11,18 +11,22 @@ from tessera.operators.scan import first_rows, numbered, running_sums
 IGNORED = -100
 
 
-def length_stats(examples: DataFrame, most: int) -> DataFrame:
-    """Of (prompt_tokens, target_tokens): examples read, kept, too long, truncated, target tokens kept.
-    The end token counts with the target."""
+def length_metrics(most: int) -> dict[str, Column]:
+    """Aggregates of (prompt_tokens, target_tokens): examples read, kept, too long, truncated, target
+    tokens kept. The end token counts with the target."""
     target = F.size("target_tokens") + 1
     kept = target <= most
-    return examples.agg(
-        F.count(F.lit(1)).alias("read"),
-        F.count_if(kept).alias("kept"),
-        F.count_if(~kept).alias("too_long"),
-        F.count_if(kept & (F.size("prompt_tokens") + target > most)).alias("truncated"),
-        F.coalesce(F.sum(F.when(kept, target)), F.lit(0)).alias("target_tokens"),
-    )
+    return {
+        "read": F.count(F.lit(1)),
+        "kept": F.count_if(kept),
+        "too_long": F.count_if(~kept),
+        "truncated": F.count_if(kept & (F.size("prompt_tokens") + target > most)),
+        "target_tokens": F.coalesce(F.sum(F.when(kept, target)), F.lit(0)),
+    }
+
+
+def length_stats(examples: DataFrame, most: int) -> DataFrame:
+    return examples.agg(*(c.alias(k) for k, c in length_metrics(most).items()))
 
 
 def length_filter(examples: DataFrame, most: int) -> DataFrame:

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators import conjectures as C
-from tessera.operators import relation, scoring
+from tessera.operators import relation, scoring, tokens
 from tessera.plans import bindings as B
-from tessera.plans.queries import query, r6
+from tessera.plans.queries import SQL, query, r6
 from tessera.plans.scratch import scratch_path
-from tessera.sources import publish, records
+from tessera.sources import metrics, publish, records
 from tessera.streaming import keyed
 
 
@@ -147,3 +147,22 @@ def stream_best_rows(spark, d):
     best = keyed.best_rows(_event_stream(spark, d).select("user_id", "event_id", "event_type", "value"), ["user_id"], "value", ["event_id"])
     keyed.into_table(best, f"{root}/best", ["user_id"], f"{root}/checkpoint").awaitTermination()
     return keyed.newest(spark, f"{root}/best", ["user_id"]).select("user_id", "event_id", "event_type")
+
+
+@query(SQL["length_stats"])
+def observed_length_stats(spark, d):
+    """The same figures, observed while the examples are written."""
+    seen = metrics.write_observed(B.token_rows(spark, d), scratch_path(spark, "examples"), tokens.length_metrics(60))
+    return spark.createDataFrame([tuple(seen[c] for c in ("read", "kept", "too_long", "truncated", "target_tokens"))], "read BIGINT, kept BIGINT, too_long BIGINT, truncated BIGINT, target_tokens BIGINT")
+
+
+@query("SELECT event_id AS step, CAST(user_id AS DOUBLE) AS examples_seen, value AS loss FROM events")
+def training_log(spark, d):
+    """Each event as a training step, logged by name and read as a table."""
+    root = scratch_path(spark, "metrics")
+    log = metrics.MetricsLog(spark, root, "run", {"seed": 1})
+    log.log_steps(B.events(spark, d).select(F.col("event_id").alias("step"), F.col("user_id").alias("examples_seen"), F.col("value").alias("loss")))
+    log.log_epoch(-1, 1, {"loss": 0.5}, {"loss": 0.25}, 7)
+    log.finish(0)
+    table = metrics.metric_table(spark, root, "run", ["train/examples_seen", "train/loss"])
+    return table.select("step", F.col("`train/examples_seen`").alias("examples_seen"), F.col("`train/loss`").alias("loss"))
