@@ -94,6 +94,17 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(assign, spans(text, PATTERNS["access"], 1), spans(text, PATTERNS["hex"], 2)))
 
 
+def apart_from(found: Column, base: Column) -> Column:
+    """The spans of ``found`` that touch none of ``base`` (sorted by start). These are looked up by runs of
+    the square root of their number, of which a span meets few."""
+    n = F.greatest(F.ceil(F.sqrt(F.size(base).cast("double"))).cast("int"), F.lit(16))
+    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(base) - 1) / n).cast("int"), F.lit(0))), lambda k: F.slice(base, k * n + 1, n))
+    bounded = F.transform(runs, lambda r: F.struct(r[0]["start"].alias("start"), F.array_max(F.transform(r, lambda b: b["end"])).alias("end"), r.alias("spans")))
+    alone = lambda held: F.filter(found, lambda c: ~F.exists(held, lambda r: F.coalesce(meets(r, c), F.lit(False)) & F.exists(r["spans"], lambda b: meets(b, c))))
+    return F.when(F.size(base) == 0, found).otherwise(_let(bounded, alone))
+
+
 def letter_scores() -> tuple[list[float], float, float]:
     """A to Z: the log of a random letter's chance over a text's, by group; mean and deviation of it in text."""
     ratio = [math.log(len(group) / 26 / chance) for group, chance in LETTER_GROUPS]
@@ -206,7 +217,7 @@ def scan(docs: DataFrame, share: float = FALSE_DISCOVERIES, id_col: str = "doc_i
     """
     text = whole_text(text_col)
     base = docs.select(F.col(id_col).alias("id"), text.alias("text"), base_spans(text).alias("base"))
-    apart = F.filter(spans(F.col("text"), CANDIDATE, 3), lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    apart = apart_from(spans(F.col("text"), CANDIDATE, 3), F.col("base"))
     found = stored(base.select("id", "base", battery(apart).alias("tested")), "secrets")
     # what a test rejects is no discovery, whatever its score
     tested = found.select(F.explode("tested").alias("t")).select("t.length_class", F.when(F.col("t.passed"), F.col("t.bin")).otherwise(0).alias("bin"))

@@ -245,3 +245,31 @@ def test_odd_rows(docs, nothing, spark):
     assert {r.log_weight for r in got if r.doc_id in (0, 1, 2)} == {0.0}
     assert all(r.kept for r in quality.resample(docs, labels.limit(0)).collect())
     assert quality.resample(nothing, labels).count() == 0
+
+
+def test_places_of_many_matches(spark):
+    """As many as chunks hold, one more and one less, and a log of several MB; scanned in seconds."""
+    rnd = random.Random(9)
+    line = lambda k: rnd.choice([f"token=abcdefghij{k:08d}", f"AKIAABCDEFGHIJ12{k:08d}", f"deadbeefdeadbeef{k:08x}", "é🙂 plain"])
+    rows = [(n, " \n".join(f"secret: value{k:08d}" for k in range(n))) for n in (255, 256, 257, 512, 513, 1000)]
+    rows += [(5_000, "\n".join(line(k) for k in range(150_000)))]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    assert len(rows[-1][1]) > 3_000_000
+    for key, text in rows:
+        spans = base_spans(text)
+        sha = hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()
+        r = got[key]
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == (*(sum(s[1] == k for s in spans) for k in range(3)), sha)
+
+
+def test_nine_in_ten_random_strings_are_found(spark):
+    """Of 500 strings of each kind among as many structured ones."""
+    rnd = random.Random(12)
+    kinds = [("base32", 26), ("base32", 32), ("hex", 32), ("hex", 40), ("base64", 20), ("base64", 32)]
+    rows = [(1000 * j + k, f"key {drawn(rnd, *kind)} end") for j, kind in enumerate(kinds) for k in range(500)]
+    names = "river stone light green report data config user session version service account index page".split()
+    rows += [(100_000 + k, "see " + "/".join(rnd.choices(names, k=4)) + f"/v{rnd.randrange(3000)}") for k in range(3000)]
+    got = {r.doc_id: r.n_random for r in secrets.scan(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    found = {kind: sum(got[1000 * j + k] > 0 for k in range(500)) / 500 for j, kind in enumerate(kinds)}
+    assert min(found.values()) >= 0.9, found
+    assert sum(n for k, n in got.items() if k >= 100_000) <= 30
