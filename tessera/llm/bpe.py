@@ -342,7 +342,12 @@ def _digests(path: str, name: str):
 
 
 def round_trip_digests(docs: DataFrame, tokenizer_path: str, lexicon: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``encode`` and ``decode`` in one pass, of which only digests leave the worker."""
+    """``encode`` and ``decode`` in one pass, of which only digests leave the worker.
+
+    One row per row of ``docs``, repeated ones and null ids too. Null texts count as empty: no
+    tokens, and the digests of the empty string. Texts are encoded whole, however long. Columns of
+    other names are not read, whatever they are. An empty table gives no rows.
+    """
     lexicon = lexicon or build_lexicon(docs, tokenizer_path, text_col=text_col)
     named = docs.select(F.col(id_col).alias("row"), whole_text(text_col).alias("text"))
     kind = named.schema["row"].dataType.simpleString()

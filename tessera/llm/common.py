@@ -21,9 +21,11 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private one only where ``spark.checkpoint.dir`` is unset."""
+    """The cluster's shared folder; a private one only on a single machine, where it is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
         shared = f"file://{tempfile.gettempdir()}/tessera-{os.getuid()}"
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
