@@ -15,7 +15,7 @@ from tessera.llm.common import one_space, stored, whole_text
 from tessera.llm.digest_store import DigestStore
 
 
-def digest_index(spark: SparkSession, path: str | None = None, id_type: str = "BIGINT", buckets: int = 32) -> DigestStore:
+def digest_index(spark: SparkSession, path: str | None = None, id_type: str = "BIGINT", buckets: int | None = None) -> DigestStore:
     """digest -> the id that stays."""
     return DigestStore(spark, "keep_id", id_type, path, buckets)
 

@@ -29,7 +29,7 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()
 
 
-def count_cache(spark: SparkSession, path: str | None = None, buckets: int = 32) -> DigestStore:
+def count_cache(spark: SparkSession, path: str | None = None, buckets: int | None = None) -> DigestStore:
     """digest -> n_tokens."""
     return DigestStore(spark, "n_tokens", "BIGINT", path, buckets)
 
@@ -76,12 +76,13 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: DigestStore | None
     )
     digests = stored(keyed.drop("text"), "count-digests")
     distinct = stored(digests.select("digest").distinct(), "distinct-digests")
-    missing = stored(cache.missing(distinct), "missing-digests")
-    old = distinct.join(missing.hint("merge"), "digest", "left_anti")
+    looked = stored(cache.look_up(distinct), "looked-up-digests")
+    missing = looked.filter("NOT found").select("digest")
     # copies meet before the shuffle; each digest's text is encoded by one task
     texts = keyed.select("digest", "text").dropDuplicates(["digest"]).join(missing.hint("merge"), "digest", "left_semi")
     fresh = stored(texts.select("digest", "text").mapInArrow(_counter(tokenizer_path), "digest STRING, n_tokens BIGINT"), "fresh-counts")
-    counts = stored(cache.known(old).withColumn("cached", F.lit(True)).unionByName(fresh.withColumn("cached", F.lit(False))), "counts")
+    old = looked.filter("found").select("digest", "n_tokens", F.lit(True).alias("cached"))
+    counts = stored(old.unionByName(fresh.withColumn("cached", F.lit(False))), "counts")
     cache.append(fresh)
     return digests.join(counts.hint("merge"), "digest").select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "cached"

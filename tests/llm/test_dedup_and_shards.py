@@ -2,6 +2,8 @@ import hashlib
 import re
 import zlib
 
+from pyspark.sql import functions as F
+
 from tessera.llm import digest_store, exact_dedup, sharding
 
 
@@ -57,6 +59,52 @@ def test_generations_merge_and_failed_appends_leave_no_trace(spark, monkeypatch)
     assert {r.keep_id for r in index.known(index.read()).collect()} == set(range(120))
 
 
+def test_of_two_writers_none_is_lost(spark, monkeypatch):
+    one = exact_dedup.digest_index(spark)
+    two = exact_dedup.digest_index(spark, one.path)
+    rows = lambda a, b: spark.range(a, b).selectExpr("sha2(cast(id AS string), 256) AS digest", "id AS keep_id")
+    one.append(rows(0, 10))
+    real = one._publish
+
+    def late(names, version):
+        monkeypatch.setattr(one, "_publish", real)
+        two.append(rows(10, 20))  # the other writer is first
+        return real(names, version)
+
+    monkeypatch.setattr(one, "_publish", late)
+    one.append(rows(20, 30))
+    assert sorted(r.keep_id for r in one.read().collect()) == list(range(30)) and one.version() == 3
+    # the other merges what is being merged
+    monkeypatch.setattr(digest_store, "GENERATIONS", 1)
+
+    def merged_before(names, version):
+        monkeypatch.setattr(one, "_publish", real)
+        two._merge()
+        return real(names, version)
+
+    monkeypatch.setattr(one, "_publish", merged_before)
+    one._merge()
+    assert sorted(r.keep_id for r in two.read().collect()) == list(range(30)) and len(two.generations()) == 1
+    assert len(two.vacuum()) == 4 and two.vacuum() == [] and one.read().count() == 30
+
+
+def test_buckets_follow_the_counted_digests(spark, monkeypatch):
+    monkeypatch.setattr(digest_store, "BUCKET_ROWS", 100)
+    monkeypatch.setattr(digest_store, "LEAST_BUCKETS", 2)
+    index = exact_dedup.digest_index(spark)
+    rows = lambda a, b: spark.range(a, b).selectExpr("sha2(cast(id AS string), 256) AS digest", "id AS keep_id")
+    index.append(rows(0, 50))
+    index.append(rows(50, 700))
+    assert sorted(int(n.split("-")[1]) for n in index.generations()) == [2, 8]
+    found = index.look_up(rows(600, 900).select("digest", F.col("keep_id").alias("own"))).collect()
+    assert sorted(r.own for r in found if r.found) == list(range(600, 700)) and all(r.keep_id == (r.own if r.found else None) for r in found)
+    assert sorted(r.keep_id for r in index.missing(rows(0, 900)).collect()) == list(range(700, 900))
+    index._merge()
+    assert [int(n.split("-")[1]) for n in index.generations()] == [8] and index.read().count() == 700
+    plan = index.look_up(rows(0, 900).select("digest"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
 def test_two_batches_give_what_one_gives(spark, tmp_path):
     rows = [(k, f"text {k % 7}" if k % 3 else f"own  {k}") for k in range(60)]
     spark.createDataFrame(rows, "doc_id BIGINT, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
