@@ -4,6 +4,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessera.llm import decontamination as D
 from tessera.llm import ngram_join as N
 from tessera.llm import textnum
@@ -307,3 +309,27 @@ def test_boilerplate_meets_in_proportion(spark, monkeypatch, share):
         got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
         assert got.select("component_id").distinct().count() == n
     assert met[0] > 0 and met[1] < 2.2 * met[0]
+
+
+def test_blocks_rule_out_most_unrelated_pairs(spark):
+    rnd = random.Random(41)
+    text = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(rnd.choice([24, 45])))
+    table = spark.createDataFrame([(k, text()) for k in range(330)], "k BIGINT, text STRING")
+    prints = table.select("k", D.simhash(D.shingle_hashes(D.word_list(F.col("text")))).alias("print")).cache()
+    windows, items = prints.filter("k < 300").select("print").distinct(), prints.filter("k >= 300").selectExpr("print AS item_print").distinct()
+    pairs = windows.count() * items.count()
+    assert D.block_candidates(windows, items).count() < 0.4 * pairs
+    assert D.hamming_pairs(windows, items).count() < 0.03 * pairs
+
+
+def test_long_texts_and_clashing_columns(spark):
+    rnd = random.Random(43)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    item = [word() for _ in range(50)]
+    long = [word() for _ in range(150_000)]
+    long[140_000:140_000] = [*item[25:], *item[:25]]
+    docs = [(1, " ".join(long), "x", 1), (2, " ".join(item) + " end", "y", 2), (2, None, None, None), (3, " ".join(long[:5000]), "z", 3)]
+    table = spark.createDataFrame(docs, "doc_id BIGINT, text STRING, key STRING, id BIGINT")
+    bench = spark.createDataFrame([(7, " ".join(item), 1), (8, " ".join(item), 2), (9, "", 3)], "item_id BIGINT, text STRING, n INT")
+    got = {(r.doc_id, r.item_id): r.similarity for r in D.contamination(table, bench).collect()}
+    assert set(got) == {(1, 7), (1, 8), (2, 7), (2, 8)} and got[2, 7] == 1.0 and got[1, 7] >= 0.75
