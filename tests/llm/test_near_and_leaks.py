@@ -333,3 +333,21 @@ def test_long_texts_and_clashing_columns(spark):
     bench = spark.createDataFrame([(7, " ".join(item), 1), (8, " ".join(item), 2), (9, "", 3)], "item_id BIGINT, text STRING, n INT")
     got = {(r.doc_id, r.item_id): r.similarity for r in D.contamination(table, bench).collect()}
     assert set(got) == {(1, 7), (1, 8), (2, 7), (2, 8)} and got[2, 7] == 1.0 and got[1, 7] >= 0.75
+
+
+def test_moved_blocks_are_found_at_the_default_radius(spark):
+    rnd = random.Random(47)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    items = [(k, " ".join(word() for _ in range(rnd.randrange(35, 80)))) for k in range(30)]
+    docs = []
+    for k, item in items:
+        ws = item.split(" ")
+        for j, part in enumerate((0.2, 0.3, 0.5)):
+            cut = int(len(ws) * part)
+            docs.append((10 * k + j, " ".join([word(), *ws[cut:], *ws[:cut], word(), word()])))
+    want = best_windows(docs, items)
+    assert len(want) > 60
+    table = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
+    bench = spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    got = {(r.doc_id, r.item_id) for r in D.contamination(table, bench).collect()}
+    assert got <= set(want) and len(got) >= 0.9 * len(want)
