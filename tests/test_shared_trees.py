@@ -35,3 +35,24 @@ def test_cycles_raise(spark):
     edges = spark.createDataFrame([(0, 0, 0, 1), (0, 1, 0, 2), (0, 2, 0, 1)], EDGES)
     with pytest.raises(ValueError, match="more than 5 levels"):
         tree.path_counts(nodes, edges, 5)
+
+
+def test_nothing_is_broadcast_where_files_look_small(spark, monkeypatch):
+    """Nodes made by ``explode`` from a few rows look small to Spark: no level may send them through the driver."""
+    from pyspark.sql import functions as F
+
+    plans, real = [], tree.written
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(tree, "written", seen)
+    ids = spark.range(4).select(F.col("id").cast("int").alias("tree_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(30).cast("long"))).alias("id"))
+    nodes = ids.select("tree_id", "id", F.lit("OR").alias("node_type"), F.lit(0.0).alias("value"), (F.col("id") % 2 == 0).alias("proven"), (F.col("id") == 0).alias("is_root"))
+    edges = ids.filter("id > 0").select("tree_id", ((F.col("id") - 1) / 2).cast("long").alias("parent"), ((F.col("id") - 1) % 2).cast("int").alias("ord"), F.col("id").alias("child"))
+    rates = tree.frontier_rate_by_counts(nodes, edges, 50)
+    copies = tree.frontier_rate(tree.project(spark, nodes, edges, depth=50))
+    assert [(int(r[1]), int(r[2])) for r in rates.collect()] == [(4, 8)] * 4 == [(r[1], r[2]) for r in copies.collect()]
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in (rates, copies)]
+    assert len(plans) == 5 and not any("Broadcast" in p for p in plans)
