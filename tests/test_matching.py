@@ -68,6 +68,29 @@ def test_all_pairs_meet_once(spark, monkeypatch):
     assert all(r["similarity"] == pytest.approx(want[r["target_id"], r["candidate_id"]]) for r in rows)
 
 
+def test_what_is_written_grows_with_the_vectors(spark, monkeypatch):
+    """Without clusters most targets ask most blocks: they are not written down for each of them."""
+    monkeypatch.setattr(matching, "BLOCK_BYTES", 8 * 6 * 30)
+    rows, real = [], matching.written
+
+    def counted(df):
+        out = real(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(matching, "written", counted)
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(600, 6)), rng.normal(size=(200, 6))
+    a[:3] = 0.0
+    index = matching.indexed(frame(spark, a))
+    got = {}
+    targets = frame(spark, b).withColumn("k", F.lit(2) + F.col("id") % 4)
+    for r in matching.top_of_index(index, targets).found.orderBy("target_id", "rank").collect():
+        got.setdefault(r["target_id"], []).append(r["candidate_id"])
+    assert got == serial_top(a, b, [2 + t % 4 for t in range(200)])
+    assert len(index.blocks) > 20 and sum(rows) < 3 * (600 + 200)
+
+
 def test_nothing_on_a_side(spark):
     some, none = frame(spark, np.ones((3, 2))), frame(spark, np.ones((0, 2)))
     for a, b in ((some, none), (none, some), (none, none)):
