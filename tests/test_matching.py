@@ -68,6 +68,43 @@ def test_all_pairs_meet_once(spark, monkeypatch):
     assert all(r["similarity"] == pytest.approx(want[r["target_id"], r["candidate_id"]]) for r in rows)
 
 
+def test_all_pairs_take_few_bytes_where_they_are_written(spark, tmp_path):
+    """Rounded numbers that are written one by one take eight bytes each."""
+    rng = np.random.default_rng(6)
+    a, b = 4.0 + rng.normal(size=(1200, 12)), 4.0 + rng.normal(size=(1000, 12))
+    matching.similarities(frame(spark, a), frame(spark, b)).withColumn("similarity", F.round("similarity", 6)).write.parquet(str(tmp_path / "pairs"))
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 6 * 1200 * 1000
+    pairs = spark.read.parquet(str(tmp_path / "pairs"))
+    assert pairs.count() == pairs.select("target_id", "candidate_id").distinct().count() == 1200 * 1000
+    want = (b / np.linalg.norm(b, axis=1, keepdims=True)) @ (a / np.linalg.norm(a, axis=1, keepdims=True)).T
+    some = pairs.filter("candidate_id % 100 = 7").collect()
+    assert len(some) == 12 * 1000 and all(abs(r["similarity"] - want[r["target_id"], r["candidate_id"]]) < 6e-7 for r in some)
+
+
+@pytest.mark.parametrize("ordered", [4, 32, 1 << 10])
+def test_runs_hold_all_pairs_by_similarity(monkeypatch, ordered):
+    """Runs of several packs and parts of one; vectors without direction too."""
+    pa = pytest.importorskip("pyarrow")
+    monkeypatch.setattr(matching, "ORDERED", ordered)
+    monkeypatch.setattr(matching, "HANDED", 8)
+    rng = np.random.default_rng(7)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    a, b = unit(rng.normal(size=(11, 3))), unit(rng.normal(size=(9, 3)))
+    a[4], b[2] = np.nan, np.nan
+    cut = lambda m, ends: [(np.arange(len(m))[i:j], m[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
+    raw = lambda x, kind: np.ascontiguousarray(x, kind).tobytes()
+    rows = [(n, raw(t, "<i8"), raw(q, "<f8"), raw(c, "<i8"), raw(x, "<f8")) for n, (t, q) in enumerate(cut(b, [0, 5, 9])) for c, x in cut(a, [0, 3, 4, 8, 11])]
+    names = ["target_pack", "target_id", "target_vector", "id", "vector"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[k : k + 3]]) for k in range(0, len(rows), 3)]
+    got = [tuple(r.values()) for out in matching._all_of_packs(3)(batches) for r in out.to_pylist()]
+    want = b @ a.T
+    assert len(got) == len({r[:2] for r in got}) == 99
+    assert all(s == pytest.approx(want[t, c], nan_ok=True) for t, c, s in got)
+    plain = [s for _, _, s in got if not np.isnan(s)]
+    falls = sum(x > y + 1e-9 for x, y in zip(plain, plain[1:], strict=False))
+    assert ordered < 1 << 10 or falls == 1  # a run for each pack of targets
+
+
 def test_what_is_written_grows_with_the_vectors(spark, monkeypatch):
     """Without clusters most targets ask most blocks: they are not written down for each of them."""
     monkeypatch.setattr(matching, "BLOCK_BYTES", 8 * 6 * 30)
